@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality
+from . import bpe, chat, lines, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,15 +15,56 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(_table(spark, sf_dir, "conversations"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op5_quality_rules)}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_perspectives, op4_packing, op5_quality_rules, op7_line_dedup)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 SQL = {
+    "op3_perspectives": """
+WITH r AS (
+  SELECT DISTINCT conv_id, floor(turn / 64)::BIGINT AS part, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), p AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'), h AS (
+  SELECT r.*, perspective, CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
+         ELSE '<|user:' || role || '|>' END || chr(10) AS head
+  FROM r JOIN p ON r.conv_id IS NOT DISTINCT FROM p.conv_id
+), o AS (
+  SELECT *, length(head) + coalesce(sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, perspective, part
+         ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM h
+)
+SELECT conv_id, perspective, part, count(*) AS n_messages,
+       string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered,
+       coalesce(string_agg(start::BIGINT || '-' || (start + length(text) + 7)::BIGINT, ' ' ORDER BY turn, role, text)
+                FILTER (role = perspective), '') AS mask
+FROM o GROUP BY ALL""",
+    "op7_line_dedup": """
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents), w AS (
+  SELECT doc_id, p, l[p] || chr(10) || l[p + 1] || chr(10) || l[p + 2] AS w
+  FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 2)) AS p FROM l)
+), n AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM w WHERE regexp_matches(w, '[^\\x20\\x09-\\x0D]')
+), c AS (SELECT DISTINCT doc_id, p + j AS p FROM n, (VALUES (0), (1), (2)) AS v(j) WHERE k > 1), x AS (
+  SELECT l.doc_id, t.i AS i, t.x AS x FROM l, (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS i) AS t
+), s AS (
+  SELECT x.doc_id, string_agg(x, chr(10) ORDER BY i) FILTER (c.p IS NULL) AS text, count(c.p) AS n_removed
+  FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.i = c.p GROUP BY x.doc_id
+)
+SELECT l.doc_id, coalesce(s.text, '') AS text, len(l)::BIGINT AS n_lines, s.n_removed FROM l JOIN s ON l.doc_id = s.doc_id""",
     "op5_quality_rules": f"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w,
