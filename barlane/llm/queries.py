@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, chat, lines, packing, quality
+from . import bpe, brown, chat, debruijn, lines, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -35,7 +39,7 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_perspectives, op4_packing, op5_quality_rules, op7_line_dedup, op9_brown_lm)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_perspectives, op4_packing, op5_quality_rules, op6_substring_dedup, op7_line_dedup, op9_brown_lm)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -56,6 +60,17 @@ SELECT conv_id, perspective, part, count(*) AS n_messages,
        coalesce(string_agg(start::BIGINT || '-' || (start + length(text) + 7)::BIGINT, ' ' ORDER BY turn, role, text)
                 FILTER (role = perspective), '') AS mask
 FROM o GROUP BY ALL""",
+    "op6_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d)
+), r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS m FROM g) WHERE m < doc_id), c AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM r, (SELECT unnest(generate_series(0, 12)) AS j)
+), x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d), s AS (
+  SELECT x.doc_id, count(*) AS n_words, count(c.i) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY x.i) FILTER (c.i IS NULL), '') AS t
+  FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY x.doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id""",
     "op7_line_dedup": """
 WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents), w AS (
   SELECT doc_id, p, l[p] || chr(10) || l[p + 1] || chr(10) || l[p + 2] AS w
