@@ -4,13 +4,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, chat, debruijn, lines, packing, quality
+from . import bpe, brown, chat, debruijn, embeddings, lines, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.links(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -39,7 +43,7 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_perspectives, op4_packing, op5_quality_rules, op6_substring_dedup, op7_line_dedup, op9_brown_lm)}
+QUERIES = {f.__name__: f for f in (op1_embedding_links, op2_byte_bpe, op3_perspectives, op4_packing, op5_quality_rules, op6_substring_dedup, op7_line_dedup, op9_brown_lm)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
