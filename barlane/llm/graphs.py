@@ -72,10 +72,10 @@ def block_pairs(members: DataFrame, pairs: Callable[[pa.Table, list[tuple[np.nda
     no task gathers a bucket.
     """
     size = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("tag").alias("low"), F.max("tag").alias("high")).filter(multi)
-    dealt = members.join(size.select("bucket", "n"), "bucket")
-    dealt = dealt.withColumn("_k", F.ceil(F.col("n") / BLOCK)).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_k")))
+    dealt = members.join(size.select("bucket", F.col("n").alias("_n")), "bucket")
+    dealt = dealt.withColumn("_k", F.ceil(F.col("_n") / BLOCK)).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_k")))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)))
-    dealt = dealt.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_k", "_other", "n")
+    dealt = dealt.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_k", "_other", "_n")
     rows = size.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0
     dealt = dealt.withColumn("_g", F.pmod(F.xxhash64("bucket", "_i", "_j"), F.lit(max(1, -(-int(rows) // GROUP_ROWS)))))
 
