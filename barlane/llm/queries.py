@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown, chat, debruijn, embeddings, lines, neardup, packing, quality
+from . import bpe, brown, chat, debruijn, embeddings, lines, neardup, packing, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +47,14 @@ def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_links, op2_byte_bpe, op3_perspectives, op4_packing, op5_quality_rules, op6_substring_dedup, op7_line_dedup, op8_near_duplicates, op9_brown_lm)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = toxicity.judged(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "p_low_quality", "p_toxic", "toxic")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_embedding_links, op2_byte_bpe, op3_perspectives, op4_packing, op5_quality_rules, op6_substring_dedup, op7_line_dedup, op8_near_duplicates, op9_brown_lm, op10_toxicity,
+)}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
