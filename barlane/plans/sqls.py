@@ -173,7 +173,7 @@ def scan_split(d: Spark) -> str:
 
 
 def attributed(d: Spark) -> tuple[str, ...]:
-    """placed: found with best, the line (from 1) that holds most probes of the evidence, null for none."""
+    """placed: found with best, the line (from 1) that holds most probes of the evidence, -1 for none."""
     words = d.words("lower(ev)")
     pairs = d.where(d.each(d.upto(f"{d.size(words)} - 1"), "i", d.join(d.part(words, "i", "2"), " ")), "z", "true")
     probes = d.flat(d.each("evidence", "ev", (f"concat({d.where(words, 'w', 'length(w) >= 5')}, {pairs})" if d.name == "spark" else f"list_concat({d.where(words, 'w', 'length(w) >= 5')}, {pairs})")))
@@ -183,7 +183,7 @@ def attributed(d: Spark) -> tuple[str, ...]:
     return (
         f"probed AS (SELECT found.*, lines, {probes} AS probes FROM found JOIN (SELECT match_id AS pm, round AS pr, side AS ps, lines FROM prep) AS p ON match_id = pm AND round = pr AND side = ps)",
         f"counted AS (SELECT *, {hits} AS hits FROM probed)",
-        f"placed AS (SELECT *, CASE WHEN {d.size('probes')} > 0 AND {most} > 0 THEN CAST({where} AS INT) END AS best FROM counted)",
+        f"placed AS (SELECT *, CASE WHEN {d.size("probes")} > 0 AND {most} > 0 THEN CAST({where} AS INT) ELSE -1 END AS best FROM counted)",
     )
 
 
@@ -195,7 +195,7 @@ def line_attribution(d: Spark) -> str:
 @query
 def line_scores(d: Spark) -> str:
     return _perf(
-        d, f"SELECT match_id, round, side, coalesce(best, 1) AS line_no, CAST(count(*) AS BIGINT) AS n_skills, {_TOTAL} AS line_score FROM placed GROUP BY match_id, round, side, coalesce(best, 1)", *scan(d, True), *attributed(d), prep=True
+        d, f"SELECT match_id, round, side, greatest(best, 1) AS line_no, CAST(count(*) AS BIGINT) AS n_skills, {_TOTAL} AS line_score FROM placed GROUP BY match_id, round, side, greatest(best, 1)", *scan(d, True), *attributed(d), prep=True
     )
 
 
