@@ -78,7 +78,7 @@ def _any(d: Spark, x: str, patterns) -> str:
 def _edge(d: Spark, pattern: str, last: bool) -> str:
     """Points for impact words in the first or last quarter of the lines."""
     k = "greatest(2, CAST(floor(n / 4) AS INT))"
-    own = d.part("lines", f"n - {k} + 1" if last else "1", k)
+    own = d.part("lines", f"greatest(n - {k} + 1, 1)" if last else "1", k)
     c = d.count(f"lower({d.join(own, ' ')})", pattern)
     return _if(d, f"n >= 4 AND {c} >= 2", 0.25, (f"n >= 4 AND {c} = 1", 0.10))
 
