@@ -6,7 +6,8 @@ cover, taken together, are removed.
 
 Defined results: texts of fewer than three lines, null texts and rows with a null doc_id are left alone and take no part;
 repeated rows (same doc_id and text) count as one and have the same result; a text all of whose lines go becomes empty;
-an empty table stays empty; extra columns are carried along.
+an empty table stays empty; extra columns are carried along, those named
+n_lines or n_removed are replaced.
 """
 from __future__ import annotations
 
@@ -18,6 +19,7 @@ WIDTH = 3
 
 def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with the lines removed from text, and n_lines and n_removed (long)."""
+    docs = docs.drop("n_lines", "n_removed")
     keyed = docs.withColumn("__th", F.xxhash64("text"))
     cut = keyed.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "__th", F.split("text", "\n", -1).alias("__l"))
     at = F.explode(F.when(F.size("__l") >= width, F.sequence(F.lit(1), F.size("__l") - (width - 1)))).alias("__p")

@@ -5,7 +5,8 @@ rejects on a bounded sample, orders the rules by rejections per second, and reje
 so later rules aren't evaluated for it. The order changes the time only, never a verdict.
 
 Defined results: a null text has no words; a text without words is judged with all counts at 0; repeated rows are judged
-each; an empty table gives an empty result; extra columns are carried along.
+each; an empty table gives an empty result; extra columns are carried along, those named
+like a signal are replaced.
 """
 from __future__ import annotations
 
@@ -21,6 +22,8 @@ _WS = r"[\x20\x09-\x0D]+"
 #: Rows of the sample from which the order of rules is estimated.
 SAMPLE_ROWS = 2000
 
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
 #: Rule name -> condition that rejects a row, over the columns of `signals`.
 BASE = (
     ("few_words", "n_words < 50"),
@@ -40,7 +43,7 @@ def signals(df: DataFrame, text: str = "text", keep: Sequence[str] | None = None
     n_repeat_words: windows of three words are hashed, sorted with their places, and places of neighbours with equal
     hashes are kept, so the work in a text of n words is n log n.
     """
-    keep = df.columns if keep is None else list(keep)
+    keep = [c for c in (df.columns if keep is None else keep) if c not in SIGNALS]
     t = F.coalesce(F.col(text), F.lit(""))
     a = df.select(*keep, t.alias("__t"), F.array_remove(F.split(t, _WS), "").alias("__w"))
     lines = F.filter(F.split("__t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

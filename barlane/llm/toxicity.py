@@ -9,7 +9,8 @@ Training takes at most SAMPLE labelled rows, those with the smallest hash of the
 
 Defined results: null texts are empty; a text without words gets the chain's base rates; labels that are null are left
 out of training; repeated labels of one doc_id count each; rows with a null doc_id are scored but not trained on; without
-usable labels every probability is 0 and nothing is rejected; an empty table stays empty; extra columns are carried along.
+usable labels every probability is 0 and nothing is rejected; an empty table stays empty; extra columns are carried along,
+those named like the added ones are replaced.
 """
 from __future__ import annotations
 
@@ -172,6 +173,7 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
 def scored(docs: DataFrame, chain: Chain, names: Sequence[str] = CATEGORIES) -> DataFrame:
     """docs with the probability p_<name> of each link."""
+    docs = docs.drop(*(f"p_{n}" for n in names))
     at = docs.columns.index("text")
     schema = docs.schema
     for name in names:
