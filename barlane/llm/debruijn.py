@@ -6,13 +6,14 @@ that may occur in two documents; paths with a minimizer that has no other path d
 fall back into edges. Both get the smallest document that has them, their source, by key, and each chunk of documents
 gets those facts for its own paths and edges. Words under an edge whose source is a smaller document are removed.
 
-Minimizers only choose candidates. Paths and edges are compared by 128 bits of hash.
+Paths and edges are told apart by 128 bits: their minimizer's hash, and a hash of all their words.
 
-Texts are dealt into chunks by one exchange that all three passes share. A path or edge has one row for each chunk, so a
+Texts are dealt into chunks by one exchange that all passes share. A path or edge has one row for each chunk, so a
 passage that a third of all documents share is gathered as so many rows as there are chunks, not documents.
 
 Defined results: null texts have no words; rows with a null doc_id are left alone and are no source; repeated rows are
-treated each, rows of one doc_id aren't sources for one another; an empty table stays empty; extra columns are carried.
+treated each, rows of one doc_id aren't sources for one another; an empty table stays empty; extra columns are carried
+along, those named like the added ones are replaced.
 """
 from __future__ import annotations
 
@@ -29,8 +30,8 @@ from . import words
 from .chunks import CHUNK_BYTES, chunked
 
 WINDOW, SEED = 13, 5
+ADDED = ("n_words", "n_removed", "kept_sha256")
 _U = np.uint64
-_OTHER = _U(0x5851F42D4C957F2D)
 
 
 @dataclass
@@ -65,17 +66,16 @@ def graph(data: np.ndarray, off: np.ndarray, window: int, seed: int) -> Graph:
     return Graph(start, end, row, h, at, low[first], first, np.diff(np.append(first, len(at))), row[at[first]] if len(at) else at)
 
 
-def _edges(g: Graph, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each edge."""
-    return words.runs(g.h, window)[g.at], words.runs(words.mix(g.h ^ _OTHER), window)[g.at]
+def _edges(g: Graph, window: int) -> np.ndarray:
+    return words.runs(g.h, window)[g.at]
 
 
-def _paths(g: Graph, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each path, of its edges in order."""
+def _paths(g: Graph, edge: np.ndarray) -> np.ndarray:
+    """A hash of each path's edges in order."""
     if not len(g.first):
-        return a, b
+        return edge
     power = np.cumprod(np.full(int(g.size.max()), _U(0x9E3779B97F4A7C15)), dtype=_U)[np.arange(len(g.at)) - np.repeat(g.first, g.size)]
-    return tuple(words.mix(np.add.reduceat(x * power, g.first) ^ g.size.astype(_U)) for x in (a, b))
+    return words.mix(np.add.reduceat(edge * power, g.first) ^ g.size.astype(_U))
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -94,7 +94,8 @@ def _extent(key: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, size: int = CHUNK_BYTES, texts: bool = True) -> DataFrame:
     """docs with n_words, n_removed and kept_sha256; with texts, removed words and the white space after them go from text."""
-    dealt = chunked(docs, size)
+    docs = docs.drop(*ADDED)
+    dealt = chunked(docs, size, "__chunk")
     columns = [c for c in docs.columns if texts or c != "text"]
 
     def blocks(table: pa.Table):
@@ -115,40 +116,46 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, size:
         at, low, high = _extent([m], d)
         return pa.table([_long(np.full(len(at), key[0].as_py())), _long(m[at]), _long(low), _long(high)], names=["chunk", "m", "low", "high"])
 
-    def repeated(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        wanted = np.sort(right["m"].to_numpy().view(_U))
-        parts = []
-        for _, _, g, _, _, number, known in blocks(left):
-            if not len(g.first) or not len(wanted):
-                continue
-            near = np.minimum(np.searchsorted(wanted, g.minimizer), len(wanted) - 1)
-            p = np.flatnonzero((wanted[near] == g.minimizer) & known[g.doc])
-            a, b = _edges(g, window)
-            x, y = _paths(g, a, b)
-            at, low, high = _extent([x[p], y[p]], number[g.doc[p]])
-            p = p[at]
-            n = g.size[p]
-            e = np.arange(n.sum()) + np.repeat(g.first[p] - np.cumsum(n) + n, n)
-            parts.append((g.minimizer[p], x[p], y[p], low, high, n, a[e], b[e]))
-        m, x, y, low, high, n, a, b = (np.concatenate(v) for v in zip(*parts)) if parts else ([np.zeros(0, _U)] * 3 + [np.zeros(0, np.int64)] * 3 + [np.zeros(0, _U)] * 2)
-        off = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(off, _long(v)) for v in (a, b)]
-        return pa.table([_long(np.full(len(m), key[0].as_py())), *map(_long, (m, x, y, low, high)), *lists], names=["chunk", "m", "x", "y", "low", "high", "a", "b"])
+    def wanted_paths(g: Graph, wanted: np.ndarray, known: np.ndarray) -> np.ndarray:
+        if not len(g.first) or not len(wanted):
+            return np.zeros(0, np.int64)
+        near = np.minimum(np.searchsorted(wanted, g.minimizer), len(wanted) - 1)
+        return np.flatnonzero((wanted[near] == g.minimizer) & known[g.doc])
+
+    def extents(split: bool):
+        """For each path with a wanted minimizer, or each of its edges: the smallest and the largest document of the chunk."""
+
+        def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            wanted = np.unique(right["m"].to_numpy().view(_U))
+            parts = [(np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64))]
+            for _, _, g, _, _, number, known in blocks(left):
+                p = wanted_paths(g, wanted, known)
+                if len(p):
+                    edge = _edges(g, window)
+                    n = g.size[p] if split else np.ones(len(p), np.int64)
+                    x = edge[np.arange(n.sum()) + np.repeat(g.first[p] - np.cumsum(n) + n, n)] if split else _paths(g, edge)[p]
+                    parts.append((np.repeat(g.minimizer[p], n), x, np.repeat(number[g.doc[p]], n)))
+            m, x, d = (np.concatenate(v) for v in zip(*parts))
+            at, low, high = _extent([x, m], d)
+            return pa.table([_long(np.full(len(at), key[0].as_py())), _long(m[at]), _long(x[at]), _long(low), _long(high)], names=["chunk", "m", "x", "low", "high"])
+
+        return run
 
     def removed(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         path = right["path"].to_numpy(zero_copy_only=False).astype(bool)
-        x, y, source = (right[c].to_numpy() for c in ("x", "y", "source"))
+        m, x, source = right["m"].to_numpy().view(_U), right["x"].to_numpy().view(_U), right["source"].to_numpy()
         facts = []
         for own in (path, ~path):
-            by = np.argsort(x[own].view(_U), kind="stable")
-            facts.append((x[own].view(_U)[by], y[own].view(_U)[by], source[own][by]))
+            by = np.argsort(x[own], kind="stable")
+            facts.append((x[own][by], m[own][by], source[own][by]))
         out = []
         for lo, hi, g, data, off, number, known in blocks(left):
             n = len(g.start)
             gone = np.zeros(n + 1, np.int64)
             if len(g.first):
                 edge = _edges(g, window)
-                hit = np.repeat(_smaller(facts[0], *_paths(g, *edge), number[g.doc]), g.size) | _smaller(facts[1], *edge, number[g.row[g.at]])
+                hit = np.repeat(_smaller(facts[0], _paths(g, edge), g.minimizer, number[g.doc]), g.size)
+                hit |= _smaller(facts[1], edge, np.repeat(g.minimizer, g.size), number[g.row[g.at]])
                 hit &= known[g.row[g.at]]
                 np.add.at(gone, g.at[hit], 1)
                 np.add.at(gone, g.at[hit] + window, -1)
@@ -183,23 +190,20 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, size:
         return pa.concat_tables(out)
 
     by_m = Window.partitionBy("m")
-    found = dealt.groupBy("chunk").applyInArrow(seeds, "chunk bigint, m bigint, low bigint, high bigint")
+    found = dealt.groupBy("__chunk").applyInArrow(seeds, "chunk bigint, m bigint, low bigint, high bigint")
     found = found.select("chunk", "m", F.min("low").over(by_m).alias("low"), F.max("high").over(by_m).alias("high")).filter("low <> high").select("chunk", "m")
-    longs = ", ".join(f"{c} bigint" for c in ("chunk", "m", "x", "y", "low", "high"))
-    paths = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(repeated, f"{longs}, a array<bigint>, b array<bigint>")
-    paths = paths.withColumns({"source": F.min("low").over(by_m), "least": F.min(F.struct("x", "y")).over(by_m), "most": F.max(F.struct("x", "y")).over(by_m)})
-    straight = F.col("least") == F.col("most")
-    facts = paths.select(
-        "chunk", "low", "high", "source", straight.alias("path"),
-        F.explode(F.when(straight, F.array(F.struct("x", "y"))).otherwise(F.arrays_zip(F.col("a").alias("x"), F.col("b").alias("y")))).alias("k"),
-    )
-    facts = facts.select("chunk", "low", "high", "path", "k.*", "source")
-    facts = facts.groupBy("chunk", "path", "x", "y").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    facts = facts.withColumn("source", F.min("low").over(Window.partitionBy("x", "y"))).filter("source < high").select("chunk", "path", "x", "y", "source")
+    kind = "chunk bigint, m bigint, x bigint, low bigint, high bigint"
+    paths = dealt.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(extents(False), kind)
+    straight = F.min("x").over(by_m) == F.max("x").over(by_m)
+    paths = paths.select("chunk", "m", "x", "high", F.min("low").over(by_m).alias("source"), straight.alias("path"))
+    branching = paths.filter("NOT path").select("chunk", "m")
+    edges = dealt.groupBy("__chunk").cogroup(branching.groupBy("chunk")).applyInArrow(extents(True), kind)
+    edges = edges.select("chunk", "m", "x", "high", F.min("low").over(Window.partitionBy("m", "x")).alias("source"), F.lit(False).alias("path"))
+    facts = paths.filter("path").unionAll(edges).filter("source < high").select("chunk", "m", "x", "source", "path")
     schema = T.StructType([docs.schema[c] for c in columns])
     for name, kind in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())):
         schema = schema.add(name, kind)
-    return dealt.groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInArrow(removed, schema)
+    return dealt.groupBy("__chunk").cogroup(facts.groupBy("chunk")).applyInArrow(removed, schema)
 
 
 def _smaller(facts: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, doc: np.ndarray) -> np.ndarray:
