@@ -12,6 +12,8 @@ from .store import written
 
 #: Members of one block of a bucket, and rows that one group of block pairs holds about.
 BLOCK, GROUP_ROWS = 400, 20_000
+#: Links (16 bytes each) that one task may finish alone.
+ALONE = 200_000
 
 
 def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -28,21 +30,31 @@ def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each batch replaced by one from each node to the smallest that it reaches there."""
-    for batch in batches:
-        a, b = (batch.column(i).to_numpy() for i in (0, 1))
+    """Links replaced by one from each node to the smallest that it reaches, for every ALONE links or so."""
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def done() -> pa.RecordBatch:
+        a, b = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
         node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         root = node[roots(at[: len(a)], at[len(a) :], len(node))]
         keep = root != node
-        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], names=["a", "b"])
 
+    for batch in batches:
+        parts.append(tuple(batch.column(i).to_numpy() for i in (0, 1)))
+        if sum(len(a) for a, _ in parts) > ALONE:
+            yield done()
+    if parts:
+        yield done()
 
-def components(links: DataFrame) -> DataFrame:
+
+def components(links: DataFrame, alone: int = ALONE) -> DataFrame:
     """(node, component) of every node of links (a, b), component being its smallest node.
 
     Large-star and small-star steps by turns: each hangs a node's larger, then its smaller neighbours on the smallest one.
     A step is an aggregation to a minimum and a join, so a node with many neighbours is never gathered. Each round is a
-    written table, and rounds end when it repeats.
+    written table, and rounds end when it repeats, or when so few links are left (`alone`) that one task finishes them.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     now = written(links.mapInArrow(_contracted, "a bigint, b bigint").distinct(), "links")
@@ -51,6 +63,9 @@ def components(links: DataFrame) -> DataFrame:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
         if mark == seen or not mark.n:
             break
+        if mark.n <= alone:
+            now = written(now.coalesce(1).mapInArrow(_contracted, "a bigint, b bigint"), "links")
+            break
         seen = mark
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))

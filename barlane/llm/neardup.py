@@ -5,10 +5,11 @@ is at least THRESHOLD. Equal word sequences form one class, which is represented
 registers are cut into bands of ROWS; classes that share a band may be linked.
 
 Each band's members are checked against its smallest one first. Where members of a band are in different components after
-that, they are compared with one another by their signatures, in pairs of bounded blocks: first each member with the few
-most alike of other components, then with all whose signatures agree in at least SURE of the registers. A linked pair
-agrees in fewer with probability below 1e-5. So links between different texts are all found, but links within a component
-that is known already aren't listed.
+that, they are compared with one another by their signatures, in pairs of bounded blocks and only in the first band that
+two share: first each member outside the bucket's main component with the few most alike of other components, then all
+whose signatures agree in at least SURE of the registers. A pair at the threshold agrees in fewer with a probability of
+3e-4, about that of sharing no band. So links between different texts are found, but links within a component that is
+known already aren't listed.
 
 Defined results: texts of fewer than five words (null: none) have no elements and are linked with nothing, not even
 equal ones; rows with a null doc_id likewise; repeated rows have the same class and are kept or not together; an empty
@@ -28,13 +29,13 @@ from .bagminhash import bags, bands, shingles, signatures
 from .graphs import block_pairs, components
 from .store import written
 
-SHINGLE, THRESHOLD, M, ROWS, SURE, FEW = 5, 0.8, 100, 5, 0.6, 3
+SHINGLE, THRESHOLD, M, ROWS, SURE, FEW = 5, 0.8, 100, 5, 0.66, 3
 _U = np.uint64
 _OTHER = _U(0x5851F42D4C957F2D)
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, 128 bits of the words, the number of shingles, band keys and one byte of each register."""
+    """doc_id, 128 bits of the words, the number of shingles, band keys and two bytes of each register."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,7 +54,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 keep = at[grow] >= 0
                 sig = signatures(*bags(g[keep], at[grow[keep]]), len(one), M)
                 key = bands(sig, ROWS)
-                byte = (words.mix(sig.view(_U)) & _U(255)).astype(np.uint8)
+                byte = (words.mix(sig.view(_U)) & _U(0xFFFF)).astype("<u2")
                 back = back.ravel()
                 off32 = pa.array(np.arange(len(own) + 1, dtype=np.int32) * key.shape[1])
                 yield pa.RecordBatch.from_arrays(
@@ -108,7 +109,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = written(_signed(docs), "bagminhash")
     one = signed.groupBy("x", "y").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     one = written(one, "distinct-texts")
-    member = one.select("id", F.explode("keys").alias("bucket"))
+    member = one.select("id", F.posexplode("keys").alias("band", "bucket"))
     star = member.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z").select("bucket", "a")
     shared = written(member.join(star, "bucket"), "bands")
     first = shared.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
@@ -123,9 +124,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = written(texts.dropDuplicates(["id"]), "candidate-texts")
     links = written(_linked(first, texts, threshold), "text-links")
     found = components(links)
-    base = shared.select("id", "bucket").join(one.select("id", "n", "sig"), "id")
+    base = shared.select("id", "bucket", "band").join(one.select("id", "n", "sig"), "id")
     for few in (FEW, None):
-        tagged = base.join(found, base.id == found.node, "left").select("id", "bucket", "n", "sig", F.coalesce("component", "id").alias("tag"))
+        tagged = base.join(found, base.id == found.node, "left").select("id", "bucket", "band", "n", "sig", F.coalesce("component", "id").alias("tag"))
         pairs = block_pairs(tagged, _across(threshold, few), "a bigint, b bigint", ["a", "b"], "low <> high").distinct()
         links = written(links.unionAll(_linked(pairs, texts, threshold)), "text-links")
         found = components(links)
@@ -140,21 +141,29 @@ def _across(threshold: float, few: int | None):
     """Pairs of different components whose signatures agree enough; with few, only each member's most alike ones."""
 
     def pairs(table: pa.Table, todo: list[tuple[np.ndarray, np.ndarray, bool]]) -> list[pa.Array]:
-        ids, n, tag = (table[c].to_numpy() for c in ("id", "n", "tag"))
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, M)
+        ids, n, tag, band = (table[c].to_numpy() for c in ("id", "n", "tag", "band"))
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, M)
         out = [np.zeros((2, 0), np.int64)]
         for a, b, same in todo:
             if tag[a].min() == tag[b].max() and tag[a].max() == tag[b].min():
                 continue
             ok = (tag[a][:, None] != tag[b]) & (np.minimum(n[a][:, None], n[b]) >= threshold * np.maximum(n[a][:, None], n[b]))
             i, j = np.nonzero(np.triu(ok, 1) if same else ok)
-            agree = np.concatenate([(sig[a[i[lo : lo + 50_000]]] == sig[b[j[lo : lo + 50_000]]]).sum(1) for lo in range(0, max(len(i), 1), 50_000)])
+            i, j = a[i], b[j]
+            agree = np.zeros(len(i), np.int64)
+            for lo in range(0, len(i), 20_000):
+                part = slice(lo, lo + 20_000)
+                equal = sig[i[part]] == sig[j[part]]
+                first = equal.reshape(-1, M // ROWS, ROWS).all(2).argmax(1)
+                agree[part] = np.where(first == band[a[0]], equal.sum(1), 0)
             sure = agree >= SURE * M
-            i, j, agree = a[i[sure]], b[j[sure]], agree[sure]
+            i, j, agree = i[sure], j[sure], agree[sure]
             if few is not None and len(i):
+                value, times = np.unique(tag[np.concatenate([a, b])], return_counts=True)
+                main = value[times.argmax()]
                 by = np.argsort(-agree, kind="stable")
                 i, j = i[by], j[by]
-                keep = (_nth(ids[i]) < few) | (_nth(ids[j]) < few)
+                keep = (_nth(ids[i]) < few) & (tag[i] != main) | (_nth(ids[j]) < few) & (tag[j] != main)
                 i, j = i[keep], j[keep]
             out.append(np.sort(np.stack([ids[i], ids[j]]), 0))
         return [pa.array(v) for v in np.concatenate(out, 1)]

@@ -144,14 +144,14 @@ def test_substring_dedup(docs, empty):
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         want[i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
     for size in (1 << 12, 8 << 20):
-        got = debruijn.deduplicated(docs.withColumnRenamed("chunk", "kind"), size=size).collect()
+        got = debruijn.deduplicated(docs.withColumn("n_words", F.lit("clash")), size=size).collect()
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
         assert all(" ".join(own(r.text)) == "" or hashlib.sha256(" ".join(own(r.text)).encode()).hexdigest() == r.kept_sha256 for r in got)
     assert debruijn.deduplicated(empty).count() == 0
 
 
 def test_line_dedup(docs, empty):
-    got = {r.doc_id: r for r in lines.deduplicated(docs).collect()}
+    got = {r.doc_id: r for r in lines.deduplicated(docs.withColumn("n_lines", F.lit("clash"))).collect()}
     assert got[9].text == "a\nb\nc\nd" and got[9].n_removed == 0
     assert got[10].text == "x\ny" and got[11].text == "" and got[11].n_removed == 4
     assert got[3].text is None and got[12].n_removed == 0
@@ -193,6 +193,7 @@ def test_components(spark):
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
     of = graphs.roots(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]), 1100)
     got = {r.node: r.component for r in graphs.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {r.node: r.component for r in graphs.components(spark.createDataFrame(pairs, "a long, b long"), 0).collect()}
     assert got == {i: int(of[i]) for p in pairs for i in p if p[0] != p[1] or i in got}
 
 
