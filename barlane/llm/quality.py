@@ -16,11 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
-
 _WS = r"[\x20\x09-\x0D]+"
-#: Rows of the sample from which the order of rules is estimated.
-SAMPLE_ROWS = 2000
+#: Rows of the sample from which the order of rules is estimated; they pass through the driver.
+SAMPLE_ROWS = 300
 
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -81,7 +79,8 @@ def order(sample: DataFrame, rules: Sequence[tuple[str, str]]) -> list[tuple[str
 
 def cascade(df: DataFrame, rules: Sequence[tuple[str, str]] = (*BASE, *MORE), text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """df with its signals, and rejected_by: the first rule, in the estimated order, that rejects the row, else null."""
-    sample = written(df.select(text).limit(sample_rows), "quality-sample")
+    few = df.select(F.col(text).cast("string")).limit(sample_rows).collect()  # reads the first partitions only
+    sample = df.sparkSession.createDataFrame([(r[0],) for r in few], f"`{text}` string")
     ordered = order(signals(sample, text), rules)
     verdict: Column = F
     for name, rule in ordered:
