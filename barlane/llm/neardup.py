@@ -8,8 +8,11 @@ Each band's members are checked against its smallest one first. Where members of
 that, they are compared with one another by their signatures, in pairs of bounded blocks and only in the first band that
 two share: first each member outside the bucket's main component with the few most alike of other components, then all
 whose signatures agree in at least SURE of the registers. A pair at the threshold agrees in fewer with a probability of
-3e-4, about that of sharing no band. So links between different texts are found, but links within a component that is
-known already aren't listed.
+1e-6. So links between different texts are found, but links within a component that is known already aren't listed.
+
+Of those, texts are fetched only for pairs that their cells leave open: a text's shingles are counted in CELLS cells by
+hash, and the cells of two texts never differ by more than their multisets do. Where they differ by more than a pair at
+the threshold may, the pair is no link, for certain; so a group of texts just below the threshold costs no joined rows.
 
 Defined results: texts of fewer than five words (null: none) have no elements and are linked with nothing, not even
 equal ones; rows with a null doc_id likewise; repeated rows have the same class and are kept or not together; an empty
@@ -29,7 +32,8 @@ from .bagminhash import bags, bands, shingles, signatures
 from .graphs import block_pairs, components
 from .store import written
 
-SHINGLE, THRESHOLD, M, ROWS, SURE, FEW = 5, 0.8, 100, 5, 0.66, 3
+SHINGLE, THRESHOLD, M, ROWS, SURE, FEW = 5, 0.8, 100, 5, 0.60, 3
+CELLS = 512
 _U = np.uint64
 _OTHER = _U(0x5851F42D4C957F2D)
 
@@ -104,6 +108,25 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
 
 
+def _celled(texts: DataFrame) -> DataFrame:
+    """texts (id, text) with n, the number of shingles, and cells, a byte for each of CELLS counts (255: that or more)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in words.blocks(batch.column(1)):
+                _, _, g, grow = shingles(data, off, SHINGLE)
+                cell = (words.mix(g ^ _OTHER) % _U(CELLS)).astype(np.int64)
+                for first in range(0, hi - lo, 2000):
+                    last = min(first + 2000, hi - lo)
+                    i, j = np.searchsorted(grow, [first, last])
+                    count = np.bincount((grow[i:j] - first) * CELLS + cell[i:j], minlength=(last - first) * CELLS).reshape(-1, CELLS)
+                    part = batch.slice(lo + first, last - first)
+                    cells = pa.array([c.tobytes() for c in np.minimum(count, 255).astype(np.uint8)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count.sum(1)), cells], names=["id", "text", "n", "cells"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, text string, n bigint, cells binary")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id reachable by links) and kept (doc_id = class_id), a row per row of docs."""
     signed = written(_signed(docs), "bagminhash")
@@ -121,12 +144,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     wanted = shared.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, "id")
     # Rows with one doc_id and different texts are told apart by nothing else here, so one of them stands for all.
-    texts = written(texts.dropDuplicates(["id"]), "candidate-texts")
+    texts = written(_celled(texts.dropDuplicates(["id"])), "candidate-texts")
     links = written(_linked(first, texts, threshold), "text-links")
     found = components(links)
-    base = shared.select("id", "bucket", "band").join(one.select("id", "n", "sig"), "id")
+    base, sketch = shared.select("id", "bucket", "band"), one.select("id", "sig").join(texts.select("id", "n", "cells"), "id")
     for few in (FEW, None):
-        tagged = base.join(found, base.id == found.node, "left").select("id", "bucket", "band", "n", "sig", F.coalesce("component", "id").alias("tag"))
+        tagged = base.join(found, base.id == found.node, "left").select("id", "bucket", "band", F.coalesce("component", "id").alias("tag"))
+        open_ = tagged.groupBy("bucket").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).filter("low <> high").select("bucket")
+        tagged = written(tagged.join(open_, "bucket"), "open-bands").join(sketch, "id")
         pairs = block_pairs(tagged, _across(threshold, few), "a bigint, b bigint", ["a", "b"], "low <> high").distinct()
         links = written(links.unionAll(_linked(pairs, texts, threshold)), "text-links")
         found = components(links)
@@ -138,11 +163,14 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def _across(threshold: float, few: int | None):
-    """Pairs of different components whose signatures agree enough; with few, only each member's most alike ones."""
+    """Pairs of different components whose signatures agree enough and whose cells leave a link open; with few, only each
+    member's most alike ones."""
+    most = (1 - threshold) / (1 + threshold) * (1 + 1e-9)
 
     def pairs(table: pa.Table, todo: list[tuple[np.ndarray, np.ndarray, bool]]) -> list[pa.Array]:
         ids, n, tag, band = (table[c].to_numpy() for c in ("id", "n", "tag", "band"))
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, M)
+        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), np.uint8).reshape(-1, CELLS)
         out = [np.zeros((2, 0), np.int64)]
         for a, b, same in todo:
             if tag[a].min() == tag[b].max() and tag[a].max() == tag[b].min():
@@ -158,6 +186,12 @@ def _across(threshold: float, few: int | None):
                 agree[part] = np.where(first == band[a[0]], equal.sum(1), 0)
             sure = agree >= SURE * M
             i, j, agree = i[sure], j[sure], agree[sure]
+            maybe = np.ones(len(i), bool)
+            for lo in range(0, len(i), 5000):
+                p, q = i[lo : lo + 5000], j[lo : lo + 5000]
+                apart = np.maximum(cells[p], cells[q]) - np.minimum(cells[p], cells[q])
+                maybe[lo : lo + 5000] = apart.sum(1, dtype=np.int64) <= most * (n[p] + n[q])
+            i, j, agree = i[maybe], j[maybe], agree[maybe]
             if few is not None and len(i):
                 value, times = np.unique(tag[np.concatenate([a, b])], return_counts=True)
                 main = value[times.argmax()]

@@ -170,6 +170,13 @@ def test_bagminhash_is_unbiased():
 def test_near_duplicates(spark, docs, empty):
     base = [f"t{i}" for i in range(200)]
     rows = [(100 + k, " ".join(base[: 200 - 12 * k])) for k in range(6)] + [(200, "far away text of its own " * 3), (201, " ".join(base) + " end")]
+    rng = np.random.default_rng(11)  # copies on both sides of the threshold, and one long text with runs beyond 255
+    for k in range(60):
+        w = [f"u{i}" for i in range(300)]
+        for at in rng.integers(0, 300, 4 + k % 12):
+            w[at] = f"v{k}_{at}"
+        rows.append((300 + k, " ".join(w)))
+    rows += [(400, "ja " * 2000), (401, "ja " * 1700), (402, "ja " * 1500)]
     got = {r.doc_id: r for r in neardup.classes(spark.createDataFrame(rows + [r for r in ROWS], "doc_id long, text string")).collect()}
     bag = {i: Counter(tuple(w[k : k + 5]) for w in [own(t)] for k in range(len(w) - 4)) for i, t in rows + ROWS if i is not None}
     of = {i: i for i in bag}
