@@ -555,7 +555,7 @@ _match(
 @query
 def verdict_guard(d: Spark) -> str:
     return (
-        "SELECT o_custkey, CASE WHEN count(*) > 1 THEN 'refuse' WHEN max(CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END) = 1 THEN 'skip' ELSE 'score' END AS action FROM @orders@ WHERE o_orderkey % 50 = 0 GROUP BY o_custkey"
+        "SELECT o_custkey, CASE WHEN count(*) > 1 THEN 'refuse' WHEN max(CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END) = 1 THEN 'skip' ELSE 'score' END AS action FROM @orders@ GROUP BY o_custkey"
     )
 
 
