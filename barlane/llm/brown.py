@@ -1,13 +1,15 @@
 """A Brown class-based bigram model: exchange clustering of words, class transitions and word emissions.
 
-Words are lower-cased (A-Z) and hashed to 64 bits. Every training token counts. The HEAD most frequent words are
-clustered one by one, all others by their shape (length and last two bytes, SHAPES groups), so each word has a class
-without a table of all words; exchange clustering moves these items between classes as long as the likelihood of class
-bigrams grows. P(token) = P(class | class before) * P(word | class); a class keeps back a share for unseen words by its
-words that occur once. An end token closes each text and stands before its first word.
+Words are lower-cased (A-Z) and hashed to 64 bits. Every training token counts. Classes are seeded on the driver: the HEAD
+most frequent words one by one and all others by their shape (length and last two bytes, SHAPES groups) are exchanged
+between classes as long as the likelihood of class bigrams grows. Then every other word that occurs LEAST times or more
+is exchanged by its own counts of the classes before and after it, in Spark; only rarer and unseen words keep the class of
+their shape. P(token) = P(class | class before) * P(word | class); a class keeps back a share for unseen words by its words
+that occur once. An end token closes each text and stands before its first word.
 
-Rows that outgrow one machine stay distributed: word counts are a written table, and each chunk of documents gets the
-counts of its own distinct words by a join. The driver sees HEAD words and counts of item pairs, both bounded.
+Rows that outgrow one machine stay distributed: counts of words by class and the classes of words are tables, and each
+chunk of documents gets the counts and classes of its own distinct words by a join. The driver sees HEAD words, counts of
+item pairs and counts of class pairs, all bounded.
 
 Defined results: a null text is empty (the end token only); a null doc_id counts as the text `null`; repeated rows are
 scored, and learned from, each; without training rows all counts are 0; other columns are ignored.
@@ -27,7 +29,10 @@ from .chunks import chunked
 from .store import written
 
 HEAD, SHAPES, CLASSES, ROUNDS = 500, 220, 40, 8
+LEAST = 3
 CHUNK_BYTES = 16 << 20
+BUCKET_WORDS = 20_000
+BLOCK_TOKENS = 1_000_000
 _U = np.uint64
 _COLUMNS = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
@@ -170,35 +175,144 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
 
 
 @dataclass
-class Model:
+class Seeds:
+    """Items, their classes, and the counts of class pairs and classes."""
+
     items: Items
-    of: np.ndarray  # item -> class
-    step: np.ndarray  # log10 P(class | class before)
-    size: np.ndarray  # tokens of each class
-    unseen: np.ndarray  # P(a word that wasn't seen | class)
-    tokens: int
-    types: int
-    ends: int
+    of: np.ndarray
+    both: np.ndarray
+    size: np.ndarray
+
+    @property
+    def end(self) -> int:
+        """The class of the end token, the last one."""
+        return len(self.size) - 1
 
 
-def fit(train: DataFrame, counts: DataFrame, head: int = HEAD, classes: int = CLASSES) -> Model:
-    """The model of the rows of train, whose word_counts are counts."""
+def seeded(train: DataFrame, counts: DataFrame, head: int = HEAD, classes: int = CLASSES) -> Seeds:
     top = counts.orderBy(F.desc("n"), "w").limit(head).select("w").toArrow()["w"].to_numpy()
     items = Items(np.sort(top.view(_U)))
     pairs = pair_counts(train, items)
     of = exchange(pairs, classes)
     member = np.zeros((classes + 1, items.number))
     member[of, np.arange(items.number)] = 1
-    both, size = member @ pairs @ member.T, member @ pairs.sum(0)
+    return Seeds(items, of, member @ pairs @ member.T, member @ pairs.sum(0))
+
+
+def contexts(train: DataFrame, seeds: Seeds) -> DataFrame:
+    """w, context, n of words outside the head: how often the class `context` came before w, or (from the number of classes on) after it."""
+    k = seeds.end + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> pa.RecordBatch:
+            h, context = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            w, at = np.unique(h, return_inverse=True)
+            key, n = np.unique(at * (2 * k) + context, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(w[key // (2 * k)].view(np.int64)), pa.array((key % (2 * k)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["w", "context", "n"])
+
+        for batch in batches:
+            for lo, hi, h, row, shape in _tokens(batch.column(0)):
+                end = seeds.items.number - 1
+                item, _ = _with_ends(seeds.items.of(h, shape), row, hi - lo, end)
+                of, word = seeds.of[item], item != end
+                own = item[word] >= len(seeds.items.head)
+                before, after = np.concatenate([[seeds.end], of[:-1]])[word][own], np.concatenate([of[1:], [seeds.end]])[word][own]
+                parts += [(h[own], before), (h[own], after + k)]
+                if sum(len(p[0]) for p in parts) > BLOCK_TOKENS:
+                    yield merged()
+        if parts:
+            yield merged()
+
+    return train.select("text").mapInArrow(run, "w bigint, context int, n bigint")
+
+
+def best(word: np.ndarray, context: np.ndarray, n: np.ndarray, of: np.ndarray, total: np.ndarray, both: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The class of each word (an index into of, its class now, and total, its count) by its counts n of contexts.
+
+    It is the class where the sum of n log n over class pairs, less twice that over classes, is largest when the word is
+    taken out of its own class and all other words stay; a word's pairs with words of its own class count as they are.
+    """
+    k = len(size)
+    key, at = np.unique(word * (2 * k) + context, return_inverse=True)
+    n, word, context = np.bincount(at, n, len(key)), key // (2 * k), key % (2 * k)
+    table = np.concatenate([both, both.T])  # context, class of the word
+    every = np.arange(len(of))
+    gain = -2 * (_h(size + total[:, None]) - _h(size))
+    gain[every, of] = -2 * (_h(size[of]) - _h(size[of] - total))
+    for lo in range(0, len(key), 1 << 16):
+        w, c, m = word[lo : lo + (1 << 16)], context[lo : lo + (1 << 16)], n[lo : lo + (1 << 16)]
+        more = _h(table[c] + m[:, None]) - _h(table[c])
+        now = table[c, of[w]]
+        more[np.arange(len(w)), of[w]] = _h(now) - _h(now - m)
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+        gain[w[first]] += np.add.reduceat(more, first)
+    return np.argmax(np.round(gain[:, :-1], 6), axis=1)
+
+
+def word_classes(train: DataFrame, counts: DataFrame, seeds: Seeds, least: int = LEAST) -> DataFrame:
+    """w, n, class of each word."""
+    buckets = F.pmod("w", F.lit(max(1, -(-counts.count() // BUCKET_WORDS)))).alias("bucket")
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        w, total = right["w"].to_numpy().view(_U), right["n"].to_numpy()
+        item = seeds.items.of(w, right["shape"].to_numpy())
+        of = seeds.of[item]
+        some = np.flatnonzero((total >= least) & (item >= len(seeds.items.head)))
+        some = some[np.argsort(w[some])]
+        if len(some):
+            h = left["w"].to_numpy().view(_U)
+            at = np.minimum(np.searchsorted(w[some], h), len(some) - 1)
+            own = w[some][at] == h
+            of[some] = best(at[own], left["context"].to_numpy()[own], left["n"].to_numpy()[own], of[some], total[some], seeds.both, seeds.size)
+        return pa.table([right["w"], right["n"], pa.array(of.astype(np.int32))], names=["w", "n", "class"])
+
+    left, right = contexts(train, seeds).select(buckets, "*"), counts.select(buckets, "*")
+    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, "w bigint, n bigint, class int")
+
+
+@dataclass
+class Model:
+    items: Items
+    of: np.ndarray  # item -> class, for words without a class of their own
+    size: np.ndarray  # tokens of each class
+    unseen: np.ndarray  # P(a word that wasn't seen | class)
+    tokens: int
+    types: int
+    ends: int
+
+
+def fit(seeds: Seeds, classes: DataFrame) -> Model:
+    """The model of word_classes, but for the steps between classes."""
+    size, once, types = np.zeros(seeds.end + 1), np.zeros(seeds.end + 1), 0
+    for row in classes.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 1).cast("int")).alias("once")).collect():
+        size[row["class"]], once[row["class"]] = row.n, row.once
+        types += row.v
+    ends = int(seeds.size[-1])
+    size[-1] = ends
+    return Model(seeds.items, seeds.of, size, (once + 1) / (size + once + 2), int(size.sum()), types + (ends > 0), ends)
+
+
+def steps(passed: DataFrame, size: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before), from the steps of the rows that are learned from."""
+    k = len(size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.bincount(np.frombuffer(x.as_buffer(), np.uint16), minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    got = passed.filter("NOT held_out").select("steps").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most k * k rows
+    both = np.zeros(k * k)
+    both[got["pair"].to_numpy()] = got["n"].to_numpy()
+    both = both.reshape(k, k)
     share = (size + 0.5) / (size + 0.5).sum()
-    step = np.log10((both + 2 * share) / (both.sum(1, keepdims=True) + 2))
-    single = np.zeros(SHAPES)
-    for row in counts.filter("n = 1").groupBy("shape").agg(F.count("*").alias("n")).collect():  # SHAPES rows at most
-        single[row.shape] = row.n
-    once = np.bincount(of[len(items.head) : -1], single, classes + 1)
-    every = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    ends = int(pairs[:, -1].sum())
-    return Model(items, of, step, size, (once + 1) / (size + once + 2), (every.n or 0) + ends, every.v + (ends > 0), ends)
+    return np.log10((both + 2 * share) / (both.sum(1, keepdims=True) + 2))
 
 
 def score(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
@@ -207,7 +321,9 @@ def score(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", held.alias("held_out"))
     train = docs.filter("NOT held_out").select("text")
     counts = written(word_counts(train), "brown-counts")
-    model = fit(train, counts)
+    seeds = seeded(train, counts)
+    classes = written(word_classes(train, counts, seeds), "brown-classes")
+    model = fit(seeds, classes)
     dealt = chunked(docs, size)
 
     def distinct(key: tuple, table: pa.Table) -> pa.Table:
@@ -218,25 +334,40 @@ def score(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         w = right["w"].to_numpy().view(_U)
         by = np.argsort(w)
-        known, times = w[by], right["n"].to_numpy()[by]
-        end, scale = model.items.number - 1, np.log10(model.tokens + model.types)
-        parts = []
+        known, times, own = w[by], right["n"].to_numpy()[by], right["class"].to_numpy()[by]
+        last, scale = len(model.size) - 1, np.log10(model.tokens + model.types)
+        parts, paths = [], []
         for lo, hi, h, row, shape in _tokens(left["text"]):
             at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            n = np.where(known[at] == h, times[at], 0) if len(known) else np.zeros(len(h), np.int64)
-            item, rows = _with_ends(model.items.of(h, shape), row, hi - lo, end)
-            n, _ = _with_ends(n, row, hi - lo, model.ends)
-            of = model.of[item]
+            here = known[at] == h if len(known) else np.zeros(len(h), bool)
+            n = np.where(here, times[at], 0) if len(known) else np.zeros(len(h), np.int64)
+            of = model.of[model.items.of(h, shape)]
+            of = np.where(here, own[at], of) if len(known) else of
+            n, rows = _with_ends(n, row, hi - lo, model.ends)
+            of, _ = _with_ends(of, row, hi - lo, last)
             before = np.concatenate([of[-1:], of[:-1]])  # a text's first word comes after an end
             word = np.where(n > 0, np.log10(np.maximum(n, 1) / np.maximum(model.size[of], 1)) + np.log10(1 - model.unseen[of]), np.log10(model.unseen[of]))
-            p = model.step[before, of] + np.where(item == end, 0, word)
             total = lambda x: np.bincount(rows, x, hi - lo)  # noqa: E731, B023
-            parts.append((total(None), total(n > 0), total(np.log10(n + 1.0) - scale), total(p)))
-        tokens, seen, base, own = (np.concatenate(x) for x in zip(*parts))
+            parts.append((total(None), total(n > 0), total(np.log10(n + 1.0) - scale), total(np.where(of == last, 0, word))))
+            ends = np.append(0, np.cumsum(2 * parts[-1][0])).astype(np.int32)
+            path = (before * (last + 1) + of).astype(np.uint16)
+            paths.append(pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(path)]))
+        tokens, seen, base, p = (np.concatenate(x) for x in zip(*parts))
         return pa.table(
-            [left["doc_id"], left["held_out"], tokens.astype(np.int64), seen.astype(np.int64), np.full(len(tokens), model.tokens), base, own],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [left["doc_id"], left["held_out"], tokens.astype(np.int64), seen.astype(np.int64), base, p, pa.chunked_array(paths)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "words", "steps"],
         )
 
-    asked = dealt.groupBy("chunk").applyInArrow(distinct, "chunk bigint, w bigint").join(counts.select("w", "n"), "w")
-    return dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, _COLUMNS)
+    asked = dealt.groupBy("chunk").applyInArrow(distinct, "chunk bigint, w bigint").join(classes, "w")
+    passed = written(
+        dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, words double, steps binary"), "brown-steps"
+    )
+    step = steps(passed, model.size).reshape(-1)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b["words"].to_numpy() + np.array([step[np.frombuffer(x.as_buffer(), np.uint16)].sum() for x in b["steps"]])
+            trained = np.full(len(own), model.tokens)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], b["n_tokens"], b["n_known"], pa.array(trained), b["base_score"], pa.array(own)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return passed.mapInArrow(summed, _COLUMNS)
