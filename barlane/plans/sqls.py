@@ -310,19 +310,24 @@ def cap_enforce(d: Spark) -> str:
     )
 
 
+def _quoted(d: Spark, x: str) -> str:
+    """The quoted lines, lower-case and stripped, without blank ones."""
+    return d.where(d.each(x, "ql", f"lower({strip(d, 'ql')})"), "ql", "ql <> ''")
+
+
 @query
 def dedup_exact(d: Spark) -> str:
-    line = f"lower({d.at('quoted', '1')})"
-    return _perf(d, f"SELECT {_KEYS}, idx, skill_id, points FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS}, skill_id, {line} ORDER BY points DESC, idx) AS k FROM dets) AS x WHERE k = 1", *_dets(d), prep=True)
+    lines = d.join(_quoted(d, "quoted"), "\n")
+    return _perf(d, f"SELECT {_KEYS}, idx, skill_id, points FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS}, skill_id, {lines} ORDER BY points DESC, idx) AS k FROM dets) AS x WHERE k = 1", *_dets(d), prep=True)
 
 
 @query
 def lines_contained(d: Spark) -> str:
-    a, b = (f"lower({d.at(x + '.quoted', '1')})" for x in "ab")
+    test = d.any_in("a.own", "qa", d.any_in("b.own", "qb", f"{d.contains('qa', 'qb')} OR {d.contains('qb', 'qa')}"))
     return _perf(
         d,
-        f"SELECT a.match_id, a.round, a.side, a.idx AS idx_a, b.idx AS idx_b FROM dets a JOIN dets b ON a.match_id = b.match_id AND a.round = b.round AND a.side = b.side AND a.idx < b.idx WHERE {d.contains(a, b)} OR {d.contains(b, a)}",
-        *_dets(d), prep=True,
+        f"SELECT a.match_id, a.round, a.side, a.idx AS idx_a, b.idx AS idx_b FROM quotes a JOIN quotes b ON a.match_id = b.match_id AND a.round = b.round AND a.side = b.side AND a.idx < b.idx WHERE {test}",
+        *_dets(d), f"quotes AS (SELECT {_KEYS}, idx, {_quoted(d, 'quoted')} AS own FROM dets)", prep=True,
     )
 
 

@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import pyarrow.parquet as pq
 
+from barlane import api
+from barlane.operators import scoring
 from barlane.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -14,3 +16,36 @@ def test_verdict_guard_sees_every_order(spark):
         states[o["o_custkey"]].append(o["o_orderstatus"])
     want = {(c, "refuse" if len(s) > 1 else "skip" if s == ["F"] else "score") for c, s in states.items()}
     assert {tuple(r) for r in queries.QUERIES["verdict_guard"](spark, SF).collect()} == want
+
+
+def quotes(spark):
+    """The findings of each performance: skill, points and quoted lines, by arrival."""
+    out = defaultdict(dict)
+    for r in scoring._dets(lambda sql: queries.run(spark, SF, sql)).collect():
+        out[r.match_id, r.round, r.side][r.idx] = (r.skill_id, r.points, tuple(x.strip().lower() for x in r.quoted if x.strip()))
+    return out
+
+
+def test_lines_contained_compares_every_line(spark):
+    within = lambda a, b: any(x in y or y in x for x in a[2] for y in b[2])
+    want = {(*k, i, j) for k, f in quotes(spark).items() for i in f for j in f if i < j and within(f[i], f[j])}
+    assert {tuple(r) for r in queries.QUERIES["lines_contained"](spark, SF).collect()} == want
+    assert want
+
+
+def test_dedup_exact_keys_on_all_lines(spark):
+    want = set()
+    for k, f in quotes(spark).items():
+        first = {}
+        for i, (skill, points, own) in sorted(f.items(), key=lambda x: (-x[1][1], x[0])):
+            first.setdefault((skill, own), (*k, i, skill, points))
+        want |= set(first.values())
+    assert {tuple(r) for r in queries.QUERIES["dedup_exact"](spark, SF).collect()} == want
+
+
+def test_dedup_exact_keeps_findings_that_share_one_line(spark):
+    lines = [f"line {i}" for i in range(60)]
+    lines[35] = lines[0]  # the first lines of windows 0 and 5, whose findings have one skill
+    perf = spark.createDataFrame([(1, 1, "A", "\n".join(lines))], "match_id long, round int, side string, text string")
+    got = {r.idx: r.skill_id for r in api.apply(perf, "dedup_exact").collect()}
+    assert {0, 10} <= set(got) and got[0] == got[10]
