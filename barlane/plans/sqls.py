@@ -46,18 +46,18 @@ def lines_explode(d: Spark) -> str:
 
 @query
 def evidence_snip(d: Spark) -> str:
-    out = []
-    for key in ("steal", "travel", "choke", "layup"):
-        for g in rules.GROUPS[key]:
-            out += [f"SELECT match_id, round, side, '{key}' AS key, {i} AS pattern, {text.snip(d, 's', 'text', p, g.pad)} AS snippet FROM prep WHERE {d.has('s', p)}" for i, p in enumerate(g.patterns[:3])]
-    return _perf(d, " UNION ALL ".join(out), prep=True)
+    items = [
+        {"key": f"'{key}'", "pattern": str(i), "snippet": f"CASE WHEN {d.has('s', p)} THEN {text.snip(d, 's', 'text', p, g.pad)} END"} for key, groups in rules.GROUPS.items() for g in groups for i, p in enumerate(g.patterns)
+    ]
+    return _perf(d, f"SELECT match_id, round, side, x.key AS key, x.pattern AS pattern, x.snippet AS snippet FROM (SELECT match_id, round, side, {rows_of(d, items)} FROM prep) AS y WHERE x.snippet IS NOT NULL", prep=True)
 
 
 @query
 def pattern_score(d: Spark) -> str:
-    g = rules.GROUPS["midrange"][0]
-    n = " + ".join(f"CAST({d.has('s', p)} AS INT)" for p in g.patterns)
-    return _perf(d, f"SELECT match_id, round, side, CAST({n} AS BIGINT) AS n_hits, {detectors.hits(d, 's', g.patterns, g.per_hit, g.cap)} AS points FROM prep", prep=True)
+    """Hits and points of each pattern group of each detector."""
+    n = lambda g: "CAST(" + " + ".join(f"CAST({d.has('s', p)} AS INT)" for p in g.patterns) + " AS BIGINT)"
+    items = [{"key": f"'{key}'", "grp": str(i), "n_hits": n(g), "points": detectors.hits(d, "s", g.patterns, g.per_hit, g.cap)} for key, groups in rules.GROUPS.items() for i, g in enumerate(groups)]
+    return _perf(d, f"SELECT match_id, round, side, x.key AS key, x.grp AS grp, x.n_hits AS n_hits, x.points AS points FROM (SELECT match_id, round, side, {rows_of(d, items)} FROM prep) AS y", prep=True)
 
 
 @query

@@ -1,11 +1,12 @@
 """Queries over all of their rows, against brute force in Python."""
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 
-from barlane import api
+from barlane import api, rules
 from barlane.operators import scoring
-from barlane.plans import queries
+from barlane.plans import queries, sqls
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +50,19 @@ def test_dedup_exact_keeps_findings_that_share_one_line(spark):
     perf = spark.createDataFrame([(1, 1, "A", "\n".join(lines))], "match_id long, round int, side string, text string")
     got = {r.idx: r.skill_id for r in api.apply(perf, "dedup_exact").collect()}
     assert {0, 10} <= set(got) and got[0] == got[10]
+
+
+def test_all_patterns_of_all_detectors(spark):
+    run = lambda sql: queries.run(spark, SF, sql)
+    prep = run(sqls._perf(scoring._D, "SELECT match_id, round, side, s FROM prep", prep=True)).collect()
+    want, hits = Counter(), {}
+    for r in prep:
+        for key, groups in rules.GROUPS.items():
+            for k, g in enumerate(groups):
+                own = [i for i, p in enumerate(g.patterns) if re.search(p, r.s)]
+                want.update((r.match_id, r.round, r.side, key, i) for i in own)
+                hits[r.match_id, r.round, r.side, key, k] = (len(own), round(min(len(own) * g.per_hit, g.cap), 6))
+    got = queries.QUERIES["evidence_snip"](spark, SF)
+    assert Counter(tuple(r) for r in got.drop("snippet").collect()) == want
+    assert got.filter("snippet = ''").count() == 0
+    assert {tuple(r)[:5]: (r.n_hits, round(r.points, 6)) for r in queries.QUERIES["pattern_score"](spark, SF).collect()} == hits
