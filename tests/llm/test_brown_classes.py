@@ -1,9 +1,9 @@
 """Words outside the head get classes by their own contexts."""
 import random
+import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from barlane.llm import brown
 
@@ -52,3 +52,10 @@ def test_best_is_the_largest_gain():
             want.append(brown._h(b).sum() - 2 * brown._h(b.sum(0)).sum())
         got = brown.best(np.zeros(2 * k, int), np.arange(2 * k), n, of[[i]], pairs.sum(0)[[i]], both, both.sum(0))
         assert want[got[0]] == pytest.approx(max(want))
+
+
+def test_base_score_is_zero_where_every_row_is_held_out(spark):
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = brown.score(spark.createDataFrame([(i, "some words") for i in held], "doc_id long, text string")).collect()
+    assert held and [r.base_score for r in got] == [0.0] * len(held)
+    assert all(r.train_tokens == 0 and np.isfinite(r.score) for r in got)
