@@ -335,7 +335,7 @@ def score(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
         w = right["w"].to_numpy().view(_U)
         by = np.argsort(w)
         known, times, own = w[by], right["n"].to_numpy()[by], right["class"].to_numpy()[by]
-        last, scale = len(model.size) - 1, np.log10(max(model.tokens + model.types, 1))
+        last, scale = len(model.size) - 1, np.log10(model.tokens + model.types + 1)
         parts, paths = [], []
         for lo, hi, h, row, shape in _tokens(left["text"]):
             at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))

@@ -230,7 +230,7 @@ def test_brown_counts_and_base(spark, empty):
     total, kinds = sum(c.values()), len(c)
     want = Counter((i, held(i), len(own(t)) + 1, sum(c[w] > 0 for w in [*low(t), None])) for i, t in rows)
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known) for r in got) == want
-    base = {i: sum(math.log10((c[w] + 1) / (total + kinds)) for w in [*low(t), None]) for i, t in rows}
+    base = {i: sum(math.log10((c[w] + 1) / (total + kinds + 1)) for w in [*low(t), None]) for i, t in rows}
     assert all(r.train_tokens == total and (r.doc_id is None or abs(r.base_score - base[r.doc_id]) < 1e-6 * abs(base[r.doc_id])) for r in got)
     assert brown.score(empty).count() == 0
 
