@@ -5,13 +5,13 @@ normalisation, so sentencepiece's best-score-first merges are the rank order. Te
 pattern and each pre-token is encoded by itself; ids are ranks. Decoding maps ids back to bytes.
 
 Defined results: a null text is encoded as the empty text (no ids); repeated rows are encoded each; extra columns are
-carried along; columns named like the added ones raise ValueError.
+carried along; columns named like the added ones are replaced.
 """
 from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import arrow
 from .memo import Memo
 
 
@@ -112,38 +113,36 @@ class Codec:
         return self.bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[ids] - ends + size, size)].tobytes()
 
 
-def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    if name in df.columns:
-        raise ValueError(f"column {name} is there already")
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, of: Callable[[pa.Array], pa.Array]) -> DataFrame:
+    """df with the column `out`, in place of one of that name; `of` gives a batch of it from one of `column`."""
+    at, keep = df.columns.index(column), [c for c in df.columns if c != out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), of(batch.column(at))], names=[*keep, out])
+
+    return arrow.over(df, run, T.StructType([*(df.schema[c] for c in keep), T.StructField(out, kind)]))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df and the ids of each text as array<int>."""
-    at = df.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(path, pattern)
-        for batch in batches:
-            flat, off = codec.encode(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat.view(np.int32)))], names=[*batch.schema.names, out])
+    def of(texts: pa.Array) -> pa.Array:
+        flat, off = Codec.of(path, pattern).encode(texts)
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat.view(np.int32)))
 
-    return df.mapInArrow(run, _added(df, out, T.ArrayType(T.IntegerType())))
+    return _mapped(df, text, out, T.ArrayType(T.IntegerType()), of)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df and the bytes that each row's ids stand for; null ids give no bytes."""
-    at = df.columns.index(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(lists: pa.Array) -> pa.Array:
         codec = Codec.of(path, pattern)
-        for batch in batches:
-            lists = batch.column(at)
-            flat, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            got = [codec.decode(flat[a:b]) if b > a else b"" for a, b in zip(off[:-1], off[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.binary())], names=[*batch.schema.names, out])
+        flat, off = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        return pa.array([codec.decode(flat[a:b]) if b > a else b"" for a, b in zip(off[:-1], off[1:])], pa.binary())
 
-    return df.mapInArrow(run, _added(df, out, T.BinaryType()))
+    return _mapped(df, ids, out, T.BinaryType(), of)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

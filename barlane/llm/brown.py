@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import arrow, words
 from .chunks import chunked
 from .store import written
 
@@ -69,7 +69,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         if parts:
             yield merged()
 
-    return train.select("text").mapInArrow(run, "w bigint, n bigint, shape bigint").groupBy("w").agg(F.sum("n").alias("n"), F.min("shape").alias("shape"))
+    return arrow.over(train.select("text"), run, "w bigint, n bigint, shape bigint").groupBy("w").agg(F.sum("n").alias("n"), F.min("shape").alias("shape"))
 
 
 @dataclass
@@ -113,7 +113,7 @@ def pair_counts(train: DataFrame, items: Items) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    got = train.select("text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most m * m rows
+    got = arrow.over(train.select("text"), run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most m * m rows
     out = np.zeros(m * m)
     out[got["pair"].to_numpy()] = got["n"].to_numpy()
     return out.reshape(m, m)
@@ -226,7 +226,7 @@ def contexts(train: DataFrame, seeds: Seeds) -> DataFrame:
         if parts:
             yield merged()
 
-    return train.select("text").mapInArrow(run, "w bigint, context int, n bigint")
+    return arrow.over(train.select("text"), run, "w bigint, context int, n bigint")
 
 
 def best(word: np.ndarray, context: np.ndarray, n: np.ndarray, of: np.ndarray, total: np.ndarray, both: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -270,7 +270,7 @@ def word_classes(train: DataFrame, counts: DataFrame, seeds: Seeds, least: int =
         return pa.table([right["w"], right["n"], pa.array(of.astype(np.int32))], names=["w", "n", "class"])
 
     left, right = contexts(train, seeds).select(buckets, "*"), counts.select(buckets, "*")
-    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, "w bigint, n bigint, class int")
+    return arrow.over_pairs(left, "bucket", right, "bucket", run, "w bigint, n bigint, class int")
 
 
 @dataclass
@@ -307,7 +307,7 @@ def steps(passed: DataFrame, size: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    got = passed.filter("NOT held_out").select("steps").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most k * k rows
+    got = arrow.over(passed.filter("NOT held_out").select("steps"), run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most k * k rows
     both = np.zeros(k * k)
     both[got["pair"].to_numpy()] = got["n"].to_numpy()
     both = both.reshape(k, k)
@@ -358,9 +358,9 @@ def score(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "words", "steps"],
         )
 
-    asked = dealt.groupBy("chunk").applyInArrow(distinct, "chunk bigint, w bigint").join(classes, "w")
+    asked = arrow.over_groups(dealt, "chunk", distinct, "chunk bigint, w bigint").join(classes, "w")
     passed = written(
-        dealt.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, words double, steps binary"), "brown-steps"
+        arrow.over_pairs(dealt, "chunk", asked, "chunk", run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, words double, steps binary"), "brown-steps"
     )
     step = steps(passed, model.size).reshape(-1)
 
@@ -370,4 +370,4 @@ def score(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
             trained = np.full(len(own), model.tokens)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], b["n_tokens"], b["n_known"], pa.array(trained), b["base_score"], pa.array(own)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return passed.mapInArrow(summed, _COLUMNS)
+    return arrow.over(passed, summed, _COLUMNS)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import words
+from . import arrow, words
 from .chunks import CHUNK_BYTES, chunked
 
 WINDOW, SEED = 13, 5
@@ -190,20 +190,20 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED, size:
         return pa.concat_tables(out)
 
     by_m = Window.partitionBy("m")
-    found = dealt.groupBy("__chunk").applyInArrow(seeds, "chunk bigint, m bigint, low bigint, high bigint")
+    found = arrow.over_groups(dealt, "__chunk", seeds, "chunk bigint, m bigint, low bigint, high bigint")
     found = found.select("chunk", "m", F.min("low").over(by_m).alias("low"), F.max("high").over(by_m).alias("high")).filter("low <> high").select("chunk", "m")
     kind = "chunk bigint, m bigint, x bigint, low bigint, high bigint"
-    paths = dealt.groupBy("__chunk").cogroup(found.groupBy("chunk")).applyInArrow(extents(False), kind)
+    paths = arrow.over_pairs(dealt, "__chunk", found, "chunk", extents(False), kind)
     straight = F.min("x").over(by_m) == F.max("x").over(by_m)
     paths = paths.select("chunk", "m", "x", "high", F.min("low").over(by_m).alias("source"), straight.alias("path"))
     branching = paths.filter("NOT path").select("chunk", "m")
-    edges = dealt.groupBy("__chunk").cogroup(branching.groupBy("chunk")).applyInArrow(extents(True), kind)
+    edges = arrow.over_pairs(dealt, "__chunk", branching, "chunk", extents(True), kind)
     edges = edges.select("chunk", "m", "x", "high", F.min("low").over(Window.partitionBy("m", "x")).alias("source"), F.lit(False).alias("path"))
     facts = paths.filter("path").unionAll(edges).filter("source < high").select("chunk", "m", "x", "source", "path")
     schema = T.StructType([docs.schema[c] for c in columns])
     for name, kind in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType())):
         schema = schema.add(name, kind)
-    return dealt.groupBy("__chunk").cogroup(facts.groupBy("chunk")).applyInArrow(removed, schema)
+    return arrow.over_pairs(dealt, "__chunk", facts, "chunk", removed, schema)
 
 
 def _smaller(facts: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import arrow, words
 from .graphs import block_pairs, components, roots
 from .store import written
 
@@ -68,7 +68,7 @@ def _valid(embeddings: DataFrame) -> DataFrame:
             half = [pa.array([None if d is None else int.from_bytes(d[i : i + 8], "little", signed=True) for d in digest], pa.int64()) for i in (0, 8)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *half, pa.array(raw, pa.binary())], names=["vec_id", "x", "y", "v"])
 
-    return embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).mapInArrow(run, "vec_id bigint, x bigint, y bigint, v binary")
+    return arrow.over(embeddings.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")), run, "vec_id bigint, x bigint, y bigint, v binary")
 
 
 def _units(raw: list[bytes]) -> np.ndarray:
@@ -94,7 +94,7 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             off = pa.array(np.arange(len(raw) + 1, dtype=np.int32) * number)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(off, pa.array(got.ravel().view(np.int64)))], names=["id", "keys"])
 
-    keyed = written(one.select("id", "v").mapInArrow(hashed, "id bigint, keys array<bigint>"), "vector-keys")
+    keyed = written(arrow.over(one.select("id", "v"), hashed, "id bigint, keys array<bigint>"), "vector-keys")
     member = keyed.select("id", F.explode("keys").alias("bucket"))
     busy = member.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     member = member.join(busy, "bucket").join(keyed, "id").join(one.select("id", "c", "v"), "id").withColumn("tag", F.lit(0))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrow
 from .store import written
 
 #: Members of one block of a bucket, and rows that one group of block pairs holds about.
@@ -57,14 +58,14 @@ def components(links: DataFrame, alone: int = ALONE) -> DataFrame:
     written table, and rounds end when it repeats, or when so few links are left (`alone`) that one task finishes them.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    now = written(links.mapInArrow(_contracted, "a bigint, b bigint").distinct(), "links")
+    now = written(arrow.over(links, _contracted, "a bigint, b bigint").distinct(), "links")
     seen = None
     while True:
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
         if mark == seen or not mark.n:
             break
         if mark.n <= alone:
-            now = written(now.coalesce(1).mapInArrow(_contracted, "a bigint, b bigint"), "links")
+            now = written(arrow.over(now.coalesce(1), _contracted, "a bigint, b bigint"), "links")
             break
         seen = mark
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -78,6 +79,13 @@ def components(links: DataFrame, alone: int = ALONE) -> DataFrame:
     return own.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def spread(rows: DataFrame, facts: DataFrame, key: str, on: str, parts: int = 8) -> DataFrame:
+    """rows joined with facts, which has one row for each key: facts is repeated, so that a key's rows, dealt by the hash
+    of the column `on`, go to `parts` tasks."""
+    part = F.pmod(F.xxhash64(on), F.lit(parts)).cast("int").alias("_part")
+    return rows.select("*", part).join(facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")), [key, "_part"]).drop("_part")
+
+
 def block_pairs(members: DataFrame, pairs: Callable[[pa.Table, list[tuple[np.ndarray, np.ndarray, bool]]], list[pa.Array]], schema: str, names: list[str], multi: str = "n > 1") -> DataFrame:
     """`pairs` applied to all pairs of blocks of each bucket.
 
@@ -87,18 +95,18 @@ def block_pairs(members: DataFrame, pairs: Callable[[pa.Table, list[tuple[np.nda
     no task gathers a bucket.
     """
     size = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("tag").alias("low"), F.max("tag").alias("high")).filter(multi)
-    dealt = members.join(size.select("bucket", F.col("n").alias("_n")), "bucket")
+    dealt = spread(members, size.select("bucket", F.col("n").alias("_n")), "bucket", "id")
     dealt = dealt.withColumn("_k", F.ceil(F.col("_n") / BLOCK)).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_k")))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_k") - 1)))
     dealt = dealt.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_k", "_other", "_n")
     rows = size.agg(F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK))).first()[0] or 0
     dealt = dealt.withColumn("_g", F.pmod(F.xxhash64("bucket", "_i", "_j"), F.lit(max(1, -(-int(rows) // GROUP_ROWS)))))
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         bucket, i, j, own = (table[c].to_numpy() for c in ("bucket", "_i", "_j", "_own"))
         by = np.lexsort((own, j, i, bucket))
-        key = np.stack([bucket[by], i[by], j[by]])
-        cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        place = np.stack([bucket[by], i[by], j[by]])
+        cut = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1
         out = []
         for at in np.split(by, cut):
             if i[at[0]] == j[at[0]]:
@@ -111,4 +119,4 @@ def block_pairs(members: DataFrame, pairs: Callable[[pa.Table, list[tuple[np.nda
         got = pairs(table, out)
         return pa.table(got, names=names)
 
-    return dealt.groupBy("_g").applyInArrow(run, schema)
+    return arrow.over_groups(dealt, "_g", run, schema)

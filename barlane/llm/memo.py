@@ -17,6 +17,18 @@ _STOP[[44, 46]] = True
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
+def _parted(data: np.ndarray, start: np.ndarray, size: np.ndarray, some: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """some and which, where spans whose bytes differ from those of the span that stands for them stand for themselves."""
+    first = some[which]
+    equal = size == size[first]
+    view, there, most = words.eights(data), start[first], np.where(equal, size, 0)
+    for (at, piece), (_, other) in zip(words.pieces(view, start, most), words.pieces(view, there, most)):
+        equal[at] &= piece == other
+    odd = np.flatnonzero(~equal)
+    which[odd] = len(some) + np.arange(len(odd))
+    return np.concatenate([some, odd]), which
+
+
 class Memo:
     """Encodes texts with `ids`, which gives each string's ids and cuts pre-tokens as byte-level BPE patterns do.
 
@@ -77,6 +89,7 @@ class Memo:
         end = np.append(start[1:], len(data))
         row = np.searchsorted(off, start, "right") - 1
         _, some, which = np.unique(words.hashes(data, start, end), return_index=True, return_inverse=True)
+        some, which = _parted(data, start, end - start, some, which)
         raw = data.tobytes()
         keys = [raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist())]
         if len(self.at) > ENTRIES - len(keys) or self.used > IDS // 2:

@@ -15,8 +15,9 @@ hash, and the cells of two texts never differ by more than their multisets do. W
 the threshold may, the pair is no link, for certain; so a group of texts just below the threshold costs no joined rows.
 
 Defined results: texts of fewer than five words (null: none) have no elements and are linked with nothing, not even
-equal ones; rows with a null doc_id likewise; repeated rows have the same class and are kept or not together; an empty
-table stays empty; other columns are ignored by `classes` and carried along by `deduplicated`.
+equal ones; rows with a null doc_id likewise; repeated rows have the same class and are kept or not together; rows of one
+doc_id with different texts are texts of their own, each with its own class; an empty table stays empty; other columns
+are ignored by `classes` and carried along by `deduplicated`.
 """
 from __future__ import annotations
 
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import arrow, words
 from .bagminhash import bags, bands, shingles, signatures
-from .graphs import block_pairs, components
+from .graphs import block_pairs, components, spread
 from .store import written
 
 SHINGLE, THRESHOLD, M, ROWS, SURE, FEW = 5, 0.8, 100, 5, 0.60, 3
@@ -39,7 +40,11 @@ _OTHER = _U(0x5851F42D4C957F2D)
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, 128 bits of the words, the number of shingles, band keys and two bytes of each register."""
+    """doc_id, a hash of the text, 128 bits of the words, the number of shingles, band keys and two bytes of each register.
+
+    A row that is linked with nothing has nulls after the first two.
+    """
+    kind = "doc_id bigint, t bigint, x bigint, y bigint, n bigint, keys array<bigint>, sig binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,7 +56,14 @@ def _signed(docs: DataFrame) -> DataFrame:
                 weight = words.mix(place.astype(_U) + _OTHER)
                 x, y = (words.mix(_summed(words.mix(v ^ weight), size) + size.astype(_U)) for v in (h, words.mix(h + _OTHER)))
                 total = np.bincount(grow, minlength=n)
-                own = np.flatnonzero((total > 0) & batch.column(0).slice(lo, n).is_valid().to_numpy(zero_copy_only=False))
+                there = (total > 0) & batch.column(0).slice(lo, n).is_valid().to_numpy(zero_copy_only=False)
+                own, rest = np.flatnonzero(there), np.flatnonzero(~there)
+                if len(rest):
+                    names = ["doc_id", "t", "x", "y", "n", "keys", "sig"]
+                    kinds = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, n).take(pa.array(rest)) for c in (0, 2)), *(pa.nulls(len(rest), k) for k in kinds)], names=names)
+                if not len(own):
+                    continue
                 _, one, back = np.unique(np.stack([x[own], y[own]]), axis=1, return_index=True, return_inverse=True)
                 at = np.full(n, -1)
                 at[own[one]] = np.arange(len(one))
@@ -63,14 +75,18 @@ def _signed(docs: DataFrame) -> DataFrame:
                 off32 = pa.array(np.arange(len(own) + 1, dtype=np.int32) * key.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, n).take(pa.array(own)), *(pa.array(v[own].view(np.int64)) for v in (x, y)), pa.array(total[own]),
+                        *(batch.column(c).slice(lo, n).take(pa.array(own)) for c in (0, 2)), *(pa.array(v[own].view(np.int64)) for v in (x, y)), pa.array(total[own]),
                         pa.ListArray.from_arrays(off32, pa.array(key[back].ravel().view(np.int64))), pa.array([r.tobytes() for r in byte[back]], pa.binary()),
                     ],
-                    names=["doc_id", "x", "y", "n", "keys", "sig"],
+                    names=["doc_id", "t", "x", "y", "n", "keys", "sig"],
                 )
 
-    some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return some.mapInArrow(run, "doc_id bigint, x bigint, y bigint, n bigint, keys array<bigint>, sig binary")
+    return arrow.over(_named(docs), run, kind)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text and t, a hash of the text; both name a text."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
 
 
 def _summed(v: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -105,7 +121,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], names=["a", "b"])
 
     left, right = (texts.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text")) for k in ("a", "b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
+    return arrow.over(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text"), run, "a bigint, b bigint")
 
 
 def _celled(texts: DataFrame) -> DataFrame:
@@ -124,41 +140,46 @@ def _celled(texts: DataFrame) -> DataFrame:
                     cells = pa.array([c.tobytes() for c in np.minimum(count, 255).astype(np.uint8)], pa.binary())
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(count.sum(1)), cells], names=["id", "text", "n", "cells"])
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, text string, n bigint, cells binary")
+    return arrow.over(texts.select("id", "text"), run, "id bigint, text string, n bigint, cells binary")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the smallest doc_id reachable by links) and kept (doc_id = class_id), a row per row of docs."""
+    return _classes(docs, threshold).drop("t")
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     signed = written(_signed(docs), "bagminhash")
-    one = signed.groupBy("x", "y").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
-    one = written(one, "distinct-texts")
+    one = signed.filter("x IS NOT NULL").groupBy("x", "y").agg(F.min(F.struct("doc_id", "t")).alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    # Numbers of texts hold once they are written. A doc_id may have several texts, so it can't stand for one.
+    one = written(one.select(F.monotonically_increasing_id().alias("id"), "x", "y", "first.doc_id", "first.t", "n", "keys", "sig"), "distinct-texts")
     member = one.select("id", F.posexplode("keys").alias("band", "bucket"))
     star = member.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z").select("bucket", "a")
-    shared = written(member.join(star, "bucket"), "bands")
+    shared = written(spread(member, star, "bucket", "id"), "bands")
     first = shared.filter("a <> id").select("a", F.col("id").alias("b")).distinct()
     size = one.select("id", "n")
     for k in ("a", "b"):
         first = first.join(size.select(F.col("id").alias(k), F.col("n").alias(f"n{k}")), k)
     least = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
     first = first.filter(least).select("a", "b")
-    wanted = shared.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(wanted, "id")
-    # Rows with one doc_id and different texts are told apart by nothing else here, so one of them stands for all.
-    texts = written(_celled(texts.dropDuplicates(["id"])), "candidate-texts")
+    wanted = one.select("id", "doc_id", "t").join(shared.select("id").distinct(), "id")
+    texts = _named(docs).join(wanted, ["doc_id", "t"]).select("id", "text").dropDuplicates(["id"])
+    texts = written(_celled(texts), "candidate-texts")
     links = written(_linked(first, texts, threshold), "text-links")
     found = components(links)
     base, sketch = shared.select("id", "bucket", "band"), one.select("id", "sig").join(texts.select("id", "n", "cells"), "id")
     for few in (FEW, None):
         tagged = base.join(found, base.id == found.node, "left").select("id", "bucket", "band", F.coalesce("component", "id").alias("tag"))
         open_ = tagged.groupBy("bucket").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).filter("low <> high").select("bucket")
-        tagged = written(tagged.join(open_, "bucket"), "open-bands").join(sketch, "id")
+        tagged = written(spread(tagged, open_, "bucket", "id"), "open-bands").join(sketch, "id")
         pairs = block_pairs(tagged, _across(threshold, few), "a bigint, b bigint", ["a", "b"], "low <> high").distinct()
         links = written(links.unionAll(_linked(pairs, texts, threshold)), "text-links")
         found = components(links)
-    named = one.join(found, one.id == found.node, "left").select("x", "y", F.coalesce("component", "id").alias("class_id"))
-    of = signed.join(named, ["x", "y"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(of, "doc_id", "left")
-    rows = rows.withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    linked = one.select("id", "doc_id").join(found, one.id == found.node).select("id", "doc_id", "component")
+    low = linked.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    linked = spread(linked.drop("doc_id"), low, "component", "id").select("id", "class_id")
+    named = one.join(linked, "id", "left").select("x", "y", F.coalesce("class_id", "doc_id").alias("class_id"))
+    rows = signed.select("doc_id", "t", "x", "y").join(named, ["x", "y"], "left").select("doc_id", "t", F.coalesce("class_id", "doc_id").alias("class_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
@@ -218,5 +239,5 @@ def _nth(x: np.ndarray) -> np.ndarray:
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that are kept: of each class those with its smallest doc_id."""
-    gone = classes(docs, threshold).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = _classes(docs, threshold).filter("NOT kept").select("doc_id", F.col("t").alias("__t")).distinct()
+    return docs.withColumn("__t", F.xxhash64("text")).join(gone, ["doc_id", "__t"], "left_anti").select(docs.columns)

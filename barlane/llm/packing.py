@@ -17,11 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from . import arrow, words
 from .bpe import byte_map
 from .memo import Memo
 from .store import written
@@ -34,30 +36,69 @@ _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
 
 
 class Ids:
-    """Ids that the tokenizer of a file gives without special tokens; made once in each worker."""
+    """Ids that the tokenizer of a file gives without adding special tokens; made once in each worker.
 
-    _made: dict[str, Ids] = {}
+    Added tokens that stand in a text get their ids, as the library's default is; with `ordinary`, special ones are
+    plain text.
+    """
+
+    _made: dict[tuple[str, bool], Ids] = {}
 
     @classmethod
-    def of(cls, path: str) -> Ids:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, ordinary: bool) -> Ids:
+        if (path, ordinary) not in cls._made:
+            cls._made[path, ordinary] = cls(path, ordinary)
+        return cls._made[path, ordinary]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        back = {c: b for b, c in enumerate(byte_map())}
-        special = {"<|endoftext|>"}
-        ranks = {bytes(back[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        if all(model["vocab"][a + b] == 256 + i for i, (a, b) in enumerate(merges)):  # merge order is id order
+            spec = json.load(f)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = ordinary
+        self.marks = [t["content"] for t in spec.get("added_tokens") or [] if not (ordinary and t["special"])]
+        self.memo = None
+        if _plain(spec):
+            back = {c: b for b, c in enumerate(byte_map())}
+            ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
             one = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self.encode = Memo(lambda texts: list(map(one, texts))).encode
+            self.memo = Memo(lambda texts: list(map(one, texts)))
+
+    def _whole(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text by the library, a block of texts at a time."""
+        out = []
+        for lo, hi, _, _ in words.blocks(texts):
+            out += [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts.slice(lo, hi - lo).fill_null("").to_pylist(), add_special_tokens=False)]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All rows' ids one after another, and the offsets of the rows in them."""
+        marked = np.zeros(len(texts), bool)
+        for m in self.marks if self.memo else ():
+            marked |= pc.match_substring(texts, m).fill_null(False).to_numpy(zero_copy_only=False)
+        if self.memo and not marked.any():
+            return self.memo.encode(texts)
+        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        if self.memo:
+            flat, off = self.memo.encode(pc.if_else(pa.array(marked), pa.scalar("", texts.type), texts))
+            parts = np.split(flat, off[1:-1])
+            own = np.flatnonzero(marked)
         else:
-            whole = Tokenizer.from_file(path)
-            whole.encode_special_tokens = True
-            self.encode = Memo(lambda texts: [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]).encode
+            own = np.arange(len(texts))
+        for i, ids in zip(own, self._whole(texts.take(pa.array(own)))):
+            parts[i] = ids
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.cumsum([0, *map(len, parts)])
+
+
+def _plain(spec: dict) -> bool:
+    """Whether a tokenizer file is byte-level BPE whose merge order is its id order, cut by _PATTERN and by nothing else."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or spec.get("truncation") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return False
+    odd = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in odd):
+        return False
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    return len(vocab) == 256 + len(merges) and all(vocab.get(c, 256) < 256 for c in byte_map()) and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
 
 
 def combinations(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,11 +197,11 @@ class Plan:
         return out
 
 
-def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+def _tokenized(docs: DataFrame, path: str, end_id: int, ordinary: bool) -> DataFrame:
     """uid, doc_id, n and the little-endian 32-bit ids of each document, packed to 16 bits where all fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Ids.of(path)
+        codec = Ids.of(path, ordinary)
         for batch in batches:
             flat, off = codec.encode(batch.column(2))
             narrow = not len(flat) or flat.max() < 1 << 16
@@ -173,15 +214,15 @@ def _tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             )
 
     numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    return numbered.mapInArrow(run, "uid bigint, doc_id bigint, n bigint, ids binary")
+    return arrow.over(numbered, run, "uid bigint, doc_id bigint, n bigint, ids binary")
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW, ordinary: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Planned sequences are numbered from 0; whole windows have numbers after them, by bucket.
     """
-    ids = written(_tokenized(docs, path, end_id), "packing-ids")
+    ids = written(_tokenized(docs, path, end_id, ordinary), "packing-ids")
     total = ids.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_TOKENS))
     ids = ids.withColumn("bucket", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
@@ -216,4 +257,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW) -> D
             names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
         )
 
-    return ids.groupBy("bucket").cogroup(bases.groupBy("bucket")).applyInArrow(run, _PIECES)
+    return arrow.over_pairs(ids, "bucket", bases, "bucket", run, _PIECES)

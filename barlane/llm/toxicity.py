@@ -3,7 +3,8 @@
 Features are words that tell: lower-cased runs of letters, of which those are taken whose presence in a text depends on
 some label of the training rows (chi-squared of at least TELLING). Link k of the chain is a logistic regression on which
 of them the whole text holds and on the probabilities of links 1 to k - 1. Later links are trained with out-of-fold
-predictions of the earlier ones (FOLDS folds by hash of the document), so that they see such errors as they will meet.
+predictions of the earlier ones (FOLDS folds by hash of the document; words, too, are chosen without the fold's rows), so
+that they see such errors as they will meet.
 
 Training takes at most SAMPLE labelled rows, those with the smallest hash of their doc_id; all rows are scored.
 
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import words
+from . import arrow, words
 
 #: Labelled rows that training takes at most, and bytes of text that it takes of them.
 SAMPLE, SAMPLE_BYTES = 8_000, 32 << 20
-#: Chi-squared from which a word tells, and words that the models use at most.
-TELLING, WORDS = 40.0, 4096
+#: Chi-squared from which a word tells.
+TELLING = 40.0
 FOLDS, EPOCHS = 3, 150
 #: Probability of the last category from which a row is rejected.
 THRESHOLD = 0.4
@@ -52,11 +53,6 @@ class Rows:
     def back(self, r: np.ndarray) -> np.ndarray:
         return np.bincount(self.index, np.repeat(r, np.diff(self.at)), self.width)
 
-    def take(self, rows: np.ndarray) -> Rows:
-        size = np.diff(self.at)[rows]
-        to = np.concatenate([[0], np.cumsum(size)])
-        return Rows(to, self.index[np.arange(to[-1]) + np.repeat(self.at[rows] - to[:-1], size)], self.width)
-
 
 def _words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """The number of rows, and hashes and rows of their words, by blocks."""
@@ -66,41 +62,63 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield hi - lo, words.hashes(letters, start, end), row
 
 
-def features(texts: pa.Array, known: np.ndarray) -> Rows:
-    """Which of the known words (sorted hashes) each text holds."""
-    at, index = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
-    for n, h, row in _words(texts):
-        if len(known) and len(h):
-            near = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = known[near] == h
-            own = np.unique(row[hit] * len(known) + near[hit])
-        else:
-            own = np.zeros(0, np.int64)
+@dataclass
+class Held:
+    """Which words rows hold: each (row, word hash) once."""
+
+    rows: int
+    row: np.ndarray
+    word: np.ndarray
+
+    def take(self, some: np.ndarray) -> Held:
+        """Those rows, numbered anew."""
+        to = np.full(self.rows, -1)
+        to[some] = np.arange(len(some))
+        own = to[self.row] >= 0
+        return Held(len(some), to[self.row[own]], self.word[own])
+
+    def known(self, known: np.ndarray) -> Rows:
+        """Which of the known words (sorted hashes) each row holds."""
         width = max(len(known), 1)
-        at.append(np.cumsum(np.bincount(own // width, minlength=n)) + at[-1][-1])
-        index.append(own % width)
-    return Rows(np.concatenate(at), np.concatenate(index), max(len(known), 1))
-
-
-def telling(texts: pa.Array, labels: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the words whose presence depends most on some label."""
-    rows, found, first = [], [], 0
-    for n, h, row in _words(texts):
-        _, one = np.unique(words.mix(h + row.astype(_U) * _U(0x9E3779B97F4A7C15)), return_index=True)
-        found.append(h[one])
-        rows.append(row[one] + first)
+        if not len(known):
+            return Rows(np.zeros(self.rows + 1, np.int64), np.zeros(0, np.int64), width)
+        hit = _among(known, self.word)
+        own = np.sort(self.row[hit] * width + np.searchsorted(known, self.word[hit]))
+        return Rows(np.append(0, np.cumsum(np.bincount(own // width, minlength=self.rows))), own % width, width)
+
+
+def _among(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+def held(texts: pa.Array, only: np.ndarray | None = None) -> Held:
+    """The words of texts, or those among `only` (sorted hashes)."""
+    row, word, first = [np.zeros(0, np.int64)], [np.zeros(0, _U)], 0
+    for n, h, r in _words(texts):
+        if only is not None:
+            there = _among(only, h)
+            h, r = h[there], r[there]
+        by = np.lexsort((h, r))
+        h, r = h[by], r[by]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+        row.append(r[new] + first)
+        word.append(h[new])
         first += n
-    word, which = np.unique(np.concatenate(found), return_inverse=True)
+    return Held(first, np.concatenate(row), np.concatenate(word))
+
+
+def telling(own: Held, labels: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the words whose presence in a row depends on some label."""
+    word, which = np.unique(own.word, return_inverse=True)
     there = np.bincount(which, minlength=len(word)).astype(float)
-    best = np.zeros(len(word))
-    total = len(labels)
+    best, total = np.zeros(len(word)), max(len(labels), 1)
     for y in labels.T:
-        both = np.bincount(which, y[np.concatenate(rows)], len(word))
-        due = there * y.sum() / max(total, 1)
-        spread = due * (1 - y.mean()) * (1 - there / max(total, 1))
+        both = np.bincount(which, y[own.row], len(word))
+        due = there * y.sum() / total
+        spread = due * (1 - y.sum() / total) * (1 - there / total)
         best = np.maximum(best, np.where(spread > 0, (both - due) ** 2 / np.maximum(spread, 1e-12), 0))
-    by = np.lexsort((word, -best))[:WORDS]
-    return np.sort(word[by[best[by] >= TELLING]])
+    return word[best >= TELLING]
 
 
 @dataclass
@@ -135,20 +153,25 @@ class Chain:
     links: list[Linear]
 
 
-def fit(texts: pa.Array, fold: np.ndarray, labels: np.ndarray) -> Chain:
+def fit(own: Held, fold: np.ndarray, labels: np.ndarray) -> Chain:
     """The chain for labels (rows, links)."""
-    known = telling(texts, labels)
-    x = features(texts, known)
+    known = telling(own, labels)
+    x = own.known(known)
+    parts = []  # of each fold: its rows, the other rows, and both by words that tell in the other rows
+    for f in range(FOLDS):
+        out, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        if len(out) and len(rest):
+            learns = own.take(rest)
+            tell = telling(learns, labels[rest])
+            parts.append((out, rest, own.take(out).known(tell), learns.known(tell)))
     before = np.zeros((len(labels), 0))
     chain = []
     for k in range(labels.shape[1]):
         y = labels[:, k].astype(bool)
         chain.append(train(x, before, y))
-        seen = np.zeros(len(y))
-        for f in range(FOLDS):
-            out, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-            if len(out) and len(rest):
-                seen[out] = train(x.take(rest), before[rest], y[rest]).probability(x.take(out), before[out])
+        seen = np.full(len(y), y.mean())  # of rows without a fold to learn from
+        for out, rest, unseen, learnt in parts:
+            seen[out] = train(learnt, before[rest], y[rest]).probability(unseen, before[out])
         before = np.column_stack([before, seen])
     return Chain(known, chain)
 
@@ -168,7 +191,17 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
         return Chain(np.zeros(0, _U), [])
     by = np.lexsort([got["h"].to_numpy()])
     got = got.take(pa.array(by))
-    return fit(got["text"], got["h"].to_numpy().view(_U) % FOLDS, np.stack([got["y0"].to_numpy(), got["y1"].to_numpy()], 1))
+    return fit(held(got["text"]), got["h"].to_numpy().view(_U) % FOLDS, np.stack([got["y0"].to_numpy(), got["y1"].to_numpy()], 1))
+
+
+def _probabilities(texts: pa.Array, chain: Chain, links: int) -> np.ndarray:
+    """(rows, links) probabilities; 0 without a trained chain."""
+    p = np.zeros((len(texts), links))
+    if chain.links and len(texts):
+        x = held(texts, chain.known).known(chain.known)
+        for k, link in enumerate(chain.links):
+            p[:, k] = link.probability(x, p[:, :k])
+    return p
 
 
 def scored(docs: DataFrame, chain: Chain, names: Sequence[str] = CATEGORIES) -> DataFrame:
@@ -181,17 +214,23 @@ def scored(docs: DataFrame, chain: Chain, names: Sequence[str] = CATEGORIES) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(batch)
-            p = np.zeros((n, len(names)))
-            if chain.links and n:
-                x = features(batch.column(at), chain.known)
-                for k, link in enumerate(chain.links):
-                    p[:, k] = link.probability(x, p[:, :k])
+            p = _probabilities(batch.column(at), chain, len(names))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(p[:, k])) for k in range(len(names)))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return arrow.over(docs, run, schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with p_low_quality, p_toxic and toxic (boolean): whether the last link's probability reaches the threshold."""
     return scored(docs, learned(docs, labels)).withColumn("toxic", F.col(f"p_{CATEGORIES[-1]}") >= threshold)
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that `judged` doesn't call toxic, whatever their other columns."""
+    chain, at = learned(docs, labels), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_probabilities(batch.column(at), chain, len(CATEGORIES))[:, -1] < threshold))
+
+    return arrow.over(docs, run, docs.schema)

@@ -14,11 +14,10 @@ import pyarrow.compute as pc
 
 BLOCK = 4 << 20
 U = np.uint64
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LONG = 48
+_LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,26 +52,41 @@ def spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """Start, end and row of each word; a word never crosses a row's end."""
     n = len(data)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
-    edge = np.zeros(n + 1, bool)
-    edge[off] = True
-    start = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
-    end = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-    return start, end, np.searchsorted(off, start, "right") - 1
+    inside[1:-1] = (data != 32) & (data - np.uint8(9) > 4)
+    start, end = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+    whole = off[inside[off] & inside[off + 1]]  # a row's end inside a run of other bytes
+    start[whole] = end[whole] = True
+    start, end = np.flatnonzero(start), np.flatnonzero(end)
+    return start, end, np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(start, off)))
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    size = end - start
-    h = np.full(len(start), (0xCBF29CE484222325 + seed * 0x9E3779B97F4A7C15) & (2**64 - 1), U)
-    own, j = np.flatnonzero(size <= _LONG), 0
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place the next eight bytes as a number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+def pieces(view: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray]]:
+    """By eight bytes of the spans: which spans reach so far, and those bytes of them."""
+    yield slice(None), view[start] & _MASK[np.minimum(size, 8)]
+    own, j = np.flatnonzero(size > 8), 8
     while len(own):
+        yield own, view[start[own] + j] & _MASK[np.minimum(size[own] - j, 8)]
+        j += 8
         own = own[size[own] > j]
-        h[own] = (h[own] ^ data[start[own] + j].astype(U)) * U(0x100000001B3)
-        j += 1
-    for i in np.flatnonzero(size > _LONG):
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; spans of up to eight bytes and one size never collide."""
+    size = end - start
+    h = (size.astype(U) + U(seed << 48)) * U(0x9E3779B97F4A7C15)
+    long = np.flatnonzero(size > _LONG)
+    for at, piece in pieces(eights(data), start, np.where(size > _LONG, 0, size) if len(long) else size):
+        h[at] = mix(h[at] ^ piece)
+    for i in long:
         h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
-    return mix(h ^ (size.astype(U) << U(40)))
+    return h
 
 
 def runs(h: np.ndarray, k: int) -> np.ndarray:

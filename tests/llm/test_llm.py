@@ -63,13 +63,42 @@ def test_bpe_equals_tiktoken_and_round_trips(docs, empty):
         want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += 1
     assert Counter(tuple(r) for r in got) == want
     assert bpe.digests(empty, RANKS, public_tokenizers.PATTERN).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode(docs.withColumn("ids", F.lit(1)), RANKS, public_tokenizers.PATTERN)
+    clash = bpe.encode(docs.withColumn("ids", F.lit("clash")), RANKS, public_tokenizers.PATTERN)
+    assert clash.columns == ["doc_id", "text", "chunk", "n", "ids"]
+    back = bpe.decode(clash.withColumn("decoded", F.lit(1)), RANKS, public_tokenizers.PATTERN)
+    assert all(bytes(r.decoded).decode() == (r.text or "") for r in back.collect())
+
+
+def test_bpe_of_all_sample_documents(spark):
+    ranks = {p: i for i, p in enumerate(bpe.read_ranks(RANKS))}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    of = {r.doc_id: r.text for r in texts.collect()}
+    for r in bpe.encode(texts, RANKS, public_tokenizers.PATTERN).collect():
+        assert r.ids == enc.encode_ordinary(of[r.doc_id] or "")
+
+
+def test_chunks_with_one_hash_stay_apart(monkeypatch):
+    texts = pa.array(["one two ten six", "six ten two one", "abcdefghi abcdefghj", None, "x"])
+    want = packing.Ids(JSON).encode(texts)
+    monkeypatch.setattr(words, "hashes", lambda data, start, end, seed=0: ((end - start) % 2).astype(np.uint64))
+    got = packing.Ids(JSON).encode(texts)
+    assert all((a == b).all() for a, b in zip(want, got))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("ordinary", [False, True])
+def test_ids_are_the_library_s(name, ordinary):
+    tok = Tokenizer.from_file(public_tokenizers.path(name))
+    tok.encode_special_tokens = ordinary
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "", None, "plain text, and  more\n", "é 漢字 <|endoftext|> don't", LONG]
+    flat, off = packing.Ids(public_tokenizers.path(name), ordinary).encode(pa.array(texts))
+    for t, a, b in zip(texts, off[:-1], off[1:]):
+        assert flat[a:b].tolist() == tok.encode(t or "", add_special_tokens=False).ids
 
 
 def test_packing_covers_each_id_once(docs, empty):
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     got = packing.pack(docs, JSON).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
@@ -195,6 +224,17 @@ def test_near_duplicates(spark, docs, empty):
     assert neardup.deduplicated(docs).columns == docs.columns
 
 
+def test_texts_of_one_id_have_classes_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (2, b), (2, c), (3, a + " end"), (4, c), (4, None), (None, a), (5, b)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, t string")
+    got = Counter((r.doc_id, r.class_id, r.kept) for r in neardup.classes(docs).collect())
+    assert got == Counter([(1, 1, True), (2, 2, True), (2, 2, True), (2, 2, True), (3, 1, False), (4, 2, False), (4, 4, True), (None, None, True), (5, 2, False)])
+    kept = neardup.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (2, b), (2, b), (2, c), (4, None), (None, a)])
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
@@ -257,6 +297,34 @@ def test_toxicity_on_held_out_rows(spark, empty):
     assert toxicity.judged(empty, none).count() == 0
 
 
+def test_toxicity_words_of_a_fold_are_chosen_without_it():
+    texts = [f"common {'ab'[i % 2]} only{'cdefg'[i % 5]}" for i in range(600)]
+    y = np.array([i % 2 for i in range(600)])
+    own = toxicity.held(pa.array([*texts, None, ""]))
+    assert own.rows == 602
+    part = own.take(np.array([1, 601]))
+    assert part.rows == 2 and len(part.word) == 3
+    known = toxicity.telling(own.take(np.arange(600)), np.stack([y, y], 1))
+    assert len(known) == 2
+    assert own.known(known).dot(np.ones(2))[:3].tolist() == [1, 1, 1]
+    noise = np.random.default_rng(0).integers(0, 2, 600)
+    chain = toxicity.fit(own.take(np.arange(600)), np.arange(600) % toxicity.FOLDS, np.stack([y, noise], 1))
+    assert abs(chain.links[1].extra[0]) < 1  # nothing of noise shows through the first link
+
+
+def test_toxicity_of_odd_rows(spark, docs):
+    rows = [(i, ("bad vile words here" if i % 2 else "kind calm lines here") + f" n{i}") for i in range(1000, 1400)]
+    labels = spark.createDataFrame([(i, i % 2 ^ 1, i % 2) for i, _ in rows] + [(1000, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    odd = [(1, None), (2, ""), (None, "vile bad words"), (3, "vile bad words here " * 300_000), (4, "calm kind lines"), (4, "calm kind lines")]
+    both = spark.createDataFrame(rows + odd, "doc_id long, text string").withColumn("p_toxic", F.lit("clash"))
+    got = toxicity.judged(both, labels)
+    toxic = Counter((r.doc_id, r.toxic) for r in got.filter("doc_id IS NULL OR doc_id < 1000").collect())
+    assert toxic[None, True] == toxic[3, True] == 1 and toxic[4, False] == 2 and len(toxic) == 5
+    assert got.filter("doc_id >= 1000 AND toxic <> (doc_id % 2 = 1)").count() == 0
+    kept = toxicity.kept(both, labels)
+    assert kept.columns == both.columns and kept.count() == got.filter("NOT toxic").count()
+
+
 def test_toxicity_without_labels_rejects_nothing(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.judged(docs, none).filter("toxic").count() == 0
