@@ -21,7 +21,7 @@ def _like(docs: DataFrame, done: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity chain doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.judged(docs, labels).filter("NOT toxic").select(docs.columns)
+    return toxicity.kept(docs, labels)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
