@@ -114,12 +114,17 @@ WITH d AS (
 ), s AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
-         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\\x{{80}}-\\x{{10FFFF}}]'))) AS n_lettered, length(t) AS n_chars,
+         length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits, len(regexp_extract_all(t, '(?:\\.{{3}}|\\x{{2026}})(?:\\n|\\z)')) AS n_ellipses,
+         len(regexp_extract_all(t, '(?:\\A|\\n)[ \\t]*[-*\\x{{2022}}]')) AS n_bullets, len(regexp_extract_all(t, 'https?://')) AS n_links
   FROM d LEFT JOIN c ON d.doc_id = c.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > 0.1 * n_words
-            OR (n_dup_lines > 0.5 * n_lines AND n_lines >= 4) OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
+            OR (n_dup_lines > 0.5 * n_lines AND n_lines >= 4) OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR n_lettered < 0.8 * n_words OR n_digits > 0.2 * n_chars OR (n_ellipses > 0.3 * n_lines AND n_lines >= 4)
+            OR (n_bullets > 0.9 * n_lines AND n_lines >= 4) OR n_links > 0.2 * n_words) AS kept
 FROM s""",
 }

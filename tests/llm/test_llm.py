@@ -159,6 +159,38 @@ def test_quality_signals_and_verdicts(docs, empty):
     assert quality.verdicts(empty).count() == 0
 
 
+def test_quality_order_follows_planted_costs_and_selectivities(spark):
+    rows = [(i, "word " * (10 + i % 10) + ("#" * 9 if i % 4 == 0 else "") + (" 7" * 40 if i % 10 < 3 else "")) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    dear = quality.Rule("dear", "n_symbols > 5", "1000")  # rejects 25 %
+    cheap = quality.Rule("cheap", "n_words > 45", "100")  # rejects 30 %
+    same = quality.Rule("same", "n_words > 45 AND n_words > 1", "10")  # like cheap, for a tenth
+    none = quality.Rule("none", "n_words < 0", "1")
+    for rules in ((dear, cheap, same, none), (none, cheap, dear, same)):
+        seen = quality.estimated(df, rules, sample_rows=800)
+        assert 400 < sum(s.n for s in seen) < 1600
+        # once `same` has rejected them, nothing is left for `cheap`
+        got = [r.name for r in quality.order(rules, seen)]
+        assert got == ["same", "dear", *(r.name for r in rules if r in (cheap, none))]
+    assert quality.order([none, cheap], []) == [none, cheap]
+
+
+def test_quality_rules_after_a_rejection_are_not_tested(spark, docs, empty):
+    df = quality.signals(docs, keep=["doc_id"], with_text=True)
+    every, fails = quality.Rule("every", "n_words >= 0"), quality.Rule("fails", "raise_error(concat('tested: ', __t)) IS NULL")
+    assert {r.v for r in df.select(quality.first_failed([every, fails]).alias("v")).collect()} == {"every"}
+    with pytest.raises(Exception, match="tested"):
+        df.select(quality.first_failed([fails, every]).alias("v")).collect()
+
+
+def test_quality_replaces_clashing_columns(docs, empty):
+    got = quality.cascade(docs.withColumns({"n_words": F.lit("clash"), "rejected_by": F.lit(1)}))
+    assert got.columns == ["doc_id", "text", "chunk", "n", *quality.SIGNALS, "rejected_by"]
+    first = {r.doc_id: r.rejected_by for r in got.collect()}
+    assert first[3] == "few_words" and first[6] == "digits"
+    assert quality.cascade(empty).count() == 0
+
+
 def test_substring_dedup(docs, empty):
     first = {}
     for i, t in ROWS:
