@@ -10,7 +10,7 @@ from . import words
 
 #: Entries and ids that one worker remembers. Beyond them it starts afresh, which costs time only.
 ENTRIES, IDS = 250_000, 2_000_000
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 _SPACE, _STOP, _ALNUM = np.zeros((3, 256), bool)
 _SPACE[[10, 32]] = True
 _STOP[[44, 46]] = True

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 U = np.uint64
 _MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 _LOWER = np.arange(256, dtype=np.uint8)
