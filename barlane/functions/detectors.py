@@ -4,12 +4,12 @@ from __future__ import annotations
 from .. import rules
 from ..registry import SKILLS
 from .dialect import Spark
-from .text import snip
+from .text import snip, snip_at
 
+# Fixed values of the detectors that look beyond pattern groups.
 IMPACT = r"\b(?:dead|bodied|murdered|killed|done|over|finished|gone|erased|destroyed)\b"
 OPENING = r"\b(?:dead|bodied|killed|destroyed|pressure|shook|hit|landed|punched)\b"
 CLOSING = r"\b(?:dead|bodied|killed|destroyed|pressure|shook|hit|landed|punched|done|finished)\b"
-# Fixed values of the detectors that look beyond pattern groups.
 EURO_SETUP = (
     r"\b(?:everyone|they|people)\s+(?:thinks?|thought|expected|assumed)\b",
     r"\b(?:normally|usually|typically|traditionally)\b",
@@ -75,14 +75,23 @@ def _any(d: Spark, x: str, patterns) -> str:
     return "(" + " OR ".join(d.has(x, p) for p in patterns) + ")"
 
 
-def _edge(d: Spark, pattern: str, last: bool) -> str:
-    """Points for impact words in the first or last quarter of the lines."""
+def _impacts(d: Spark, pattern: str, last: bool) -> str:
+    """The number of impact words in the first or last quarter of the lines."""
     k = "greatest(2, CAST(floor(n / 4) AS INT))"
     own = d.part("lines", f"greatest(n - {k} + 1, 1)" if last else "1", k)
-    c = d.count(f"lower({d.join(own, ' ')})", pattern)
+    return d.once(d.count(d.fold(f"lower({d.join(own, ' ')})"), pattern))
+
+
+def _edge(d: Spark, pattern: str, last: bool) -> str:
+    c = _impacts(d, pattern, last)
     return _if(d, f"n >= 4 AND {c} >= 2", 0.25, (f"n >= 4 AND {c} = 1", 0.10))
 
 
+def _dense(d: Spark) -> str:
+    """The first lines (from 1) of all three lines in a row with two impact words or more."""
+    return d.once(d.where(d.upto("n - 2"), "i", f"{d.count(d.fold('lower(' + d.join(d.part('lines', 'i', '3'), ' ') + ')'), IMPACT)} >= 2"))
+
+
 def top_word(d: Spark) -> str:
     """The most frequent word of four letters or more, the first of several, and its count: 'count word', or null."""
     w = d.all("s", r"\b[a-z]{4,}\b")
@@ -102,26 +111,52 @@ def _distinct_less(d: Spark, x: str, stop) -> str:
     return d.size(d.where(d.distinct(d.words(f"lower({x})")), "wx", test))
 
 
-def _repeated_word(d: Spark) -> str:
+#: A word said twice; the other engine has no back references and looks at runs of tokens.
+TWICE = r"\b(\w+)\s+\1\b"
+
+
+def _tokens(d: Spark) -> tuple[str, str]:
+    """All tokens of the text in normal form, and where (from 1) three of them are a word, a blank and that word."""
+    t = f"regexp_extract_all(plain, '[\\w\\x{{80}}-\\x{{10FFFF}}]+|\\s+|[^\\w\\s\\x{{80}}-\\x{{10FFFF}}]+')"
+    return t, "list_filter(generate_series(1, len(t) - 2), lambda i: regexp_matches(t[i], '^[\\w\\x{80}-\\x{10FFFF}]') AND regexp_matches(t[i + 1], '^\\s') AND t[i + 2] = t[i])"
+
+
+def repeated_word(d: Spark) -> str:
+    if d.name == "spark":
+        return f"(plain RLIKE {d.rx(TWICE)})"
+    t, at = _tokens(d)
+    return f"(SELECT len({at}) > 0 FROM (SELECT {t} AS t))"
+
+
+def _repeated_word_snip(d: Spark, pad: int) -> str:
     if d.name == "spark":
-        return d.has("s", r"\b(\w+)\s+\1\b")
-    t = d.all("s", r"\w+|\s+|[^\w\s]+")
-    return f"(SELECT len(list_filter(generate_series(1, len(t) - 2), lambda i: regexp_matches(t[i], '^\\w') AND regexp_matches(t[i + 1], '^\\s') AND t[i + 2] = t[i])) > 0 FROM (SELECT {t} AS t))"
+        return snip(d, "plain", "text", TWICE, pad)
+    t, at = _tokens(d)
+    own = f"(SELECT [len(array_to_string(t[1:pos - 1], '')), len(t[pos]) * 2 + len(t[pos + 1])] FROM (SELECT t, {at}[1] AS pos FROM (SELECT {t} AS t)))"
+    return snip_at(d, "text", f"{own}[1]", f"{own}[2]", pad)
+
+
+def _again(d: Spark) -> str:
+    """How many lines begin with three words that an earlier one begins with."""
+    openings = d.each("lines", "l", f"lower({d.join(d.part(d.words('l'), '1', '3'), ' ')})")
+    return d.once(f"(n - {d.size(d.distinct(openings))})")
+
+
+def _thin(d: Spark) -> str:
+    """The number of lines of fewer than three distinct words that aren't fillers."""
+    return d.once(d.size(d.where("lines", "l", f"{_distinct_less(d, 'l', DRAG_FILLER)} < 3")))
 
 
 def extras(d: Spark) -> dict[str, tuple[list[str], list[str]]]:
     """By detector: parts before the pattern groups, and parts after them."""
-    three = d.where(d.upto("n - 2"), "i", f"{d.count('lower(' + d.join(d.part('lines', 'i', '3'), ' ') + ')', IMPACT)} >= 2")
-    solid = d.size(d.where("lines", "l", f"{d.size(d.words('l'))} >= 6 AND {_distinct_less(d, 'l', MID_FILLER)} >= 4"))
-    setups = d.count("s", SETUPS)
-    openings = d.each("lines", "l", f"lower({d.join(d.part(d.words('l'), '1', '3'), ' ')})")
-    again = f"(n - {d.size(d.distinct(openings))})"
-    thin = d.size(d.where("lines", "l", f"{_distinct_less(d, 'l', DRAG_FILLER)} < 3"))
+    solid = d.once(d.size(d.where("lines", "l", f"{d.size(d.words('l'))} >= 6 AND {_distinct_less(d, 'l', MID_FILLER)} >= 4")))
+    setups = d.once(d.count("s", SETUPS))
+    again, thin = _again(d), _thin(d)
     tops = f"CAST({d.extract('top', '^[0-9]+')} AS INT)" if d.name == "spark" else "CAST(regexp_extract(top, '^[0-9]+') AS INT)"
     stop = ", ".join(d.lit(w) for w in TOPIC_STOP)
-    stumbles = " + ".join([*(_hit(d.has("s", p)) for p in STUMBLES), _hit(_repeated_word(d))])
+    stumbles = " + ".join([*(_hit(d.has("s", p)) for p in STUMBLES), _hit("twice")])
     return {
-        "fast_break": ([], [_if(d, f"{d.size(three)} > 0", 0.25)]),
+        "fast_break": ([], [_if(d, f"{d.size(_dense(d))} > 0", 0.25)]),
         "euro_step": ([_if(d, f"{_any(d, 's', EURO_SETUP)} AND {_any(d, 's', EURO_PIVOT)}", 0.50, (_any(d, "s", EURO_PIVOT), 0.20))], []),
         "hook_shot": ([], [_if(d, d.has("s", ROUNDABOUT), 0.30)]),
         "rebound": ([], [_if(d, d.has("s", RECOVERS), 0.35)]),
@@ -141,7 +176,7 @@ def extras(d: Spark) -> dict[str, tuple[list[str], list[str]]]:
             _if(d, f"n > 0 AND CAST({thin} AS DOUBLE) / n > {d.f(0.35)}", 0.20),
         ]),
         "forced_angle": ([], [
-            _if(d, f"n >= 4 AND {d.count('s', FORCED)} >= 3", 0.30),
+            _if(d, f"n >= 4 AND {d.once(d.count('s', FORCED))} >= 3", 0.30),
             _if(d, f"length(s) > 150 AND NOT {d.has('s', FORCED_PUNCH)}", 0.20),
         ]),
         "travel": ([f"least(({stumbles}) * {d.f(0.25)}, {d.f(0.60)})"], []),
@@ -171,14 +206,73 @@ def confidence(d: Spark, key: str, more: dict | None = None) -> str:
     return f"least({' + '.join([*before, *groups, *after])}, {d.f(1)})"
 
 
-def evidence(d: Spark, key: str) -> str:
-    """Snippets of the first hits of each pattern group, three at most, as an array."""
-    parts = []
+def _snips(d: Spark, patterns, pad: int) -> list[str]:
+    """For each pattern the text around its first match, or null."""
+    return [f"CASE WHEN {d.has('s', p)} THEN {snip(d, 's', 'text', p, pad)} END" for p in patterns]
+
+
+def _text(d: Spark, *parts: str) -> str:
+    kind = "STRING" if d.name == "spark" else "VARCHAR"
+    return "concat(" + ", ".join(p if p.startswith("'") else f"CAST({p} AS {kind})" for p in parts) + ")"
+
+
+def _second(d: Spark, p: str, pad: int) -> str:
+    """The text around the second match of p in s; p begins and ends at word ends."""
+    end = f"({d.before('s', p)} + length({d.extract('s', p)}))"
+    rest = f"substring(s, {end} + 1)"
+    return snip_at(d, "text", f"({end} + {d.before(rest, p)})", f"length({d.extract(rest, p)})", pad)
+
+
+def _beyond(d: Spark) -> dict[str, tuple[list[str], list[str]]]:
+    """By detector: evidence (or nulls) that stands before that of its pattern groups, and after it."""
+    cond = lambda test, value: f"CASE WHEN {test} THEN {value} END"
+    one = lambda p, pad: _snips(d, [p], pad)
+    setups, again, thin = d.once(d.count("s", SETUPS)), _again(d), _thin(d)
+    tops = "CAST(regexp_extract(top, '^[0-9]+', 0) AS INT)"
+    word = "regexp_replace(top, '^[0-9]+ ', '')"
+    stop = ", ".join(d.lit(w) for w in TOPIC_STOP)
+    window = d.join(d.part("lines", d.at(_dense(d), "1"), "3"), " | ")
+    share = f"CAST({'bround' if d.name == 'spark' else 'round_even'}(CAST({thin} AS DOUBLE) / n * 100, 0) AS INT)"
+    stumbles = d.part(d.where(d.array([*_snips(d, STUMBLES, 20), cond("twice", _repeated_word_snip(d, 20))]), "ev", "ev IS NOT NULL"), "1", "2")
+    forced = d.once(d.count("s", FORCED))
+    return {
+        "fast_break": ([], [cond(f"{d.size(_dense(d))} > 0", f"substring({window}, 1, 120)")]),
+        "euro_step": ([cond(_any(d, "s", EURO_PIVOT), f"coalesce({', '.join(_snips(d, EURO_SETUP, 50))})")], []),
+        "hook_shot": ([], one(ROUNDABOUT, 35)),
+        "rebound": ([], one(RECOVERS, 10)),
+        "layup": ([], one(CONTRAST, 35)),
+        "out_the_gate": ([], [cond(f"n >= 4 AND {_impacts(d, OPENING, False)} >= 2", "'Strong impact density in opening lines'")]),
+        "fourth_quarter": ([], [cond(f"n >= 4 AND {_impacts(d, CLOSING, True)} >= 2", "'Strong impact density in closing lines'")]),
+        "isolation": ([], [cond(f"n >= 4 AND {tops} >= 4 AND {word} NOT IN ({stop})", _text(d, "'Focused angle: \"'", word, "'\" repeated '", tops, "'x'"))]),
+        "breakaway": ([], [cond(f"n >= 8 AND NOT {d.has('s', STUMBLE_MARKS)}", _text(d, "n", "' lines with no stumble markers detected'"))]),
+        "carry": ([], [
+            cond(f"{setups} >= 3", snip(d, "s", "text", SETUPS, 35)),
+            cond(f"{setups} >= 3", _second(d, SETUPS, 35)),
+            cond(f"{setups} >= 1 AND {d.has('s', ANTICLIMAX)}", snip(d, "s", "text", ANTICLIMAX, 35)),
+            cond(f"n >= 6 AND {setups} >= 1 AND NOT {d.has('s', CARRY_PUNCH)}", "'Extended setup without clear punchline landing'"),
+        ]),
+        "backcourt_violation": ([], [
+            cond(f"n >= 4 AND {again} >= 3", _text(d, "'Repeated line openings: '", again, "' instances'")),
+            cond(f"n > 0 AND CAST({thin} AS DOUBLE) / n > {d.f(0.35)}", _text(d, "'Filler-heavy lines: '", thin, "'/'", "n", "' ('", share, "'%)'")),
+        ]),
+        "forced_angle": ([], [
+            cond(f"n >= 4 AND {forced} >= 3", _text(d, "'Repeated forced angle: '", forced, "'x'")),
+            cond(f"length(s) > 150 AND NOT {d.has('s', FORCED_PUNCH)}", "'Long setup without a clear punch landing'"),
+        ]),
+        "travel": ([stumbles], []),
+    }
+
+
+def evidence(d: Spark, key: str, beyond: dict | None = None) -> str:
+    """The detector's evidence in its order, three pieces at most, as an array."""
+    before, after = (beyond or _beyond(d)).get(key, ([], []))
+    listed = lambda xs: xs[0] if key == "travel" else d.where(d.array(xs), "ev", "ev IS NOT NULL")
+    parts = [listed(before)] if before else []
     for g in rules.GROUPS.get(key, []):
-        if not g.keep:
-            continue
-        found = d.array([f"CASE WHEN {d.has('s', p)} THEN {snip(d, 's', 'text', p, g.pad)} END" for p in g.patterns])
-        parts.append(d.part(d.where(found, "ev", "ev IS NOT NULL"), "1", str(g.keep)))
+        if g.keep:
+            parts.append(d.part(d.where(d.array(_snips(d, g.patterns, g.pad)), "ev", "ev IS NOT NULL"), "1", str(g.keep)))
+    if after:
+        parts.append(listed(after))
     if not parts:
         return "CAST(array() AS array<string>)" if d.name == "spark" else "CAST([] AS VARCHAR[])"
     return d.part(d.flat(d.array(parts)), "1", "3")

@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 BLANK = r"[\s\x1c-\x1f]"
+#: Columns that are folded, so that patterns meet ASCII only.
+FOLDED = ("s", "s2", "low")
 
 
 class Spark:
@@ -12,30 +14,45 @@ class Spark:
     def lit(self, s: str) -> str:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
-    def rx(self, p: str) -> str:
-        return "r'(?U)" + p.replace("'", r"\x27") + "'"
+    def rx(self, p: str, x: str = "") -> str:
+        """A pattern as a literal; for a folded column x without Unicode classes, which cost much time."""
+        return ("r'(?d)" if x in FOLDED else "r'(?U)") + p.replace("'", r"\x27") + "'"
+
+    def fold(self, x: str) -> str:
+        """x with a character of ASCII for each other one: a blank, `_` for letters and digits, `~` for the rest."""
+        x = f"regexp_replace({x}, r'[\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', ' ')"
+        return f"regexp_replace(regexp_replace({x}, r'[\\p{{L}}\\p{{N}}&&[^\\x00-\\x7F]]', '_'), r'[^\\x00-\\x7F]', '~')"
 
     def f(self, x: float) -> str:
         return f"{float(x)!r}D"
 
+    @property
+    def base(self) -> Spark:
+        """The dialect without notes."""
+        return self
+
+    def once(self, x: str) -> str:
+        """x, or the name of a column for it that a layer below gives."""
+        return x
+
     def has(self, x: str, p: str) -> str:
-        return f"({x} RLIKE {self.rx(p)})"
+        return f"({x} RLIKE {self.rx(p, x)})"
 
     def count(self, x: str, p: str) -> str:
-        return f"size(regexp_extract_all({x}, {self.rx(p)}, 0))"
+        return f"size(regexp_extract_all({x}, {self.rx(p, x)}, 0))"
 
     def all(self, x: str, p: str) -> str:
-        return f"regexp_extract_all({x}, {self.rx(p)}, 0)"
+        return f"regexp_extract_all({x}, {self.rx(p, x)}, 0)"
 
     def extract(self, x: str, p: str, group: int = 0) -> str:
-        return f"regexp_extract({x}, {self.rx(p)}, {group})"
+        return f"regexp_extract({x}, {self.rx(p, x)}, {group})"
 
     def replace(self, x: str, p: str, by: str) -> str:
         return f"regexp_replace({x}, {self.rx(p)}, r'{by}')"
 
     def before(self, x: str, p: str) -> str:
         """Characters before the first match."""
-        return f"(regexp_instr({x}, {self.rx(p)}) - 1)"
+        return f"(regexp_instr({x}, {self.rx(p, x)}) - 1)"
 
     def split(self, x: str, p: str) -> str:
         return f"split({x}, {self.rx(p)})"
@@ -71,6 +88,12 @@ class Spark:
     def array(self, items: list[str]) -> str:
         return f"array({', '.join(items)})"
 
+    def struct(self, fields: dict[str, str]) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+    def structs(self, items: list[dict[str, str]]) -> str:
+        return self.array([self.struct(i) for i in items])
+
     def flat(self, a: str) -> str:
         return f"flatten({a})"
 
@@ -95,9 +118,13 @@ class Duck(Spark):
             return "(" + " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in s.split("\n")) + ")"
         return "'" + s.replace("'", "''") + "'"
 
-    def rx(self, p: str) -> str:
+    def rx(self, p: str, x: str = "") -> str:
         return "'" + p.replace("'", r"\x27") + "'"
 
+    def fold(self, x: str) -> str:
+        """As Spark's where all characters beyond ASCII are letters or digits; this engine's patterns can't say which are."""
+        return f"regexp_replace({x}, '[^\\x00-\\x7F]', '_', 'g')"
+
     def f(self, x: float) -> str:
         return f"{float(x)!r}::DOUBLE"
 
@@ -147,6 +174,9 @@ class Duck(Spark):
     def array(self, items: list[str]) -> str:
         return f"[{', '.join(items)}]"
 
+    def struct(self, fields: dict[str, str]) -> str:
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
     def char(self, n: int) -> str:
         return f"chr({n})"
 
@@ -154,5 +184,29 @@ class Duck(Spark):
         return f"(len(list_filter({a}, lambda {v}: {test})) > 0)"
 
 
+def noted(d: Spark) -> Spark:
+    """d, but tests of folded columns, and what is given to `once`, become names; `layer` defines them, each once."""
+
+    class Noted(type(d)):
+        def __init__(self) -> None:
+            self.notes: dict[str, str] = {}
+
+        @property
+        def base(self) -> Spark:
+            return d
+
+        def once(self, x: str) -> str:
+            return self.notes.setdefault(x, f"h{len(self.notes)}")
+
+        def has(self, x: str, p: str) -> str:
+            test = super().has(x, p)
+            return self.once(test) if x in FOLDED else test
+
+        def layer(self) -> str:
+            return ", ".join(f"{test} AS {name}" for test, name in self.notes.items())
+
+    return Noted()
+
+
 def strip(d: Spark, x: str) -> str:
     return d.replace(x, f"^{BLANK}+|{BLANK}+$", "")

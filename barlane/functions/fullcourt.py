@@ -56,15 +56,16 @@ def _titles(d: Spark) -> tuple[str, list[str]]:
 def stages(d: Spark) -> dict[str, str]:
     """Stage columns over s2."""
     victims = [p for p in rules.VICTIM_STATE_PATTERNS if r"was\s+(different|off|strange)" not in p]
-    title, after = _titles(d)
+    title, after = _titles(d.base)
+    title, after = d.once(title), [d.once(a) for a in after]
     vague = rules.VAGUENESS_PENALTY_WORDS
     return {
-        "victim": f"({_listed(d, 's2', rules.VICTIM_STATE_KEYWORDS)} OR {_any(d, 's2', victims)} OR {_listed(d, '(' + title + ')', rules.FCS_TITLE_VICTIM_KEYWORDS)})",
+        "victim": f"({_listed(d, 's2', rules.VICTIM_STATE_KEYWORDS)} OR {_any(d, 's2', victims)} OR {_listed(d, title, rules.FCS_TITLE_VICTIM_KEYWORDS)})",
         "weak": _any(d, "s2", rules.FCS_WEAK_EXPRESSIONS),
         "creation": _any(d, "s2", (*rules.FULL_COURT_CREATION_PATTERNS, *rules.FULL_COURT_DIRECT_CAPTURE_PATTERNS)),
         "naming": _any(d, "s2", NAMING),
         "release": _any(d, "s2", rules.FULL_COURT_RELEASE_PATTERNS),
-        "vague_title": "(" + " OR ".join(f"({keywords(d, '(' + a + ')', vague)} > 0)" for a in after) + ")",
+        "vague_title": "(" + " OR ".join(f"({keywords(d, a, vague)} > 0)" for a in after) + ")",
         "n_vague": keywords(d, "s2", vague),
         "n_weak_words": keywords(d, "s2", rules.FULL_COURT_WEAK_KEYWORDS),
         "loose": f"({keywords(d, 's2', rules.FCS_WEAK_OBJECTS)} > 0 AND {keywords(d, 's2', rules.FCS_STRONG_MEDIA_OBJECTS)} = 0)",

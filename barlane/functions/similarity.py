@@ -4,9 +4,12 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .similarity_sql import REPEATS
+
 
 def ratio(a: str, b: str) -> float:
     """Ratcliff/Obershelp similarity; the earlier text comes first."""
@@ -61,3 +64,10 @@ def any_pair_alike_udf(lines: pd.Series) -> pd.Series:
         return any(lines_similar([a], [b], 0.75) for i, a in enumerate(own) for b in own[i + 1 :])
 
     return pd.Series([one(x) for x in lines], dtype=bool)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the functions known to a session's SQL."""
+    spark.udf.register(REPEATS, repeats_udf)
+    spark.udf.register("barlane_lines_similar", lines_similar_udf)
+    spark.udf.register("barlane_pair_alike", any_pair_alike_udf)

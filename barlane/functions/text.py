@@ -94,7 +94,10 @@ def prompt_ascii(d: Spark, x: str) -> str:
 
 def snip(d: Spark, s: str, x: str, p: str, pad: int) -> str:
     """pad characters of x around the first match of p in s, whose places may differ; line ends shown as ' | '."""
-    at, n = d.before(s, p), f"length({d.extract(s, p)})"
+    return snip_at(d, x, d.before(s, p), f"length({d.extract(s, p)})", pad)
+
+
+def snip_at(d: Spark, x: str, at: str, n: str, pad: int) -> str:
     start = f"greatest({at} - {pad}, 0)"
     piece = f"substring({x}, {start} + 1, least(length({x}), {at} + {n} + {pad}) - {start})"
     return d.replace(strip(d, piece), r"\s*[\r\n]+\s*", " | ")

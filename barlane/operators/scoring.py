@@ -96,15 +96,6 @@ def _dets(run: Run) -> DataFrame:
     return run(sqls._perf(_D, "SELECT * FROM dets", *sqls._dets(_D), prep=True))
 
 
-def _prep(run: Run) -> DataFrame:
-    return run(sqls._perf(_D, "SELECT match_id, round, side, text, lines FROM prep", prep=True))
-
-
-def _double_dribble(run: Run) -> DataFrame:
-    found = _prep(run).withColumn("r", similarity.repeats_udf("lines"))
-    return found.select(*_KEYS, F.round("r.confidence", 4).alias("confidence"), (F.col("r.confidence") >= 0.5).alias("fired"), F.array_join("r.evidence", " / ").alias("evidence"))
-
-
 def _similar(run: Run) -> DataFrame:
     d = _dets(run).select(*_KEYS, "idx", "skill_id", "quoted")
     pairs = d.join(d.select(*_KEYS, F.col("idx").alias("other"), F.col("skill_id"), F.col("quoted").alias("quoted_b")), [*_KEYS, "skill_id"]).filter("idx < other")
@@ -164,7 +155,6 @@ def _errors(run: Run) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[Run], DataFrame]] = {
-    "det_double_dribble": _double_dribble,
     "lines_similar": _similar,
     "dedup_greedy": lambda run: dedup_greedy(_dets(run)),
     "fix_fb_dup": _fix_fb_dup,

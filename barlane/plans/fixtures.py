@@ -2,35 +2,45 @@
 from __future__ import annotations
 
 from ..functions import text
-from ..functions.detectors import top_word
+from ..functions.detectors import repeated_word, top_word
 from ..functions.dialect import Spark
 from ..registry import SKILLS
-from .phrases import PHRASES
+from .phrases import OPENERS, PHRASES
 
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+#: The sides of a match.
+_ROLES = "('user', 'assistant')"
+
+
 def performances(d: Spark) -> str:
-    """perf: match_id, round, side, text; one battler's turn in one round, with two phrases added as lines of their own."""
-    values = ", ".join(f"({i}, {d.lit(p)})" for i, p in enumerate(PHRASES))
+    """perf: match_id, round, side, text; one battler's turn in one round, with phrases added as lines of their own.
+
+    Every turn of a battler is a performance, also one that no turn of the other side answers. Some begin with a greeting,
+    some say a phrase again, exactly or nearly.
+    """
     nl, n = d.char(10), len(PHRASES)
-    return f"""phrases AS (SELECT * FROM (VALUES {values}) AS v(idx, phrase)),
-raw AS (SELECT conv_id, turn, role, {d.replace('text', '[^\\x00-\\x7F]', '')} AS t FROM @conversations@ WHERE role IN ('user', 'assistant')),
+    said = lambda i: d.at(d.array([d.lit(p) for p in PHRASES]), f"1 + ({i}) % {n}")
+    opener = f"CASE conv_id % 5 WHEN 0 THEN {d.lit(OPENERS[0])} || {nl} WHEN 1 THEN {d.lit(OPENERS[1])} || {nl} ELSE '' END"
+    again = f"CASE conv_id % 6 WHEN 0 THEN {nl} || a WHEN 1 THEN {nl} || a || ' now' WHEN 2 THEN {nl} || a || ' and once more' ELSE '' END"
+    # All windows of a conversation need its rows in one place, so they are dealt out once, by the conversation.
+    return f"""raw AS (SELECT /*+ REPARTITION(conv_id) */ conv_id, turn, role, text AS t FROM @conversations@ WHERE role IN {_ROLES}),
 turns AS (
-  SELECT conv_id AS match_id, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS INT) AS round,
-         CASE role WHEN 'user' THEN 'A' ELSE 'B' END AS side, turn, t || {nl} || a.phrase || {nl} || b.phrase AS text
-  FROM raw JOIN phrases a ON a.idx = (conv_id * 7 + turn) % {n} JOIN phrases b ON b.idx = (conv_id * 3 + turn * 5 + 11) % {n}
+  SELECT conv_id, turn, t, CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS INT) AS round, CASE role WHEN 'user' THEN 'A' ELSE 'B' END AS side,
+         {said('conv_id * 7 + turn')} AS a, {said('conv_id * 3 + turn * 5 + 11')} AS b
+  FROM raw
 ),
-both_sides AS (SELECT match_id AS m, round AS r FROM turns GROUP BY match_id, round HAVING count(*) = 2),
-perf AS (SELECT match_id, round, side, turn, text FROM turns JOIN both_sides ON match_id = m AND round = r)"""
+perf AS (SELECT conv_id AS match_id, round, side, {opener} || t || {nl} || a || {nl} || b || {again} AS text FROM turns)"""
 
 
 def prepared(d: Spark) -> str:
-    """prep: perf with s, s2, low, lines, n and top."""
-    return f"""prep0 AS (SELECT *, {text.norm(d, 'text')} AS s, {text.norm_legacy(d, 'text')} AS s2, lower(text) AS low, {text.lines(d, 'text')} AS lines FROM perf),
-prep AS (SELECT *, CAST({d.size('lines')} AS INT) AS n, {top_word(d)} AS top FROM prep0)"""
+    """prep: perf with plain (normalised), s, s2, low (folded, see dialect.FOLDED), lines, n, top and twice."""
+    return f"""prep1 AS (SELECT *, {text.norm(d, 'text')} AS plain, {d.fold(text.norm_legacy(d, 'text'))} AS s2, {d.fold('lower(text)')} AS low, {text.lines(d, 'text')} AS lines FROM perf),
+prep0 AS (SELECT *, {d.fold('plain')} AS s FROM prep1),
+prep AS (SELECT *, CAST({d.size('lines')} AS INT) AS n, {top_word(d)} AS top, {repeated_word(d)} AS twice FROM prep0)"""
 
 
 def skills(d: Spark) -> str:
@@ -61,7 +71,10 @@ def detections(d: Spark) -> str:
 dets AS (
   SELECT match_id, round, side, n, win_idx, CAST(det_idx AS INT) AS det_idx, start, stop, CAST(win_idx * 2 + det_idx AS INT) AS idx, skill_id, skill_name, points,
          CASE WHEN skill_id = 'FL' THEN 'negative' WHEN points > 0 THEN 'positive' ELSE 'negative' END AS direction,
-         CASE WHEN coalesce({first}, '') = '' THEN {d.array([second])} ELSE {d.array([first, second])} END AS quoted,
+         CASE WHEN skill_id = 'ES' AND match_id % 2 = 0 THEN {d.array([d.lit('They thought Naked was the answer'), d.lit('then Nathan ate the bacon')])}
+              WHEN skill_id = 'CO' AND match_id % 2 = 0 THEN {d.array([d.lit('he is a king, no wait, a clown'), second])}
+              WHEN skill_id = 'FB' AND match_id % 3 = 0 THEN {d.array([d.lit('hit after hit'), d.lit('hit after hit again')])}
+              WHEN coalesce({first}, '') = '' THEN {d.array([second])} ELSE {d.array([first, second])} END AS quoted,
          CAST((match_id + win_idx + det_idx) % 3 AS INT) AS checks
   FROM dets0 JOIN skills ON ord = CAST((match_id * 5 + round * 3 + win_idx * 7 + det_idx * 11) % 35 AS INT)
 )"""

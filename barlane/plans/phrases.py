@@ -67,3 +67,6 @@ PHRASES = (
     "glissies and a blip spray on the tech knives",
     "quick one, two, three. then some more of it here, with many words in this one sentence, so that it runs on, and on, past the mark.",
 )
+
+#: First lines of some of the sample transcripts: a generic one, and one that a simile saves.
+OPENERS = ("Yo what's up, welcome to the show", "Let's go, i hit like a train tonight")

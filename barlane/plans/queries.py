@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import Duck, Spark
+from ..functions.similarity import register
 from ..operators import scoring
 from . import sqls
 
@@ -20,6 +21,7 @@ def view(spark: SparkSession, sf_dir: str, table: str) -> str:
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    register(spark)
     return spark.sql(re.sub(r"@(\w+)@", lambda m: view(spark, sf_dir, m[1]), sql))
 
 
@@ -28,5 +30,5 @@ def _of(make: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame
 
 
 QUERIES = {name: _of(make) for name, make in sqls.Q.items()}
-SQL = {name: re.sub(r"@(\w+)@", r"\1", make(Duck())) for name, make in sqls.Q.items()}
+SQL = {name: re.sub(r"@(\w+)@", r"\1", make(Duck())).replace("WITH ", "WITH RECURSIVE ", 1) for name, make in sqls.Q.items()}
 QUERIES |= {name: (lambda f: lambda spark, sf_dir: f(lambda sql: run(spark, sf_dir, sql)))(f) for name, f in scoring.QUERIES.items()}

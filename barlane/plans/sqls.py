@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from .. import registry as reg
 from .. import rules
-from ..functions import detectors, fullcourt, text
-from ..functions.dialect import Spark, strip
+from ..functions import detectors, fullcourt, similarity_sql, text
+from ..functions.dialect import Spark, noted, strip
 from . import fixtures as fx
 
 Q: dict[str, Callable[[Spark], str]] = {}
@@ -34,7 +34,7 @@ _text("slang_fix", text.slang, "fixed")
 _text("adlib_strip", text.adlib_strip, "kept")
 _text("ogr_block", text.ogr_block, "blocked")
 _text("auto_split_bars", lambda d, x: text.auto_split(d, d.replace(x, r"\n", " ")), "split_text")
-Q["auto_split"] = lambda d: f"SELECT doc_id, {text.auto_split(d, 't')} AS split_text FROM (SELECT doc_id, {d.replace('text', '[^\\x00-\\x7F]', '')} AS t FROM @documents@) AS x"
+Q["auto_split"] = lambda d: f"SELECT doc_id, {text.auto_split(d, 'text')} AS split_text FROM @documents@"
 Q["prompt_ascii"] = lambda d: f"SELECT doc_id, {text.prompt_ascii(d, 'concat(text, ' + d.lit(chr(0x2014) + chr(0x2026) + chr(0x2192) + chr(0x2260)) + ')')} AS prompt FROM @documents@"
 
 
@@ -91,19 +91,22 @@ for _key in detectors.PLAIN:
     Q[f"det_{_key}"] = _det(_key)
 
 
-def _full(d: Spark) -> str:
-    return "fcs AS (SELECT match_id, round, side, " + ", ".join(f"{e} AS {k}" for k, e in fullcourt.stages(d).items()) + " FROM prep)"
+def _staged(d: Spark, below: str = "prep") -> tuple[str, ...]:
+    """fcs: prep with the stage columns of the full-court shot; each test of a pattern is stated once, in the layer below."""
+    n = noted(d)
+    stages = ", ".join(f"{e} AS {k}" for k, e in fullcourt.stages(n).items())
+    return f"fcs0 AS (SELECT *, {n.layer()} FROM {below})", f"fcs AS (SELECT *, {stages} FROM fcs0)"
 
 
 @query
 def fcs_stages(d: Spark) -> str:
-    return _perf(d, "SELECT match_id, round, side, victim, weak, creation, naming, release, vague_title, CAST(n_vague AS INT) AS n_vague FROM fcs", _full(d), prep=True)
+    return _perf(d, "SELECT match_id, round, side, victim, weak, creation, naming, release, vague_title, CAST(n_vague AS INT) AS n_vague FROM fcs", *_staged(d), prep=True)
 
 
 @query
 def det_full_court_shot(d: Spark) -> str:
     return _perf(
-        d, f"SELECT match_id, round, side, round(conf, 4) AS confidence, conf >= {d.f(0.45)} AS fired FROM (SELECT match_id, round, side, {fullcourt.score(d)} AS conf FROM fcs) AS c", _full(d), prep=True
+        d, f"SELECT match_id, round, side, round(conf, 4) AS confidence, conf >= {d.f(0.45)} AS fired FROM (SELECT match_id, round, side, {fullcourt.score(d)} AS conf FROM fcs) AS c", *_staged(d), prep=True
     )
 
 
@@ -119,9 +122,9 @@ def det_dd_exact(d: Spark) -> str:
     )
 
 
-def conf_columns(d: Spark) -> str:
-    more = detectors.extras(d)
-    return ", ".join(f"{detectors.confidence(d, key, more)} AS c_{key}" for key in detectors.PLAIN)
+@query
+def det_double_dribble(d: Spark) -> str:
+    return _perf(d, f"SELECT match_id, round, side, round(dd_conf, 4) AS confidence, dd_conf >= {d.f(0.5)} AS fired, {d.join('dd_evidence', ' / ')} AS evidence FROM repeated", *similarity_sql.repeated(d), prep=True)
 
 
 def rows_of(d: Spark, items: list[dict[str, str]]) -> str:
@@ -131,31 +134,65 @@ def rows_of(d: Spark, items: list[dict[str, str]]) -> str:
     return "unnest([" + ", ".join("{" + ", ".join(f"'{k}': {v}" for k, v in i.items()) + "}" for i in items) + "]) AS x"
 
 
+#: Points are added up as whole hundredths.
+_INTEGER = {"spark": "INT", "duck": "BIGINT"}
+
+
 def scan(d: Spark, evidence: bool = False) -> tuple[str, ...]:
-    """found: detections of all detectors but the fuzzy one that reach their thresholds."""
-    items = [{"key": f"'{k}'", "conf": f"c_{k}", **({"evidence": f"e_{k}"} if evidence else {})} for k in detectors.PLAIN]
-    own = ", ".join(f"{detectors.evidence(d, k)} AS e_{k}" for k in detectors.PLAIN)
-    items.append({"key": "'full_court_shot'", "conf": "c_full_court_shot", **({"evidence": detectors.evidence(d, 'none')} if evidence else {})})
-    more = f", {own}" if evidence else ""
-    keep = ", x.evidence AS evidence" if evidence else ""
+    """scanned: prep with dets, an array of the detections that reach their thresholds, in the order of the registry.
+
+    The work of a performance stays in its row: patterns are tested once, in one layer, and no row is joined to itself.
+    """
+    n = noted(d)
+    stages = ", ".join(f"{e} AS {k}" for k, e in fullcourt.stages(n).items())
+    more, beyond = detectors.extras(n), detectors._beyond(n) if evidence else {}
+    conf = {k: detectors.confidence(n, k, more) for k in detectors.PLAIN} | {"full_court_shot": fullcourt.score(n), "double_dribble": "dd_conf"}
+    items = []
+    for i, (key, skill_id, _, points, _, threshold) in enumerate(reg.SKILLS):
+        item = {"ord": str(i), "skill_id": f"'{skill_id}'", "cents": str(round(points * 100)), "conf": conf[key], "least": d.f(reg.threshold(points, threshold))}
+        if evidence:
+            item["evidence"] = "dd_evidence" if key == "double_dribble" else detectors.evidence(n, key, beyond)
+        items.append(item)
+    layer = n.layer()
+    return (
+        *similarity_sql.repeated(d),
+        f"tested AS (SELECT *, {layer} FROM repeated)",
+        f"staged AS (SELECT *, {stages} FROM tested)",
+        f"scanned AS (SELECT match_id, round, side, text, lines, n, {d.where(d.structs(items), 'x', 'x.conf >= x.least')} AS dets FROM staged)",
+    )
+
+
+def _each_of(d: Spark, a: str) -> str:
+    """An element of the array in each row, or a null for an empty one: a plain explode would have Spark test the array's
+    size in a filter below, and so state all that it is made of a second time."""
+    return f"explode_outer({a}) AS x" if d.name == "spark" else f"unnest({a}) AS x"
+
+
+def found(d: Spark, evidence: bool = False) -> tuple[str, ...]:
+    """scan, and found: a row for each detection."""
+    some = _each_of(d, "dets")
     return (
-        _full(d),
-        f"full_shot AS (SELECT match_id AS fm, round AS fr, side AS fs, {fullcourt.score(d)} AS c_full_court_shot FROM fcs)",
-        f"confs AS (SELECT prep.*, {conf_columns(d)}{more}, c_full_court_shot FROM prep JOIN full_shot ON match_id = fm AND round = fr AND side = fs)",
-        f"every AS (SELECT match_id, round, side, x.key AS k, x.conf AS conf{keep} FROM (SELECT match_id, round, side, {rows_of(d, items)} FROM confs) AS y)",
+        *scan(d, evidence),
         fx.skills(d),
         f"""found AS (
   SELECT match_id, round, side, ord, skill_id, skill_name, points, category, CASE WHEN points > 0 THEN 'positive' ELSE 'negative' END AS direction,
          round(conf, 4) AS confidence{', evidence' if evidence else ''}
-  FROM every JOIN skills ON k = key WHERE conf >= greatest(threshold, CASE WHEN points < 0 THEN {d.f(reg.NEGATIVE)} ELSE {d.f(reg.POSITIVE)} END)
+  FROM (SELECT match_id, round, side, x.ord AS o, x.conf AS conf{', x.evidence AS evidence' if evidence else ''} FROM (SELECT match_id, round, side, {some} FROM scanned) AS y WHERE x IS NOT NULL) AS z JOIN skills ON ord = o
 )""",
     )
 
 
+def _cents(d: Spark, dets: str) -> str:
+    """The points of an array of detections."""
+    own = d.each(dets, "x", "x.cents")
+    total = f"aggregate({own}, 0, (a, x) -> a + x)" if d.name == "spark" else f"coalesce(list_sum({own}), 0)"
+    return f"round(CAST({total} AS DOUBLE) / 100, 2)"
+
+
 @query
 def scan_detect(d: Spark) -> str:
     rank = "CAST(row_number() OVER (PARTITION BY match_id, round, side ORDER BY CASE WHEN points > 0 THEN 0 ELSE 1 END, confidence DESC, ord) AS INT) AS place"
-    return _perf(d, f"SELECT match_id, round, side, skill_id, skill_name, points, category, direction, confidence, {rank} FROM found", *scan(d), prep=True)
+    return _perf(d, f"SELECT match_id, round, side, skill_id, skill_name, points, category, direction, confidence, {rank} FROM found", *found(d), prep=True)
 
 
 _TOTAL = "round(CAST(sum(CAST(points AS DECIMAL(8, 2))) AS DOUBLE), 2)"
@@ -163,46 +200,56 @@ _TOTAL = "round(CAST(sum(CAST(points AS DECIMAL(8, 2))) AS DOUBLE), 2)"
 
 @query
 def scan_total(d: Spark) -> str:
-    return _perf(d, f"SELECT match_id, round, side, CAST(count(*) AS BIGINT) AS n, {_TOTAL} AS total FROM found GROUP BY match_id, round, side", *scan(d), prep=True)
+    return _perf(d, f"SELECT match_id, round, side, CAST({d.size('dets')} AS BIGINT) AS n, {_cents(d, 'dets')} AS total FROM scanned", *scan(d), prep=True)
 
 
 @query
 def scan_split(d: Spark) -> str:
-    agg = lambda s: f"CAST(sum(CASE WHEN direction = '{s}' THEN 1 ELSE 0 END) AS BIGINT)"
-    return _perf(d, f"SELECT match_id, round, side, {agg('positive')} AS n_highlights, {agg('negative')} AS n_mistakes FROM found GROUP BY match_id, round, side", *scan(d), prep=True)
+    count = lambda test: f"CAST({d.size(d.where('dets', 'x', test))} AS BIGINT)"
+    return _perf(d, f"SELECT match_id, round, side, {count('x.cents > 0')} AS n_highlights, {count('x.cents < 0')} AS n_mistakes FROM scanned", *scan(d), prep=True)
 
 
 def attributed(d: Spark) -> tuple[str, ...]:
-    """placed: found with best, the line (from 1) that holds most probes of the evidence, -1 for none."""
+    """placed: scanned with spots, an array of detections with best, the line (from 1) that holds most probes of the evidence, -1 for none."""
     words = d.words("lower(ev)")
-    pairs = d.where(d.each(d.upto(f"{d.size(words)} - 1"), "i", d.join(d.part(words, "i", "2"), " ")), "z", "true")
-    probes = d.flat(d.each("evidence", "ev", (f"concat({d.where(words, 'w', 'length(w) >= 5')}, {pairs})" if d.name == "spark" else f"list_concat({d.where(words, 'w', 'length(w) >= 5')}, {pairs})")))
-    hits = d.each("lines", "l", d.size(d.where("probes", "p", d.contains("lower(l)", "p"))))
-    most = "array_max(hits)" if d.name == "spark" else "list_max(hits)"
-    where = "array_position(hits, array_max(hits))" if d.name == "spark" else "list_position(hits, list_max(hits))"
+    pairs = d.each(d.upto(f"{d.size(words)} - 1"), "i", d.join(d.part(words, "i", "2"), " "))
+    both = f"concat({d.where(words, 'w', 'length(w) >= 5')}, {pairs})" if d.name == "spark" else f"list_concat({d.where(words, 'w', 'length(w) >= 5')}, {pairs})"
+    probes = d.flat(d.each("x.evidence", "ev", both))
+    hits = d.each("lows", "l", d.size(d.where("x.probes", "p", d.contains("l", "p"))))
+    most, where = ("array_max(x.hits)", "array_position(x.hits, array_max(x.hits))") if d.name == "spark" else ("list_max(x.hits)", "list_position(x.hits, list_max(x.hits))")
+    keep = {k: f"x.{k}" for k in ("ord", "skill_id", "cents")}
     return (
-        f"probed AS (SELECT found.*, lines, {probes} AS probes FROM found JOIN (SELECT match_id AS pm, round AS pr, side AS ps, lines FROM prep) AS p ON match_id = pm AND round = pr AND side = ps)",
-        f"counted AS (SELECT *, {hits} AS hits FROM probed)",
-        f"placed AS (SELECT *, CASE WHEN {d.size("probes")} > 0 AND {most} > 0 THEN CAST({where} AS INT) ELSE -1 END AS best FROM counted)",
+        f"probed AS (SELECT match_id, round, side, lines, {d.each('lines', 'l', 'lower(l)')} AS lows, {d.each('dets', 'x', d.struct({**keep, 'probes': probes}))} AS dets FROM scanned)",
+        f"counted AS (SELECT match_id, round, side, lines, {d.each('dets', 'x', d.struct({**keep, 'hits': hits}))} AS dets FROM probed)",
+        f"placed AS (SELECT match_id, round, side, lines, {d.each('dets', 'x', d.struct({**keep, 'best': f'CASE WHEN {most} > 0 THEN CAST({where} AS INT) ELSE -1 END'}))} AS spots FROM counted)",
     )
 
 
 @query
 def line_attribution(d: Spark) -> str:
-    return _perf(d, "SELECT match_id, round, side, skill_id, best FROM placed", *scan(d, True), *attributed(d), prep=True)
+    return _perf(d, f"SELECT match_id, round, side, x.skill_id AS skill_id, x.best AS best FROM (SELECT match_id, round, side, {_each_of(d, 'spots')} FROM placed) AS y WHERE x IS NOT NULL", *scan(d, True), *attributed(d), prep=True)
 
 
 @query
 def line_scores(d: Spark) -> str:
+    """Every line, with the detections placed on it; those without a line are on the first."""
+    if d.name == "spark":
+        some = "posexplode(lines) AS (p, line)"
+    else:
+        some = "generate_subscripts(lines, 1) - 1 AS p, unnest(lines) AS line"
+    own = d.where("spots", "x", "greatest(x.best, 1) = p + 1")
     return _perf(
-        d, f"SELECT match_id, round, side, greatest(best, 1) AS line_no, CAST(count(*) AS BIGINT) AS n_skills, {_TOTAL} AS line_score FROM placed GROUP BY match_id, round, side, greatest(best, 1)", *scan(d, True), *attributed(d), prep=True
-    )
+        d,
+        f"SELECT match_id, round, side, CAST(p + 1 AS INT) AS line_no, line, CAST({d.size('own')} AS BIGINT) AS n_skills, {d.join(d.each('own', 'x', 'x.skill_id'), ',')} AS skills, {_cents(d, 'own')} AS line_score "
+        f"FROM (SELECT match_id, round, side, p, line, {own} AS own FROM (SELECT match_id, round, side, spots, {some} FROM placed) AS y) AS z",
+        *scan(d, True), *attributed(d), prep=True,
+    )
 
 
 @query
 def legacy_matrix(d: Spark) -> str:
     own = f"round({detectors.confidence(d, 'slam_dunk')}, 6) AS sd, round({detectors.confidence(d, 'half_court_shot')}, 6) AS hcs, round({detectors.legacy_alley_oop(d)}, 6) AS aly"
-    return _perf(d, f"SELECT match_id, round, side, round({fullcourt.score(d)}, 6) AS fcs, sd, hcs, aly FROM fcs JOIN (SELECT match_id AS lm, round AS lr, side AS ls, {own} FROM prep) AS l ON match_id = lm AND round = lr AND side = ls", _full(d), prep=True)
+    return _perf(d, f"SELECT match_id, round, side, round({fullcourt.score(d)}, 6) AS fcs, {own} FROM fcs", *_staged(d), prep=True)
 
 
 @query
@@ -398,27 +445,37 @@ def hard_gates(d: Spark) -> str:
     return _perf(d, f"SELECT {_KEYS}, idx, skill_id, {verdict} AS verdict FROM (SELECT *, {checks} AS required FROM dets) AS x", *_dets(d), prep=True)
 
 
+def deliberate(d: Spark, ev: str) -> str:
+    """Whether some evidence shows a likeness of 93 % or more."""
+    return d.any_in(ev, "e", f"{d.has('e', r'similarity\s+(\d+)%')} AND CAST(coalesce(nullif({d.extract('e', r'similarity\s+(\d+)%', 1)}, ''), '0') AS INT) >= 93")
+
+
 @query
 def dd_deliberate(d: Spark) -> str:
-    ev = f"{d.array([d.lit('Repeated (2x)'), 'concat(' + d.lit('Near-repeat (similarity ') + ', 80 + idx, ' + d.lit('%)') + ')'])}"
-    test = d.any_in(ev, "e", f"{d.has('e', r'similarity\s+(\d+)%')} AND CAST(coalesce(nullif({d.extract('e', r'similarity\s+(\d+)%', 1)}, ''), '0') AS INT) >= 93")
-    return _perf(d, f"SELECT {_KEYS}, idx, skill_id = 'DD' AND {test} AS deliberate FROM dets", *_dets(d), prep=True)
+    return _perf(d, f"SELECT {_KEYS}, {d.join('dd_evidence', ' / ')} AS evidence, {deliberate(d, 'dd_evidence')} AS deliberate FROM repeated WHERE {d.size('dd_evidence')} > 0", *similarity_sql.repeated(d), prep=True)
+
+
+def trusted(d: Spark) -> str:
+    """trusted: the rule findings that are taken over, of texts that don't say a line again on purpose."""
+    listed = ", ".join(f"'{s}'" for s in reg.TRUSTED)
+    own = d.where("dets", "x", f"x.skill_id IN ({listed})")
+    return f"trusted AS (SELECT match_id, round, side, x.skill_id AS skill_id, x.cents / {d.f(100)} AS points, x.skill_id = 'DD' AND {deliberate(d, 'x.evidence')} AS deliberate FROM (SELECT match_id, round, side, {_each_of(d, own)} FROM scanned) AS y WHERE x IS NOT NULL)"
 
 
 def merged(d: Spark) -> str:
     """final: trusted rule findings that the judge didn't reject, and the judge's findings of other skills that pass the gates."""
-    trusted = ", ".join(f"'{s}'" for s in reg.TRUSTED)
-    return f"""rejected AS (SELECT DISTINCT {_KEYS}, skill_id FROM dets WHERE skill_id IN ({trusted}) AND checks = 1),
+    listed = ", ".join(f"'{s}'" for s in reg.TRUSTED)
+    return f"""rejected AS (SELECT DISTINCT {_KEYS}, skill_id FROM dets WHERE skill_id IN ({listed}) AND checks = 1),
 final AS (
-  SELECT f.match_id, f.round, f.side, f.skill_id, f.points, 'rule' AS source FROM found f LEFT JOIN rejected r
+  SELECT f.match_id, f.round, f.side, f.skill_id, f.points, 'rule' AS source FROM trusted f LEFT JOIN rejected r
   ON f.match_id = r.match_id AND f.round = r.round AND f.side = r.side AND f.skill_id = r.skill_id
-  WHERE f.skill_id IN ({trusted}) AND r.skill_id IS NULL
-  UNION ALL SELECT {_KEYS}, skill_id, points, 'judge' AS source FROM dets WHERE skill_id NOT IN ({trusted}) AND {_gate(d)} = 'accepted'
+  WHERE r.skill_id IS NULL AND NOT f.deliberate
+  UNION ALL SELECT {_KEYS}, skill_id, points, 'judge' AS source FROM dets WHERE skill_id NOT IN ({listed}) AND {_gate(d)} = 'accepted'
 )"""
 
 
 def _merge(d: Spark) -> tuple[str, ...]:
-    return *scan(d), fx.windows(d), fx.detections(d), merged(d)
+    return *scan(d, True), trusted(d), fx.windows(d), fx.skills(d), fx.detections(d), merged(d)
 
 
 @query
@@ -435,12 +492,14 @@ def hybrid_total(d: Spark) -> str:
 # Match analytics.
 
 
-def scores(d: Spark) -> tuple[str, ...]:
-    """rounds: both sides' rule totals and the round's winner."""
-    side = lambda s: f"coalesce(round(CAST(sum(CASE WHEN p.side = '{s}' THEN CAST(points AS DECIMAL(8, 2)) END) AS DOUBLE), 2), {d.f(0)})"
+def scores(d: Spark, below: tuple[str, ...] | None = None, scored: str | None = None) -> tuple[str, ...]:
+    """rounds: both sides' totals and the round's winner, of rounds that both sides have; verdicts: each match's wins."""
+    below = scan(d) if below is None else below
+    scored = scored or f"SELECT match_id, round, side, {_cents(d, 'dets')} AS total FROM scanned"
     return (
-        *scan(d),
-        f"totals AS (SELECT p.match_id, p.round, {side('A')} AS a, {side('B')} AS b FROM perf p LEFT JOIN found f ON p.match_id = f.match_id AND p.round = f.round AND p.side = f.side GROUP BY p.match_id, p.round)",
+        *below,
+        f"scored AS ({scored})",
+        "totals AS (SELECT match_id, round, max(CASE side WHEN 'A' THEN total END) AS a, max(CASE side WHEN 'B' THEN total END) AS b FROM scored GROUP BY match_id, round HAVING count(DISTINCT side) = 2)",
         f"rounds AS (SELECT *, CASE WHEN abs(round(a - b, 2)) <= {d.f(reg.TIE)} THEN 'tie' WHEN a > b THEN 'A' ELSE 'B' END AS winner FROM totals)",
         f"verdicts AS (SELECT match_id, CAST(count(*) AS INT) AS n_rounds, CAST(sum(CASE winner WHEN 'A' THEN 1 WHEN 'tie' THEN 0.5 ELSE 0 END) AS DOUBLE) AS a_wins, CAST(sum(CASE winner WHEN 'B' THEN 1 WHEN 'tie' THEN 0.5 ELSE 0 END) AS DOUBLE) AS b_wins FROM rounds GROUP BY match_id)",
     )
