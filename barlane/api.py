@@ -2,32 +2,38 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions import similarity
 from .functions.dialect import Spark
+from .operators import hybrid as _hybrid
 from .plans import fixtures, sqls
-from .registry import IDS, SKILLS
+from .plans.queries import session
+from .registry import NEGATIVE, POSITIVE
+
+
+def _over(performances: DataFrame, make: Callable[[Spark], str]) -> DataFrame:
+    view = f"performances_{uuid.uuid4().hex}"
+    performances.select("match_id", "round", "side", "text").createGlobalTempView(view)
+    sample, own = fixtures.performances(Spark()), f"perf AS (SELECT * FROM global_temp.{view})"
+    return session(performances.sparkSession).sql(make(Spark()).replace(sample, own))
 
 
 def apply(performances: DataFrame, query: str) -> DataFrame:
     """The named query with these performances in place of the sample ones."""
-    view = f"performances_{uuid.uuid4().hex}"
-    performances.select("match_id", "round", "side", "text").createOrReplaceTempView(view)
-    sample, own = fixtures.performances(Spark()), f"perf AS (SELECT * FROM {view})"
-    return performances.sparkSession.sql(sqls.Q[query](Spark()).replace(sample, own))
+    return _over(performances, sqls.Q[query])
+
 
+def scan(performances: DataFrame, threshold: float = POSITIVE, negative_threshold: float = NEGATIVE) -> DataFrame:
+    """Every detection: skill, points, confidence, direction, evidence, in the order of `place`."""
+    return _over(performances, lambda d: sqls.detections_of(d, threshold, negative_threshold))
 
-def scan(performances: DataFrame) -> DataFrame:
-    """Every detection: skill, points, confidence, direction; fuzzy repeats included."""
-    found = apply(performances, "scan_detect").drop("place")
-    dd = next(s for s in SKILLS if s[0] == "double_dribble")
-    repeats = apply(performances, "lines_explode").groupBy("match_id", "round", "side").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    repeats = repeats.withColumn("r", similarity.repeats_udf(F.col("l.line"))).filter("r.confidence >= 0.5")
-    own = {"skill_id": F.lit(IDS[dd[0]]), "skill_name": F.lit(dd[2]), "points": F.lit(dd[3]), "category": F.lit(dd[4]), "direction": F.lit("negative"), "confidence": F.round("r.confidence", 4)}
-    return found.unionByName(repeats.select("match_id", "round", "side", *(c.alias(k) for k, c in own.items())))
+
+def totals(performances: DataFrame) -> DataFrame:
+    """Number of detections and total of each performance."""
+    return apply(performances, "scan_total")
 
 
 def windows(performances: DataFrame) -> DataFrame:
@@ -41,10 +47,27 @@ def legacy_matrix(performances: DataFrame) -> DataFrame:
 
 
 def line_scores(performances: DataFrame) -> DataFrame:
-    """Points of each line."""
+    """Every line with its skills and points."""
     return apply(performances, "line_scores")
 
 
+def score_rounds(performances: DataFrame) -> DataFrame:
+    """A document for each performance: its lines with skills and points, total, highlights and deductions, as JSON."""
+    keys = ["match_id", "round", "side"]
+    lines = line_scores(performances).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "skills", "line_score"))).alias("lines"))
+    item = F.struct("place", "skill_id", "skill_name", "points", "direction", "category", "confidence", "evidence")
+    some = lambda s: F.array_sort(F.collect_list(F.when(F.col("direction") == s, item)))
+    found = scan(performances).groupBy(*keys).agg(some("positive").alias("highlights"), some("negative").alias("deductions"))
+    whole = totals(performances).join(lines, keys, "left").join(found, keys, "left")
+    body = F.to_json(F.struct(F.col("round").alias("round_number"), F.col("side").alias("battler"), F.col("total").alias("total_score"), "lines", "highlights", "deductions"))
+    return whole.select(*keys, "n", "total", body.alias("document"))
+
+
 def match_verdicts(performances: DataFrame) -> DataFrame:
-    """Winner, wins and summary of each match."""
+    """Winner, wins and summary of each match by the rules alone."""
     return apply(performances, "match_verdict")
+
+
+#: Rules and judge over each performance, and over whole matches; see operators.hybrid.
+hybrid = _hybrid.hybrid
+matches = _hybrid.matches

@@ -1,42 +1,116 @@
-"""python -m barlane.cli: list skills, scan a transcript, or score match payloads."""
+"""python -m barlane.cli: list skills, scan a transcript, score its lines, or score match payloads."""
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import api
-from .registry import SKILLS
+from .registry import NEGATIVE, POSITIVE, SKILLS
 from .sources import files
 
 
-def main(args: list[str] | None = None) -> int:
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="barlane")
-    p.add_argument("command", choices=["list-skills", "scan", "windows", "match"])
-    p.add_argument("--file", help="a transcript, or a JSON payload for match")
-    a = p.parse_args(args)
+    p.add_argument("command", choices=["list-skills", "scan", "score-round", "windows", "hybrid", "match"])
+    p.add_argument("text", nargs="?", help="the transcript itself; else --file, else standard input")
+    p.add_argument("-f", "--file", help="a transcript, or a JSON payload for match")
+    p.add_argument("-t", "--threshold", type=float, default=POSITIVE, help="least confidence of skills")
+    p.add_argument("--neg-threshold", type=float, default=NEGATIVE, help="least confidence of mistakes and fouls")
+    p.add_argument("-j", "--json", action="store_true", help="JSON instead of a report")
+    p.add_argument("--round-number", type=int, default=1)
+    p.add_argument("--battler", default="A")
+    p.add_argument("--opponent-file", help="what the opponent said before, for hybrid")
+    p.add_argument("--opponent", help="the same, as text")
+    p.add_argument("--cache", help="folder of the judge's answers, for hybrid and match")
+    p.add_argument("--rules-only", action="store_true", help="score a match without the judge")
+    return p
+
+
+def _read(path: str) -> str:
+    with open(path, encoding="utf-8", errors="replace") as f:
+        return f.read()
+
+
+def report(rows: list, total: float) -> str:
+    """Detections as a report: highlights, then deductions, each with its first piece of evidence."""
+    good, bad = ([r for r in rows if (r.direction == "positive") == up] for up in (True, False))
+    out = [f"Total Score: {total:+.2f}  ({len(good)} highlights, {len(bad)} deductions)"]
+    for title, some in (("HIGHLIGHTS", good), ("DEDUCTIONS", bad)):
+        out += [f"\n{title}:"] if some else []
+        for r in some:
+            out.append(f"  [{r.skill_id}] {r.skill_name:25s} {r.points:+.2f}pts  conf={r.confidence:.0%}")
+            out += [f"      -> {e[:100]}" for e in r.evidence[:1]]
+    return "\n".join(out)
+
+
+def envelope(error: str, match_id: str | None = None) -> str:
+    """What is printed of a match that can't be scored."""
+    return json.dumps({"schema_version": 1, "status": "error", "error": error, "match_id": match_id, "rounds": [], "match_winner": None, "summary": None}, indent=2)
+
+
+def _match(spark: SparkSession, text: str, cache: DataFrame | None, rules_only: bool) -> int:
+    """Prints the verdict of a payload, or an envelope of what is wrong with it."""
+    match_id = None
+    try:
+        payload = json.loads(text)
+        match_id = payload.get("match_id")
+        rounds = [(str(match_id or ""), i + 1, r.get("a") or "", r.get("b") or "", payload.get("battler_a"), payload.get("battler_b"), payload.get("tie_threshold")) for i, r in enumerate(payload.get("rounds") or [])]
+        if not rounds:
+            raise ValueError("rounds must not be empty")
+        for r in rounds:
+            if not (r[2].strip() and r[3].strip()):
+                raise ValueError(f"round {r[1]}: both sides are required")
+        frame = spark.createDataFrame(rounds, "match_id string, round int, a string, b string, battler_a string, battler_b string, tie_threshold double")
+        if rules_only:
+            sides = F.explode(F.array(F.struct(F.lit("A").alias("side"), F.col("a").alias("text")), F.struct(F.lit("B").alias("side"), F.col("b").alias("text"))))
+            row = api.match_verdicts(frame.select("match_id", "round", sides.alias("p")).select("match_id", "round", "p.*")).first()
+        else:
+            row = api.matches(frame, cache=cache).first()
+    except json.JSONDecodeError as e:
+        print(envelope(f"invalid JSON input: {e}"))
+    except (ValueError, KeyError, AttributeError) as e:
+        print(envelope(f"invalid payload: {e}", match_id))
+    except Exception as e:  # whatever it is, the caller gets an envelope
+        print(envelope(f"unexpected error: {type(e).__name__}: {e}", match_id))
+    else:
+        print(json.dumps({"schema_version": 1, "status": "ok", "error": None, **row.asDict(), "match_id": match_id}, indent=2))
+        return 0
+    return 1
+
+
+def main(args: list[str] | None = None) -> int:
+    a = _parser().parse_args(args)
     if a.command == "list-skills":
         for _, skill_id, name, points, category, threshold in SKILLS:
             print(f"{skill_id:5} {name:24} {points:+.2f} {category:10} {threshold:.2f}")
         return 0
+    text = _read(a.file) if a.file else a.text if a.text is not None else sys.stdin.read()
+    if not text.strip():
+        print("no text", file=sys.stderr)
+        return 1
     spark = SparkSession.builder.getOrCreate()
+    cache = files.read_cache(spark, a.cache) if a.cache else None
     if a.command == "match":
-        payload = files.payloads(spark, a.file)
-        bad = files.rejects(payload).toJSON().take(1)
-        if bad:
-            print(bad[0])
-            return 1
-        out = api.match_verdicts(files.performances(payload))
+        return _match(spark, text, cache, a.rules_only)
+    opponent = _read(a.opponent_file) if a.opponent_file else a.opponent
+    said = files.inline(spark, text, opponent).withColumns({"round": F.lit(a.round_number), "side": F.lit(a.battler)})
+    if a.command == "hybrid":
+        print(api.hybrid(said, cache=cache).first().document)
+    elif a.command == "score-round":
+        print(api.score_rounds(said).first().document)
+    elif a.command == "windows":
+        for row in api.windows(said).toJSON().toLocalIterator():
+            print(row)
     else:
-        if a.file:
-            with open(a.file, encoding="utf-8") as f:
-                text = f.read()
+        rows = api.scan(said, a.threshold, a.neg_threshold).orderBy("place").collect()  # at most one for each skill
+        if a.json:
+            print(json.dumps([r.asDict() for r in rows], indent=2, ensure_ascii=False))
         else:
-            text = sys.stdin.read()
-        out = {"scan": api.scan, "windows": api.windows}[a.command](files.inline(spark, text))
-    for row in out.toJSON().toLocalIterator():
-        print(row)
+            print(report(rows, sum(r.points for r in rows)))
     return 0
 
 

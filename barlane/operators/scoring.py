@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,6 +14,7 @@ from ..functions.dialect import Spark
 from ..plans import fixtures as fx
 from ..plans import sqls
 from ..registry import CAPS, NO_CAP, STRUCTURAL
+from . import judge
 
 Run = Callable[[str], DataFrame]
 _KEYS = ["match_id", "round", "side"]
@@ -49,22 +49,9 @@ def dedup_greedy(dets: DataFrame) -> DataFrame:
     return some.groupBy(*_KEYS).applyInPandas(greedy, "match_id bigint, round int, side string, idx int, skill_id string, points double")
 
 
-def repaired(s: str) -> str:
-    """Plain quotes for curly ones, and a backslash before bare quotes inside string values."""
-    s = s.translate({0x201C: '"', 0x201D: '"', 0x2018: "'", 0x2019: "'"})
-    return re.sub(r'":\s*"((?:[^"\\]|\\.)*)"', lambda m: '": "' + re.sub(r'(?<!\\)"', '\\"', m[1]) + '"', s)
-
-
 def recovered(s: str) -> str:
-    """The JSON in a judge's answer: all of it, a fenced block, the outermost braces, or these repaired; else an error."""
-    fence, braces = re.search(r"```(?:json)?\s*([\s\S]+?)```", s), re.search(r"\{[\s\S]+\}", s)
-    tries = [s, *([fence[1]] if fence else []), *([braces[0], repaired(braces[0])] if braces else [])]
-    for t in tries:
-        try:
-            return json.dumps(json.loads(t), sort_keys=True)
-        except json.JSONDecodeError:
-            continue
-    return json.dumps({"error": "JSON parse failed", "raw": s[:500]})
+    """The JSON in a judge's answer, or an error, as text."""
+    return json.dumps(judge.read(s), sort_keys=True)
 
 
 @F.pandas_udf(T.StringType())
@@ -74,17 +61,18 @@ def recovered_udf(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def repaired_udf(s: pd.Series) -> pd.Series:
-    return s.map(repaired)
+    return s.map(judge.repaired)
 
 
 def judged(prompts: DataFrame, cache: DataFrame, ask: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
     """prompts (cache_key, prompt, ...) with answers: from cache (cache_key, content), else from ask, asked once for each key.
 
-    Without ask (no judge at hand) misses get an empty answer.
+    status is cached, asked or, without a judge at hand, missing; then the answer is null.
     """
-    hits = prompts.join(cache, "cache_key", "left")
+    known = cache.groupBy("cache_key").agg(F.min("content").alias("content"))  # a key may have been added more than once
+    hits = prompts.join(known, "cache_key", "left").withColumn("status", F.when(F.col("content").isNotNull(), "cached").otherwise("missing" if ask is None else "asked"))
     if ask is None:
-        return hits.withColumn("content", F.coalesce("content", F.lit('{"semantic_detections": []}')))
+        return hits
     asked = hits.filter("content IS NULL").dropDuplicates(["cache_key"]).select("cache_key", F.pandas_udf(ask, T.StringType())("prompt").alias("fresh"))
     return hits.join(asked, "cache_key", "left").withColumn("content", F.coalesce("content", "fresh")).drop("fresh")
 
@@ -125,7 +113,7 @@ def _answers(run: Run, udf) -> DataFrame:
 def _replay(run: Run) -> DataFrame:
     prompts = run(sqls.prompt_build(_D)).withColumn("cache_key", F.md5("prompt"))
     cache = prompts.filter("match_id % 2 = 0").select("cache_key", F.lit('{"semantic_detections": [{"skill_id": "MR"}]}').alias("content")).distinct()
-    return judged(prompts, cache).select(*_KEYS, "win_idx", "content")
+    return judged(prompts, cache).select(*_KEYS, "win_idx", "content", "status")
 
 
 def _round_json(run: Run) -> DataFrame:

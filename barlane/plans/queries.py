@@ -13,6 +13,21 @@ from ..operators import scoring
 from . import sqls
 
 
+def session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of `spark` and our functions, in which filters aren't inferred from constraints.
+
+    Spark keeps a constraint for each column that is computed from columns which stay, and compares them all pair by pair;
+    with the hundreds of tests of a scan that takes minutes and gigabytes as soon as a join or filter stands above it.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and own.conf.get(key, None) != value and own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    register(own)
+    return own
+
+
 def view(spark: SparkSession, sf_dir: str, table: str) -> str:
     """The name of a view of one table of a folder."""
     name = f"barlane_{table}_{hashlib.md5(sf_dir.encode()).hexdigest()[:8]}"
@@ -21,8 +36,8 @@ def view(spark: SparkSession, sf_dir: str, table: str) -> str:
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    register(spark)
-    return spark.sql(re.sub(r"@(\w+)@", lambda m: view(spark, sf_dir, m[1]), sql))
+    own = session(spark)
+    return own.sql(re.sub(r"@(\w+)@", lambda m: view(own, sf_dir, m[1]), sql))
 
 
 def _of(make: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,4 +46,14 @@ def _of(make: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame
 
 QUERIES = {name: _of(make) for name, make in sqls.Q.items()}
 SQL = {name: re.sub(r"@(\w+)@", r"\1", make(Duck())).replace("WITH ", "WITH RECURSIVE ", 1) for name, make in sqls.Q.items()}
-QUERIES |= {name: (lambda f: lambda spark, sf_dir: f(lambda sql: run(spark, sf_dir, sql)))(f) for name, f in scoring.QUERIES.items()}
+def _with(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    """A query made of several statements, in one session."""
+
+    def go(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = session(spark)
+        return f(lambda sql: own.sql(re.sub(r"@(\w+)@", lambda m: view(own, sf_dir, m[1]), sql)))
+
+    return go
+
+
+QUERIES |= {name: _with(f) for name, f in scoring.QUERIES.items()}

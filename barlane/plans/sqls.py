@@ -138,7 +138,7 @@ def rows_of(d: Spark, items: list[dict[str, str]]) -> str:
 _INTEGER = {"spark": "INT", "duck": "BIGINT"}
 
 
-def scan(d: Spark, evidence: bool = False) -> tuple[str, ...]:
+def scan(d: Spark, evidence: bool = False, keep: tuple[str, ...] = (), positive: float = reg.POSITIVE, negative: float = reg.NEGATIVE) -> tuple[str, ...]:
     """scanned: prep with dets, an array of the detections that reach their thresholds, in the order of the registry.
 
     The work of a performance stays in its row: patterns are tested once, in one layer, and no row is joined to itself.
@@ -149,7 +149,7 @@ def scan(d: Spark, evidence: bool = False) -> tuple[str, ...]:
     conf = {k: detectors.confidence(n, k, more) for k in detectors.PLAIN} | {"full_court_shot": fullcourt.score(n), "double_dribble": "dd_conf"}
     items = []
     for i, (key, skill_id, _, points, _, threshold) in enumerate(reg.SKILLS):
-        item = {"ord": str(i), "skill_id": f"'{skill_id}'", "cents": str(round(points * 100)), "conf": conf[key], "least": d.f(reg.threshold(points, threshold))}
+        item = {"ord": str(i), "skill_id": f"'{skill_id}'", "cents": str(round(points * 100)), "conf": conf[key], "least": d.f(max(threshold, negative if points < 0 else positive))}
         if evidence:
             item["evidence"] = "dd_evidence" if key == "double_dribble" else detectors.evidence(n, key, beyond)
         items.append(item)
@@ -158,7 +158,7 @@ def scan(d: Spark, evidence: bool = False) -> tuple[str, ...]:
         *similarity_sql.repeated(d),
         f"tested AS (SELECT *, {layer} FROM repeated)",
         f"staged AS (SELECT *, {stages} FROM tested)",
-        f"scanned AS (SELECT match_id, round, side, text, lines, n, {d.where(d.structs(items), 'x', 'x.conf >= x.least')} AS dets FROM staged)",
+        f"scanned AS (SELECT match_id, round, side, text, lines, n, {''.join(c + ', ' for c in keep)}{d.where(d.structs(items), 'x', 'x.conf >= x.least')} AS dets FROM staged)",
     )
 
 
@@ -168,11 +168,11 @@ def _each_of(d: Spark, a: str) -> str:
     return f"explode_outer({a}) AS x" if d.name == "spark" else f"unnest({a}) AS x"
 
 
-def found(d: Spark, evidence: bool = False) -> tuple[str, ...]:
+def found(d: Spark, evidence: bool = False, *thresholds: float) -> tuple[str, ...]:
     """scan, and found: a row for each detection."""
     some = _each_of(d, "dets")
     return (
-        *scan(d, evidence),
+        *scan(d, evidence, (), *thresholds),
         fx.skills(d),
         f"""found AS (
   SELECT match_id, round, side, ord, skill_id, skill_name, points, category, CASE WHEN points > 0 THEN 'positive' ELSE 'negative' END AS direction,
@@ -189,6 +189,12 @@ def _cents(d: Spark, dets: str) -> str:
     return f"round(CAST({total} AS DOUBLE) / 100, 2)"
 
 
+def detections_of(d: Spark, threshold: float, negative: float) -> str:
+    """Every detection with its evidence, at thresholds of one's own; the registry's hold where they are higher."""
+    rank = "CAST(row_number() OVER (PARTITION BY match_id, round, side ORDER BY CASE WHEN points > 0 THEN 0 ELSE 1 END, confidence DESC, ord) AS INT) AS place"
+    return _perf(d, f"SELECT match_id, round, side, skill_id, skill_name, points, category, direction, confidence, evidence, {rank} FROM found", *found(d, True, threshold, negative), prep=True)
+
+
 @query
 def scan_detect(d: Spark) -> str:
     rank = "CAST(row_number() OVER (PARTITION BY match_id, round, side ORDER BY CASE WHEN points > 0 THEN 0 ELSE 1 END, confidence DESC, ord) AS INT) AS place"

@@ -5,28 +5,44 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 _OUT = "match_id bigint, round int, side string, text string"
-_STATE = "rounds array<int>, sides array<string>, texts array<string>, done boolean"
+_STATE = "rounds array<int>, sides array<string>, texts array<string>, created array<bigint>, total int, done boolean"
+#: Texts may come in so late; a match whose texts are all older is forgotten, whether it came out or not.
+KEEP_DAYS = 7
 
 
 def _collect(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the latest text of each round and side; what comes after the match is complete is ignored."""
-    rounds, sides, texts, done = state.get if state.exists else ([], [], [], False)
-    latest = {(r, s): t for r, s, t in zip(rounds, sides, texts)}
-    total = 0
+    """Keeps the text of each round and side that was created last; what comes after the match is complete is ignored."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    rounds, sides, texts, created, total, done = state.get if state.exists else ([], [], [], [], 0, False)
+    have = pd.DataFrame({"round": list(rounds), "side": list(sides), "text": list(texts), "at": list(created)})
+    newest = max(created, default=0)
     for part in parts:
-        for row in part.sort_values("created").itertuples():
-            total = max(total, int(row.total_rounds))
-            latest[int(row.round), row.side] = row.text
-    if not done and total and len(latest) >= 2 * total:
+        newest = max(newest, int(part["at"].max()))
+        if not done:
+            total = max(total, int(part["total_rounds"].max()))
+            have = pd.concat([have, part[["round", "side", "text", "at"]]])
+    have = have.sort_values("at", kind="stable").drop_duplicates(["round", "side"], keep="last")
+    due = have[(have["round"] >= 1) & (have["round"] <= total)].sort_values(["round", "side"])
+    if not done and total and len(due) >= 2 * total:
         done = True
-        yield pd.DataFrame([(key[0], r, s, t) for (r, s), t in sorted(latest.items())], columns=["match_id", "round", "side", "text"])
-        latest = {}
-    state.update(([r for r, _ in latest], [s for _, s in latest], list(latest.values()), done))
+        yield due[["round", "side", "text"]].assign(match_id=key[0])[["match_id", "round", "side", "text"]]
+    if done:
+        have = have.iloc[:0]
+    state.update((have["round"].astype(int).tolist(), have["side"].tolist(), have["text"].tolist(), have["at"].astype(int).tolist(), total, done))
+    state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + KEEP_DAYS * 86_400_000)
 
 
 def complete_matches(stream: DataFrame) -> DataFrame:
-    """stream: match_id, round, side, text, created, total_rounds. Rows of matches as they become complete."""
-    return stream.groupBy("match_id").applyInPandasWithState(_collect, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    """stream: match_id, round, side, text, created, total_rounds. Rows of matches as they become complete.
+
+    A text counts by when it was created, not by when it arrives; rows without a value in any column are left out.
+    """
+    own = stream.dropna().withWatermark("created", f"{KEEP_DAYS} days")
+    own = own.select("match_id", "round", "side", "text", "created", F.unix_micros("created").alias("at"), "total_rounds")
+    return own.groupBy("match_id").applyInPandasWithState(_collect, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
