@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import arrow, words
 from .chunks import chunked
-from .store import written
+from .store import discard, written
 
 HEAD, SHAPES, CLASSES, ROUNDS = 500, 220, 40, 8
 LEAST = 3
@@ -323,6 +323,7 @@ def score(docs: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     counts = written(word_counts(train), "brown-counts")
     seeds = seeded(train, counts)
     classes = written(word_classes(train, counts, seeds), "brown-classes")
+    discard(counts)
     model = fit(seeds, classes)
     dealt = chunked(docs, size)
 

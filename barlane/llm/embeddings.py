@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import arrow, words
 from .graphs import block_pairs, components, roots
-from .store import written
+from .store import discard, written
 
 THRESHOLD, WIDTH, RECALL = 0.95, 1.5, 0.99
 _U = np.uint64
@@ -63,7 +63,7 @@ def _valid(embeddings: DataFrame) -> DataFrame:
             raw = []
             for v, known in zip(batch.column(1), batch.column(0).is_valid().to_pylist()):
                 a = np.array(v.values.to_numpy(zero_copy_only=False), "<f8") if v.is_valid and known else np.zeros(0)
-                raw.append(a.tobytes() if len(a) and np.isfinite(a).all() and a.any() and np.isfinite(a @ a) and a @ a > 0 else None)
+                raw.append(a.tobytes() if len(a) and np.isfinite(a).all() and a.any() else None)
             digest = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]
             half = [pa.array([None if d is None else int.from_bytes(d[i : i + 8], "little", signed=True) for d in digest], pa.int64()) for i in (0, 8)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *half, pa.array(raw, pa.binary())], names=["vec_id", "x", "y", "v"])
@@ -73,6 +73,7 @@ def _valid(embeddings: DataFrame) -> DataFrame:
 
 def _units(raw: list[bytes]) -> np.ndarray:
     a = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+    a = a / np.abs(a).max(1, keepdims=True)  # else squares of very large or small components leave the range
     return a / np.linalg.norm(a, axis=1, keepdims=True)
 
 
@@ -131,6 +132,7 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return [cat(node), cat(count), cat(root)]
 
     found = written(block_pairs(member, pairs, "id bigint, n bigint, root bigint", ["id", "n", "root"]), "vector-links")
+    discard(keyed)
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     named = one.select("x", "y", "id", "c").join(counts, "id", "left").join(groups, F.col("id") == F.col("node"), "left")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow
-from .store import written
+from .store import discard, written
 
 #: Members of one block of a bucket, and rows that one group of block pairs holds about.
 BLOCK, GROUP_ROWS = 400, 20_000
@@ -65,7 +65,8 @@ def components(links: DataFrame, alone: int = ALONE) -> DataFrame:
         if mark == seen or not mark.n:
             break
         if mark.n <= alone:
-            now = written(arrow.over(now.coalesce(1), _contracted, "a bigint, b bigint"), "links")
+            before, now = now, written(arrow.over(now.coalesce(1), _contracted, "a bigint, b bigint"), "links")
+            discard(before)
             break
         seen = mark
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -74,7 +75,8 @@ def components(links: DataFrame, alone: int = ALONE) -> DataFrame:
         large = large.filter("a <> b").distinct()  # each a hangs on smaller nodes b
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, large.a == least.u).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(small.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "links")
+        before, now = now, written(small.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct(), "links")
+        discard(before)
     own = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return own.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import arrow, words
 from .bagminhash import bags, bands, shingles, signatures
 from .graphs import block_pairs, components, spread
-from .store import written
+from .store import discard, written
 
 SHINGLE, THRESHOLD, M, ROWS, SURE, FEW = 5, 0.8, 100, 5, 0.60, 3
 CELLS = 512
@@ -171,10 +171,13 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     for few in (FEW, None):
         tagged = base.join(found, base.id == found.node, "left").select("id", "bucket", "band", F.coalesce("component", "id").alias("tag"))
         open_ = tagged.groupBy("bucket").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).filter("low <> high").select("bucket")
-        tagged = written(spread(tagged, open_, "bucket", "id"), "open-bands").join(sketch, "id")
+        opened = written(spread(tagged, open_, "bucket", "id"), "open-bands")
+        tagged = opened.join(sketch, "id")
         pairs = block_pairs(tagged, _across(threshold, few), "a bigint, b bigint", ["a", "b"], "low <> high").distinct()
-        links = written(links.unionAll(_linked(pairs, texts, threshold)), "text-links")
+        before, links = links, written(links.unionAll(_linked(pairs, texts, threshold)), "text-links")
+        discard(before, opened, found)
         found = components(links)
+    discard(links, shared, texts)
     linked = one.select("id", "doc_id").join(found, one.id == found.node).select("id", "doc_id", "component")
     low = linked.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     linked = spread(linked.drop("doc_id"), low, "component", "id").select("id", "class_id")

@@ -293,6 +293,24 @@ def test_embedding_links(spark):
     assert embeddings.links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_pairs_at_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):  # pairs with cosines of 0.95 to 0.955
+        a, b = rng.standard_normal((2, 48))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        c = 0.9501 + 0.005 * rng.random()
+        rows += [(2 * i, (a * 10.0 ** rng.integers(-170, 170)).tolist()), (2 * i + 1, (c * a + math.sqrt(1 - c * c) * b).tolist())]
+    docs = spark.createDataFrame([*rows, (0, rows[0][1]), (None, rows[0][1])], "vec_id long, embedding array<double>").withColumns({"id": F.lit("clash"), "bucket": F.lit(1), "v": F.lit(2)})
+    got = embeddings.links(docs).collect()
+    found = sum(r.component_id == r.vec_id - 1 for r in got if r.vec_id is not None and r.vec_id % 2)
+    assert found >= 0.97 * 400
+    assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id is None] == [(0, None, True)]
+    assert sorted(r.n_links for r in got if r.vec_id == 0) == [2, 2]  # its repeated row, and its near copy
+
+
 def test_brown_counts_and_base(spark, empty):
     rows = ROWS + [(i, f"the cat {i % 7} sat on the mat") for i in range(20, 80)]
     got = brown.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
