@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
 All but the last return the columns of documents. n_chars follows the text.
+
+Defined results of every stage: null and empty texts stay, as they are no toxic, near or repeated text (packing gives them
+their end id); rows with a null doc_id stay and are nobody's copy; repeated rows go through every stage together; very long
+texts count whole; an empty table stays empty; extra columns are carried along up to packing.
 """
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlane.llm import debruijn, lines, neardup, packing, toxicity
-from barlane.llm.store import written
+from barlane.llm.store import discard, written
 
 
 def _like(docs: DataFrame, done: DataFrame) -> DataFrame:
@@ -58,7 +62,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
