@@ -6,7 +6,8 @@ that may occur in two documents; paths with a minimizer that has no other path d
 fall back into edges. Both get the smallest document that has them, their source, by key, and each chunk of documents
 gets those facts for its own paths and edges. Words under an edge whose source is a smaller document are removed.
 
-Paths and edges are told apart by 128 bits: their minimizer's hash, and a hash of all their words.
+Paths and edges are told apart by two 64-bit hashes, of their minimizer and of all their words; both are made from 64-bit hashes
+of words, and words themselves are not compared.
 
 Texts are dealt into chunks by one exchange that all passes share. A path or edge has one row for each chunk, so a
 passage that a third of all documents share is gathered as so many rows as there are chunks, not documents.
