@@ -85,8 +85,9 @@ def _dets(run: Run) -> DataFrame:
 
 
 def _similar(run: Run) -> DataFrame:
-    d = _dets(run).select(*_KEYS, "idx", "skill_id", "quoted")
-    pairs = d.join(d.select(*_KEYS, F.col("idx").alias("other"), F.col("skill_id"), F.col("quoted").alias("quoted_b")), [*_KEYS, "skill_id"]).filter("idx < other")
+    """Whether the lines of two findings of a performance resemble each other, whatever their skills."""
+    d = _dets(run).select(*_KEYS, "idx", "quoted")
+    pairs = d.join(d.select(*_KEYS, F.col("idx").alias("other"), F.col("quoted").alias("quoted_b")), _KEYS).filter("idx < other")
     return pairs.select(*_KEYS, "idx", "other", similarity.lines_similar_udf("quoted", "quoted_b").alias("similar"))
 
 
