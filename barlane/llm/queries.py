@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, chat, debruijn, embeddings, lines, neardup, packing, quality, toxicity, voronoi
+from . import bpe, brown, chat, debruijn, embeddings, leaderboard, lines, neardup, packing, quality, toxicity, voronoi
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,14 +58,56 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
 
 
+def op13_leaderboard_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.changes(leaderboard.enriched(*(_table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items"))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_links, op2_byte_bpe, op3_perspectives, op4_packing, op5_quality_rules, op6_substring_dedup, op7_line_dedup, op8_near_duplicates, op9_brown_lm, op10_toxicity,
-    op11_hard_negatives,
+    op11_hard_negatives, op13_leaderboard_changes,
 )}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 SQL = {
+    "op13_leaderboard_changes": """
+WITH t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+         lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab
+), k AS (
+  SELECT *, coalesce(sale_id::VARCHAR, '') || ',' || coalesce(item_id::VARCHAR, '') || ',' || coalesce(vendor_id::VARCHAR, '')
+            || ',' || coalesce(line_no::VARCHAR, '') AS key FROM sale_lines
+), h AS (
+  SELECT k.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT)),
+         lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM k, t
+), s AS (
+  SELECT *, coalesce(date_diff('day', DATE '1970-01-01', shipped_at::DATE), 19723 + h % 150)::BIGINT AS s FROM h
+), a AS (
+  SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM s
+), b AS (
+  SELECT *, least(10, greatest(1, 1 + floor((a - 19723) * 10 / 180)))::INT AS batch FROM a
+), m AS (
+  SELECT batch, max(max(s)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM b GROUP BY batch
+), v AS (SELECT vendor_id, min(nation_id) AS nation_id FROM vendors GROUP BY ALL), i AS (
+  SELECT item_id, min(floor(100 * price + 0.5)) AS price FROM items GROUP BY ALL
+), d AS (
+  SELECT v.nation_id, b.item_id, b.a, sum(CASE WHEN flag = 'returned' THEN -1 ELSE 1 END
+         * coalesce(floor(100 * amount + 0.5), quantity * price, 0))::BIGINT AS cents
+  FROM b JOIN m ON b.batch = m.batch JOIN v ON b.vendor_id = v.vendor_id JOIN i ON b.item_id = i.item_id
+  WHERE v.nation_id IS NOT NULL AND (latest IS NULL OR s + 3 >= latest) GROUP BY ALL
+), g AS (
+  SELECT n.nation_id, n.a, x.item_id, sum(coalesce(d.cents, 0)) OVER (PARTITION BY n.nation_id, x.item_id ORDER BY n.a) AS revenue
+  FROM (SELECT DISTINCT nation_id, a FROM d) AS n JOIN (SELECT DISTINCT nation_id, item_id FROM d) AS x ON n.nation_id = x.nation_id
+  LEFT JOIN d ON d.nation_id = n.nation_id AND d.a = n.a AND d.item_id = x.item_id
+), p AS (
+  SELECT *, CASE WHEN revenue > 0 THEN row_number() OVER (PARTITION BY nation_id, a ORDER BY revenue > 0 DESC, revenue DESC, item_id) END AS place FROM g
+), r AS (
+  SELECT nation_id, a, item_id, revenue, CASE WHEN place <= 10 THEN place END AS new_rank FROM p
+), o AS (SELECT *, lag(new_rank) OVER (PARTITION BY nation_id, item_id ORDER BY a) AS old_rank FROM r)
+SELECT nation_id, a::BIGINT AS arrival_day, item_id, least(10, greatest(1, 1 + floor((a - 19723) * 10 / 180)))::INT AS batch,
+       CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change,
+       old_rank::INT AS old_rank, new_rank::INT AS new_rank, revenue::BIGINT AS revenue
+FROM o WHERE old_rank IS DISTINCT FROM new_rank""",
     "op11_hard_negatives": """
 WITH r AS (
   SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
