@@ -5,13 +5,12 @@ hot keys) and written by batch; a batch's files are moved into the folder that t
 anew on one checkpoint for each batch. Event time is the arrival day. A nation's items are dealt into `parts` by hash, and a
 part is the key of the first state: accepted deltas, added up within each task before they are shuffled, are buffered by
 arrival day under a timer for the earliest of them. Once the watermark has passed it, the timer fires, and all complete days
-are folded into the running revenues, ascending. A part then tells what changed among its ten best. The second state,
-by nation, has the ten best of each part and so the nation's board; it emits the differences to the board before. A part
+are folded into the running revenues, ascending. A part then tells what changed among its ten best. The sink of each micro-batch
+merges, by nation, what parts tell with the ten best that they had before, and writes the differences of the nation's
+boards beside the new best under the number of the micro-batch: a batch that is tried again replaces what it wrote. A part
 tells at most 20 rows a day, so a nation's task never sees a number of rows that grows with the lines. End sentinels, rows
 of a day beyond all others, bring the last days to be flushed and are not part of any board.
 
-The sink is Spark's file sink, which lists a batch's files once however often the batch is tried.
-
 Defined results: lines that were seen more than `delay` days before the latest one of all earlier batches are dropped;
 lines without a nation or item are ignored, but count for that latest day; equal lines count each; batches without lines
 are skipped; an empty table gives an empty feed; days are those since 1970 and not before it; other columns are ignored.
@@ -39,7 +38,7 @@ END = 1 << 20
 HELD = 500_000
 _DAY_MS = 86_400_000
 _LINES = "seen bigint, day bigint, nation_id int, item_id bigint, cents bigint"
-_LOCAL = "nation_id int, part int, ts timestamp, day bigint, item_id bigint, cents bigint, top boolean"
+_LOCAL = "nation_id int, day bigint, item_id bigint, cents bigint, top boolean"
 FEED = "nation_id int, arrival_day bigint, item_id bigint, batch int, change string, old_rank int, new_rank int, revenue bigint"
 
 
@@ -148,47 +147,39 @@ class Parts(StatefulProcessor):
         self.totals.update((every.tobytes(), sums.tobytes(), every[before].tobytes()))
         if out:
             d, i, c, top = (np.concatenate(x) for x in zip(*out))
-            yield pd.DataFrame({"nation_id": np.int32(key[0]), "part": np.int32(key[1]), "ts": pd.to_datetime(d, unit="D"), "day": d, "item_id": i, "cents": c, "top": top})
+            yield pd.DataFrame({"nation_id": np.int32(key[0]), "day": d, "item_id": i, "cents": c, "top": top})
 
     def close(self) -> None:
         pass
 
 
-class Boards(StatefulProcessor):
-    """A nation's board from the best of its parts; emits who entered, left or moved."""
-
-    def __init__(self, places: int, first: int, width: float, batches: int):
-        self.places, self.first, self.width, self.batches = places, first, width, batches
-
-    def init(self, handle) -> None:
-        self.best = handle.getValueState("best", "item_id binary, cents binary, board binary")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        told = pd.concat(list(rows))
-        known = self.best.get() if self.best.exists() else None
-        ids, cents, board = (np.frombuffer(b, np.int64).tolist() for b in known) if known else ([], [], [])
-        live, out = dict(zip(ids, cents)), []
-        for day, some in told.sort_values("day").groupby("day"):
-            left = {}
-            for item, c, top in zip(some["item_id"].tolist(), some["cents"].tolist(), some["top"].tolist()):
-                live[item] = c
-                if not top:
-                    left[item] = live.pop(item)
-            now = sorted(live, key=lambda x: (-live[x], x))[: self.places]
-            old_rank, new_rank = ({x: n for n, x in enumerate(b, 1)} for b in (board, now))
-            batch = min(self.batches, max(1, 1 + int((day - self.first) // self.width)))
-            for item in old_rank | new_rank:
-                a, b = old_rank.get(item), new_rank.get(item)
-                if a != b:
-                    out.append((key[0], day, item, batch, "enter" if a is None else "exit" if b is None else "move", a, b, live.get(item, left.get(item))))
-            board = now
-        self.best.update(tuple(np.array(x, np.int64).tobytes() for x in (list(live), list(live.values()), board)))
-        if out:
-            made = pd.DataFrame(out, columns=["nation_id", "arrival_day", "item_id", "batch", "change", "old_rank", "new_rank", "revenue"])
-            yield made.astype({"nation_id": "int32", "batch": "int32", "old_rank": "Int32", "new_rank": "Int32", "revenue": "int64"})
+def _boards(told: pd.DataFrame, places: int, first: int, width: float, batches: int) -> pd.DataFrame:
+    """A nation's changes, day by day, and after them its parts' best: rows of FEED, the best without a day.
 
-    def close(self) -> None:
-        pass
+    told: what parts tell, and the best and the board of before as rows without a day.
+    """
+    before = told[told["day"].isna()]
+    live = dict(zip(before["item_id"].tolist(), before["cents"].tolist()))
+    placed = before[before["place"].notna()].sort_values("place")
+    board, nation, out = placed["item_id"].tolist(), told["nation_id"].iloc[0], []
+    for day, some in told[told["day"].notna()].groupby("day"):
+        left = {}
+        for item, c, top in zip(some["item_id"].tolist(), some["cents"].tolist(), some["top"].tolist()):
+            live[item] = c
+            if not top:
+                left[item] = live.pop(item)
+        now = sorted(live, key=lambda x: (-live[x], x))[:places]
+        old_rank, new_rank = ({x: n for n, x in enumerate(b, 1)} for b in (board, now))
+        batch = min(batches, max(1, 1 + int((day - first) // width)))
+        for item in old_rank | new_rank:
+            a, b = old_rank.get(item), new_rank.get(item)
+            if a != b:
+                out.append((nation, int(day), item, batch, "enter" if a is None else "exit" if b is None else "move", a, b, live[item] if item in live else left[item]))
+        board = now
+    rank = {x: n for n, x in enumerate(board, 1)}
+    out += [(nation, None, item, None, None, None, rank.get(item), c) for item, c in live.items()]
+    made = pd.DataFrame(out, columns=[c.split()[0] for c in FEED.split(", ")])
+    return made.astype({"nation_id": "int32", "arrival_day": "Int64", "item_id": "int64", "batch": "Int32", "old_rank": "Int32", "new_rank": "Int32", "revenue": "int64"})
 
 
 def _stream_session(spark: SparkSession, parts: str) -> SparkSession:
@@ -197,22 +188,32 @@ def _stream_session(spark: SparkSession, parts: str) -> SparkSession:
     own.conf.set("spark.sql.shuffle.partitions", parts)
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small states
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     own.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
     own.conf.set("spark.sql.session.timeZone", "UTC")
     return own
 
 
-def _query(spark: SparkSession, feed: str, latest: int | None, places: int, delay: int, parts: int, first: int, width: float, batches: int) -> DataFrame:
-    """The feed's changes from the files of the folder; latest: the last day that earlier batches saw."""
+def _query(spark: SparkSession, feed: str, latest: int | None, places: int, delay: int, parts: int) -> DataFrame:
+    """What parts tell of the files in the folder; latest: the last day that earlier batches saw."""
     lines = spark.readStream.schema(_LINES).parquet(feed).withColumn("ts", F.timestamp_seconds(F.col("day") * 86_400)).withWatermark("ts", "0 seconds")
     lines = lines.filter("nation_id IS NOT NULL AND item_id IS NOT NULL AND cents IS NOT NULL")
     if latest is not None:
         lines = lines.filter(F.col("seen") + delay >= latest)
     lines = lines.select("nation_id", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int").alias("part"), "day", "item_id", "cents")
     lines = arrow.over(lines, _summed, "nation_id int, part int, day bigint, item_id bigint, cents bigint")
-    local = lines.groupBy("nation_id", "part").transformWithStateInPandas(Parts(places), _LOCAL, "Append", "EventTime", eventTimeColumnName="ts")
-    return local.groupBy("nation_id").transformWithStateInPandas(Boards(places, first, width, batches), FEED, "Append", "EventTime")
+    return lines.groupBy("nation_id", "part").transformWithStateInPandas(Parts(places), _LOCAL, "Append", "EventTime")
+
+
+def _merged(told: DataFrame, number: int, out: str, places: int, first: int, width: float, batches: int) -> None:
+    """The sink: boards of micro-batch `number` from those of the one before."""
+    told = told.select("nation_id", "day", "item_id", "cents", "top", F.lit(None).cast("int").alias("place"))
+    if number:
+        best = told.sparkSession.read.schema(FEED).parquet(f"{out}/{number - 1}").filter("arrival_day IS NULL")
+        told = told.unionByName(best.select("nation_id", F.lit(None).cast("bigint").alias("day"), "item_id", F.col("revenue").alias("cents"), F.lit(True).alias("top"), F.col("new_rank").alias("place")))
+    made = told.groupBy("nation_id").applyInPandas(lambda one: _boards(one, places, first, width, batches), FEED)
+    made.write.mode("overwrite").parquet(f"{out}/{number}")
 
 
 def changes(
@@ -235,11 +236,11 @@ def changes(
     latest = None
     for batch in sorted({*most, batches + 1}):
         files.rename(path(f"{root}/cut/batch={batch}"), path(f"{root}/lines/batch={batch}"))
-        made = _query(own, f"{root}/lines/*", latest, places, delay, parts, first, width, batches)
-        sink = made.writeStream.format("parquet").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/state").outputMode("append")
-        sink.trigger(availableNow=True).start().awaitTermination()
+        told = _query(own, f"{root}/lines/*", latest, places, delay, parts).writeStream.option("checkpointLocation", f"{root}/state").outputMode("append")
+        told = told.foreachBatch(lambda df, number: _merged(df, number, f"{root}/changes", places, first, width, batches))
+        told.trigger(availableNow=True).start().awaitTermination()
         if most.get(batch) is not None:
             latest = max(most[batch], most[batch] if latest is None else latest)
     for done in ("cut", "lines", "state"):
         files.delete(path(f"{root}/{done}"), True)
-    return spark.read.schema(FEED).parquet(f"{root}/changes")
+    return spark.read.schema(FEED).parquet(f"{root}/changes/*").filter("arrival_day IS NOT NULL")
