@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, brown, chat, debruijn, embeddings, leaderboard, lines, neardup, packing, quality, toxicity, voronoi
+from . import bpe, brown, chat, debruijn, embeddings, langmix, leaderboard, lines, neardup, packing, quality, toxicity, voronoi
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,13 +58,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
 
 
+def op12_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmix.identified(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op13_leaderboard_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaderboard.changes(leaderboard.enriched(*(_table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items"))))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_links, op2_byte_bpe, op3_perspectives, op4_packing, op5_quality_rules, op6_substring_dedup, op7_line_dedup, op8_near_duplicates, op9_brown_lm, op10_toxicity,
-    op11_hard_negatives, op13_leaderboard_changes,
+    op11_hard_negatives, op12_language_mixtures, op13_leaderboard_changes,
 )}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
