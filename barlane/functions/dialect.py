@@ -1,6 +1,8 @@
 """The few spellings in which Spark SQL and the SQL of the checking engine differ, so a rule is stated once."""
 from __future__ import annotations
 
+import re
+
 BLANK = r"[\s\x1c-\x1f]"
 #: Columns that are folded, so that patterns meet ASCII only.
 FOLDED = ("s", "s2", "low")
@@ -107,6 +109,27 @@ class Spark:
     def any_in(self, a: str, v: str, test: str) -> str:
         return f"exists({a}, {v} -> {test})"
 
+    def has_item(self, a: str, x: str) -> str:
+        return f"array_contains({a}, {x})"
+
+    def concat(self, *arrays: str) -> str:
+        return f"concat({', '.join(arrays)})"
+
+    def sum(self, a: str) -> str:
+        """The sum of an array of doubles, in its order; 0 where it is empty."""
+        return f"aggregate({a}, 0D, (acc, av) -> acc + av)"
+
+    def gather(self, n: str, body: str) -> str:
+        """An ordered fold over j = 1 to n: body gives the array of ints acc after j from acc before it."""
+        return f"aggregate({self.upto(n)}, CAST(array() AS ARRAY<INT>), (acc, j) -> {body})"
+
+    def json(self, a: str) -> str:
+        return f"to_json({a})"
+
+    def listed(self, x: str, order: str) -> str:
+        """An aggregate: the values of x as an array, by order."""
+        return f"transform(array_sort(collect_list(named_struct('o', {order}, 'v', {x}))), lo -> lo.v)"
+
 
 class Duck(Spark):
     """The SQL of the engine that results are checked with."""
@@ -183,6 +206,25 @@ class Duck(Spark):
     def any_in(self, a: str, v: str, test: str) -> str:
         return f"(len(list_filter({a}, lambda {v}: {test})) > 0)"
 
+    def has_item(self, a: str, x: str) -> str:
+        return f"list_contains({a}, {x})"
+
+    def concat(self, *arrays: str) -> str:
+        return f"list_concat({', '.join(arrays)})"
+
+    def sum(self, a: str) -> str:
+        return f"coalesce(list_sum({a}), 0::DOUBLE)"
+
+    def gather(self, n: str, body: str) -> str:
+        one = re.sub(r"\bj\b", "jl[1]", body)
+        return f"list_reduce(list_prepend([]::INT[], list_transform(generate_series(1, {n}), lambda jq: [jq::INT])), lambda acc, jl: {one})"
+
+    def json(self, a: str) -> str:
+        return f"CAST(to_json({a}) AS VARCHAR)"
+
+    def listed(self, x: str, order: str) -> str:
+        return f"list({x} ORDER BY {order})"
+
 
 def noted(d: Spark) -> Spark:
     """d, but tests of folded columns, and what is given to `once`, become names; `layer` defines them, each once."""

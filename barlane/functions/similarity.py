@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .similarity_sql import REPEATS
+from .similarity_sql import ALIKE, REPEATS
 
 
 def ratio(a: str, b: str) -> float:
@@ -50,24 +50,21 @@ def repeats_udf(lines: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"confidence": [float(c) for c, _ in got], "evidence": [e for _, e in got]})
 
 
-@F.pandas_udf(T.BooleanType())
-def lines_similar_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lines_similar(list(x), list(y)) for x, y in zip(a, b)], dtype=bool)
+def alike_findings(skills: list[str | None], lines: list[list[str]]) -> tuple[list[list[int]], list[bool]]:
+    """For each finding the earlier ones (from 1) of its skill with a line like one of its own, and whether two of its own
+    lines contain one another or have a ratio of 0.75."""
+    low = [[x.strip().lower() for x in v if x and x.strip()] for v in lines]
+    near = [[i + 1 for i in range(j) if skills[i] == skills[j] and lines_similar(low[j], low[i])] for j in range(len(low))]
+    return near, [any(lines_similar([a], [b], 0.75) for i, a in enumerate(v) for b in v[i + 1 :]) for v in low]
 
 
-@F.pandas_udf(T.BooleanType())
-def any_pair_alike_udf(lines: pd.Series) -> pd.Series:
-    """Whether two of the lines contain one another or have a ratio of 0.75 or more."""
-
-    def one(x) -> bool:
-        own = [y.strip() for y in x if y and y.strip()]
-        return any(lines_similar([a], [b], 0.75) for i, a in enumerate(own) for b in own[i + 1 :])
-
-    return pd.Series([one(x) for x in lines], dtype=bool)
+@F.pandas_udf(T.StructType([T.StructField("near", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("repeats", T.ArrayType(T.BooleanType()))]))
+def alike_udf(skills: pd.Series, lines: pd.Series) -> pd.DataFrame:
+    got = [alike_findings(list(a), [list(x) for x in b]) for a, b in zip(skills, lines)]
+    return pd.DataFrame({"near": [n for n, _ in got], "repeats": [r for _, r in got]})
 
 
 def register(spark: SparkSession) -> None:
     """Makes the functions known to a session's SQL."""
     spark.udf.register(REPEATS, repeats_udf)
-    spark.udf.register("barlane_lines_similar", lines_similar_udf)
-    spark.udf.register("barlane_pair_alike", any_pair_alike_udf)
+    spark.udf.register(ALIKE, alike_udf)

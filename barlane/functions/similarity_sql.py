@@ -11,29 +11,31 @@ from .dialect import Spark
 
 #: The name under which a session knows similarity.repeats_udf.
 REPEATS = "barlane_repeats"
+#: The name of similarity.alike_udf.
+ALIKE = "barlane_alike"
 #: Characters from which the library treats a text otherwise.
 LONG = 200
 
 
-def blocks(pairs: str) -> str:
+def blocks(pairs: str, ro: str = "ro") -> str:
     """ro: id, x, y, k: the steps of comparing the texts of `pairs` (id, x, y); k characters of each match."""
     best = "list_max(list_transform(range(len(x)), lambda i: {'k': len(list_filter(range(1, len(x) - i + 1), lambda j: contains(y, x[i + 1:i + j]))), 'at': -i}))"
-    return f"""ro AS (
+    return f"""{ro} AS (
   SELECT id, x, y, 0 AS k FROM {pairs}
   UNION ALL
   SELECT id, part.x AS x, part.y AS y, part.k AS k FROM (
     SELECT id, unnest([{{'x': x[:p], 'y': y[:q], 'k': k}}, {{'x': x[p + k + 1:], 'y': y[q + k + 1:], 'k': 0}}]) AS part FROM (
       SELECT id, x, y, b.k AS k, -b.at AS p, instr(y, x[1 - b.at:b.k - b.at]) - 1 AS q FROM (
-        SELECT id, x, y, {best} AS b FROM ro WHERE x <> '' AND y <> ''
+        SELECT id, x, y, {best} AS b FROM {ro} WHERE x <> '' AND y <> ''
       ) AS s1 WHERE b.k > 0
     ) AS s2
   ) AS s3
 )"""
 
 
-def ratios(pairs: str) -> str:
+def ratios(pairs: str, ro: str = "ro", name: str = "ratio") -> str:
     """ratio: id, r of pairs (id, x, y)."""
-    return f"ratio AS (SELECT p.id AS id, 2.0 * m / (len(p.x) + len(p.y)) AS r FROM {pairs} AS p JOIN (SELECT id, sum(k) AS m FROM ro GROUP BY id) AS t ON p.id = t.id)"
+    return f"{name} AS (SELECT p.id AS id, 2.0 * m / (len(p.x) + len(p.y)) AS r FROM {pairs} AS p JOIN (SELECT id, sum(k) AS m FROM {ro} GROUP BY id) AS t ON p.id = t.id)"
 
 
 def possible(x: str, y: str, least: float) -> str:

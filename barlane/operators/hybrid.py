@@ -1,9 +1,7 @@
 """The hybrid scorer and whole matches: rules and a judge over windows of lines, composed into one plan."""
 from __future__ import annotations
 
-import json
 import uuid
-import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,22 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text as text_rules
 from ..functions.dialect import Spark
 from ..plans import fixtures as fx
-from ..plans import sqls
+from ..plans import reconcile, sqls
 from ..plans.queries import session
-from ..registry import SKILLS, TIE, TRUSTED
+from ..registry import TIE, TRUSTED
 from . import judge as judging
-from .scoring import cap
 
 _D = Spark()
 KEYS = ["match_id", "round", "side"]
 Ask = Callable[[pd.Series], pd.Series]
 
-_OUT = T.StructType([T.StructField("total", T.DoubleType()), T.StructField("n_detections", T.IntegerType()), T.StructField("status", T.StringType()), T.StructField("document", T.StringType())])
-
-
 def _view(df: DataFrame) -> str:
     """A name by which any session of the application finds df."""
     name = f"barlane_{uuid.uuid4().hex}"
@@ -42,14 +35,10 @@ def scanned(performances: DataFrame) -> DataFrame:
     """
     own = session(performances.sparkSession)
     source = _view(performances.select(*KEYS, "text", F.col("opponent") if "opponent" in performances.columns else F.lit(None).cast("string").alias("opponent")))
-    perf = f"""c1 AS (SELECT match_id, round, side, opponent, {text_rules.slang(_D, 'text')} AS t FROM {source}),
-c2 AS (SELECT match_id, round, side, opponent, {text_rules.auto_split(_D, 't')} AS t FROM c1),
-c3 AS (SELECT match_id, round, side, opponent, {text_rules.adlib_strip(_D, 't')} AS text FROM c2),
-perf AS (SELECT *, {text_rules.ogr_block(_D, 'text')} AS blocked FROM c3)"""
     listed = ", ".join(f"'{s}'" for s in TRUSTED)
     layers = sqls.scan(_D, True, keep=("opponent", "blocked"))
     select = f"SELECT match_id, round, side, text, opponent, blocked, lines, n, filter(dets, x -> x.skill_id IN ({listed})) AS trusted FROM scanned"
-    return own.sql(fx.with_(perf, fx.prepared(_D), *layers) + select)
+    return own.sql(fx.with_(*sqls.cleaned(_D, source), fx.prepared(_D), *layers) + select)
 
 
 def windows(rounds: DataFrame, size: int = 10, overlap: int = 3) -> DataFrame:
@@ -60,9 +49,9 @@ def windows(rounds: DataFrame, size: int = 10, overlap: int = 3) -> DataFrame:
     w = w.withColumn("start", F.col("win_idx") * stride).withColumn("stop", F.least(F.col("start") + size, "n") - 1)
     w = w.withColumn("win_text", F.array_join(F.slice("lines", F.col("start") + 1, F.col("stop") - F.col("start") + 1), "\n"))
     place = (
-        F.when((F.col("start") == 0) & ~F.col("blocked"), "These lines open the round: a strong opening is an OGR; there is no 4QP here.")
-        .when(F.col("start") == 0, "These lines open the round with a generic line: there is no OGR and no 4QP here.")
-        .when(F.col("stop") >= F.col("n") - 2, "These lines close the round: a strong finish is a 4QP; there is no OGR here.")
+        F.when(F.expr(reconcile.OPENS) & ~F.col("blocked"), "These lines open the round: a strong opening is an OGR; there is no 4QP here.")
+        .when(F.expr(reconcile.OPENS), "These lines open the round with a generic line: there is no OGR and no 4QP here.")
+        .when(F.expr(reconcile.CLOSES), "These lines close the round: a strong finish is a 4QP; there is no OGR here.")
         .otherwise("These lines are from the middle of the round: there is no OGR and no 4QP here.")
     )
     rival = F.when(F.trim(F.coalesce("opponent", F.lit(""))) != "", F.concat(F.lit("\nWhat the opponent said before (needed for STL):\n"), F.trim("opponent"), F.lit("\n"))).otherwise("")
@@ -108,21 +97,31 @@ def unread(contents: pd.Series) -> pd.Series:
     return pd.Series([c is not None and "error" in judging.read(c) for c in contents], dtype=bool)
 
 
-@F.pandas_udf(_OUT)
-def result(rows: pd.DataFrame) -> pd.DataFrame:
-    """Total, number of findings, status of the windows and the document of each performance."""
-    out = []
-    for r in rows.itertuples(index=False):
-        own = [judging.Window(w["start"], w["stop"], w["content"], w["again"]) for w in sorted(r.answers, key=lambda w: w["win_idx"])]
-        trusted = [{"skill_id": t["skill_id"], "points": t["cents"] / 100, "evidence": list(t["evidence"])} for t in r.trusted]
-        doc = judging.document(own, int(r.n), bool(r.blocked), bool((r.opponent or "").strip()), trusted, cap)
-        bad = [s for s in doc["window_status"] if s in ("unanswered", "unread")]
-        out.append((float(doc["total_score"]), len(doc["all_detections"]), "ok" if not bad else ",".join(sorted(set(bad))), json.dumps({"round_number": int(r.round), **doc}, indent=2, ensure_ascii=True)))
-    return pd.DataFrame(out, columns=["total", "n_detections", "status", "document"])
+def reconciled(answers: DataFrame, model: str = "") -> DataFrame:
+    """Performances from their windows' answers: totals, findings and a document, by the rules of plans.reconcile.
+
+    answers: match_id, round, side, n, blocked, rival (whether it answers someone), trusted, win_idx, start, stop, content,
+    again; rounds without lines have one row without a window.
+    """
+    own = session(answers.sparkSession)
+    source = _view(answers)
+    item = "x -> named_struct('skill_id', x.skill_id, 'skill_name', x.skill_name, 'points', x.points, 'direction', x.direction, 'lines', x.lines, 'reason', x.reason, 'gate_note', x.note, 'source', x.source)"
+    side = lambda s: f"transform(filter(final, x -> x.direction = '{s}'), {item})"
+    gated = "transform(filter(judged, x -> x.verdict <> 'accepted'), x -> named_struct('skill_id', x.skill_id, 'verdict', x.verdict, 'failed', x.failed))"
+    raw = "named_struct('trusted_found', trusted.skill_id, 'confirmed_by_llm', confirmed, 'rejected_by_llm', rejected)"
+    total = reconcile.total(_D)
+    document = (
+        f"to_json(named_struct('round_number', round, 'battler', side, 'model', {_D.lit(model)}, 'total_score', {total}, 'highlights', {side('positive')}, 'deductions', {side('negative')}, "
+        f"'all_detections', transform(final, {item}), 'windows_used', windows, 'window_status', status, 'rule_engine_raw', {raw}, 'gate_log', named_struct('gated_out', {gated})))"
+    )
+    bad = "array_sort(array_distinct(filter(status, s -> s IN ('unanswered', 'unread'))))"
+    sql = f"SELECT {reconcile.KEYS}, {total} AS total, CAST(size(final) AS INT) AS n_detections, windows, CASE WHEN size({bad}) = 0 THEN 'ok' ELSE array_join({bad}, ',') END AS status, final, {document} AS document FROM merged"
+    ctes = (f"answered AS (SELECT * FROM {source})", *reconcile.layers(_D))
+    return own.sql(fx.with_(*ctes) + sql)
 
 
-def hybrid(performances: DataFrame, ask: Ask | None = None, cache: DataFrame | None = None) -> DataFrame:
-    """match_id, round, side, total, n_detections, windows, status, document of each performance.
+def hybrid(performances: DataFrame, ask: Ask | None = None, cache: DataFrame | None = None, model: str = "") -> DataFrame:
+    """match_id, round, side, total, n_detections, windows, status, final, document of each performance.
 
     performances: match_id, round, side, text and, if there, opponent, the lines that the text answers. status tells
     where windows had no answer (unanswered) or none that could be read, also at the second try (unread).
@@ -130,10 +129,8 @@ def hybrid(performances: DataFrame, ask: Ask | None = None, cache: DataFrame | N
     w = windows(scanned(performances))
     first = answered(w, "prompt", "content", cache, ask)
     second = answered(first, "short", "again", cache, ask, unread("content"))
-    turn = F.struct("win_idx", "start", "stop", "content", "again")
-    per = second.groupBy(*KEYS).agg(F.collect_list(F.when(F.col("win_idx").isNotNull(), turn)).alias("answers"), *(F.first(c).alias(c) for c in ("n", "blocked", "opponent", "trusted")))
-    scored = per.withColumn("r", result(F.struct("round", "n", "blocked", "opponent", "trusted", "answers")))
-    return scored.select(*KEYS, "r.total", "r.n_detections", F.size("answers").alias("windows"), "r.status", "r.document")
+    rival = F.trim(F.coalesce("opponent", F.lit(""))) != ""
+    return reconciled(second.select(*KEYS, "n", "blocked", rival.alias("rival"), "trusted", "win_idx", "start", "stop", "content", "again"), model)
 
 
 def answering(performances: DataFrame) -> DataFrame:
@@ -176,16 +173,3 @@ def matches(rounds: DataFrame, ask: Ask | None = None, cache: DataFrame | None =
     failed = bad.select("match_id", F.concat(F.lit("round "), "bad_round", F.lit(": both sides are required")).alias("error"))
     return done.unionByName(failed, allowMissingColumns=True)
 
-
-def replay(prompts: pd.Series) -> pd.Series:
-    """A judge for samples: what it finds follows from the prompt's own bytes, and some of its answers can't be read."""
-    out = []
-    for p in prompts:
-        n, lines = zlib.crc32(p.encode()), p.split("\n\n")[-1].split("\n")
-        found = []
-        for k in range(2):
-            _, skill_id, name, points, *_ = SKILLS[(n >> 8 * k) % len(SKILLS)]
-            found.append({"skill_id": skill_id, "skill_name": name, "points": points, "direction": "positive" if points > 0 else "negative", "lines": [lines[k % len(lines)], lines[-1]], "required_checks": {"line": True, "clear": bool(n >> 16 & 3)}})
-        told = {"confirmed_rule_detections": ["DD"], "rejected_rule_detections": ["TVL"] if n % 3 == 0 else []}
-        out.append(json.dumps({**told, "semantic_detections": found}) if n % 7 else "Sorry, no.")
-    return pd.Series(out, dtype=str)

@@ -5,14 +5,14 @@ import json
 import re
 import time
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import similarity
-from ..registry import GATED, SELF_CORRECTION, SKILLS, SWAP, TRUSTED
+from ..plans.reconcile import CLEAN
 
-NAMES = {skill_id: name for _, skill_id, name, *_ in SKILLS}
 #: Tries of one call, seconds before the first retry without a hint, and seconds between two prompts.
 ATTEMPTS, FIRST_WAIT, PACE = 5, 2.0, 1.5
 # What a service says of a key that it doesn't take.
@@ -95,132 +95,17 @@ def read(s: str) -> dict:
     return {"error": "JSON parse failed", "raw": s[:500]}
 
 
-@dataclass
-class Window:
-    start: int
-    stop: int  # included
-    content: str | None
-    again: str | None  # the answer to the short prompt, where the first one couldn't be read
+def clean(s: str | None) -> str | None:
+    """The JSON object in an answer, as plain JSON; None where none can be read."""
+    got = {"error": ""} if s is None else read(s)
+    return None if "error" in got else json.dumps(got)
 
 
-def position(start: int, stop: int, n: int) -> tuple[bool, bool]:
-    """Whether a window opens the round, and whether it closes it."""
-    return start == 0, stop >= n - 2
+@F.pandas_udf(T.StringType())
+def clean_udf(s: pd.Series) -> pd.Series:
+    return s.map(clean).astype(object)
 
 
-def findings(windows: Sequence[Window], n: int, blocked: bool) -> tuple[list[dict], set[str], set[str], list[str]]:
-    """The findings of all windows in order, confirmed and rejected rule findings, and a status of each window."""
-    out, confirmed, rejected, status = [], set(), set(), []
-    for w in windows:
-        if w.content is None:
-            status.append("unanswered")
-            continue
-        got = read(w.content)
-        said = "first"
-        if "error" in got and w.again is not None:
-            got, said = read(w.again), "second"
-        if "error" in got:
-            status.append("unread")
-            continue
-        status.append(said)
-        opens, closes = position(w.start, w.stop, n)
-        for f in got.get("semantic_detections") or []:
-            if f.get("skill_id") == "OGR" and (not opens or blocked) or f.get("skill_id") == "4QP" and not closes:
-                continue
-            out.append(dict(f))
-        confirmed.update(x if isinstance(x, str) else x.get("skill_id", "") for x in got.get("confirmed_rule_detections") or [])
-        rejected.update(x if isinstance(x, str) else x.get("skill_id", "") for x in got.get("rejected_rule_detections") or [])
-    return out, confirmed - {""}, rejected - {""}, status
-
-
-def accepted_once(found: list[dict], n: int, cap: Callable[[str, int], int]) -> list[dict]:
-    """Findings in arrival order without those that resemble an accepted one of their skill; more points replace it."""
-    kept: list[dict] = []
-    for f in found:
-        own = [i for i, k in enumerate(kept) if k.get("skill_id") == f.get("skill_id")]
-        same = next((i for i in own if similarity.lines_similar(f.get("lines") or [], kept[i].get("lines") or [])), None)
-        if same is not None:
-            if f.get("points", 0) > kept[same].get("points", 0):
-                kept[same] = f
-        elif len(own) < cap(f.get("skill_id", ""), n):
-            kept.append(f)
-    return kept
-
-
-def _segments(f: dict) -> list[str]:
-    return [s.strip() for line in f.get("lines") or [] for s in line.split("\n") if s.strip()]
-
-
-def _becomes(f: dict, skill_id: str, points: float, why: str) -> dict:
-    return {**f, "skill_id": skill_id, "skill_name": NAMES[skill_id], "points": points, "gate_note": why}
-
-
-def _fixed(f: dict) -> dict:
-    """A finding after the rules of its own skill: direction, fast breaks, crossovers, swaps."""
-    whole = " ".join(f.get("lines") or []).lower()
-    match f.get("skill_id"):
-        case "FL":
-            return {**f, "direction": "positive"}
-        case "FB":
-            if len(_segments(f)) < 2:
-                return _becomes(f, "MR", 1.35, "fast break of fewer than two lines")
-            quoted = [x.strip() for x in f.get("lines") or [] if x.strip()]
-            if any(similarity.lines_similar([a], [b], 0.75) for i, a in enumerate(quoted) for b in quoted[i + 1 :]):
-                return _becomes(f, "MR", 1.35, "fast break of lines that repeat")
-        case "CO" if any(p in whole for p in SELF_CORRECTION):
-            return _becomes(f, "MR", 1.35, "crossover that corrects itself")
-        case "ES" if all(p in whole for p in SWAP):
-            return _becomes(f, "LU", 1.25, "euro step that swaps words")
-    return f
-
-
-def owned(found: list[dict]) -> list[dict]:
-    """Findings without positive ones all of whose quoted lines belong to one of more points, or to an earlier one."""
-    keys = [{s.lower()[:100] for s in _segments(f)} if f.get("direction") == "positive" else None for f in found]
-    owner: dict[str, int] = {}
-    for i, own in enumerate(keys):
-        for k in own or ():
-            if k not in owner or abs(found[i].get("points", 0)) > abs(found[owner[k]].get("points", 0)):
-                owner[k] = i
-    return [f for i, (f, own) in enumerate(zip(found, keys)) if own is None or any(owner[k] == i for k in own)]
-
-
-def gate(f: dict) -> str | None:
-    """Why a finding is rejected, or None."""
-    if f.get("skill_id") not in GATED:
-        return None
-    checks = f.get("required_checks") or {}
-    failed = [k for k, v in checks.items() if not v]
-    return "rejected_by_gate: " + (", ".join(failed) if checks else "required_checks missing") if failed or not checks else None
-
-
-def deliberate(evidence: Sequence[str]) -> bool:
-    """Whether some evidence shows a likeness of 93 % or more."""
-    return any(int(p) >= 93 for e in evidence for p in re.findall(r"similarity\s+(\d+)%", e)[:1])
-
-
-def document(windows: Sequence[Window], n: int, blocked: bool, opponent: bool, trusted: Sequence[dict], cap: Callable[[str, int], int]) -> dict:
-    """The result of one performance. trusted: rule findings (skill_id, points, evidence), those of lines first."""
-    found, confirmed, rejected, status = findings(windows, n, blocked)
-    found = owned([_fixed(f) for f in accepted_once(found, n, cap)])
-    if not opponent:
-        found = [f for f in found if f.get("skill_id") != "STL"]
-    verdicts = [(f, gate(f)) for f in found]
-    final = []
-    for t in trusted:
-        if t["skill_id"] in rejected or t["skill_id"] == "DD" and deliberate(t["evidence"]):
-            continue
-        own = {"skill_id": t["skill_id"], "skill_name": NAMES[t["skill_id"]], "points": t["points"], "direction": "positive" if t["points"] > 0 else "negative"}
-        final.append({**own, "source": "rule_engine", "lines": list(t["evidence"][:2]), "reason": "Rule engine: " + "; ".join(t["evidence"][:1])})
-    final += [{**f, "source": "llm"} for f, why in verdicts if why is None and f.get("skill_id") not in TRUSTED]
-    side = lambda s: [f for f in final if f.get("direction") == s]
-    return {
-        "total_score": round(sum(f.get("points", 0) for f in final), 2),
-        "highlights": side("positive"),
-        "deductions": side("negative"),
-        "all_detections": final,
-        "windows_used": len(windows),
-        "window_status": status,
-        "rule_engine_raw": {"trusted_found": [t["skill_id"] for t in trusted], "confirmed_by_llm": sorted(confirmed), "rejected_by_llm": sorted(rejected)},
-        "gate_log": {"gated_out": [{"skill_id": f["skill_id"], "verdict": why, "checks": f.get("required_checks") or {}} for f, why in verdicts if why]},
-    }
+def register(spark: SparkSession) -> None:
+    """Makes the reader of answers known to a session's SQL."""
+    spark.udf.register(CLEAN, clean_udf)

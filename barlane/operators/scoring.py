@@ -12,41 +12,21 @@ from pyspark.sql import types as T
 from ..functions import similarity
 from ..functions.dialect import Spark
 from ..plans import fixtures as fx
-from ..plans import sqls
-from ..registry import CAPS, NO_CAP, STRUCTURAL
+from ..plans import reconcile, sqls
 from . import judge
 
 Run = Callable[[str], DataFrame]
 _KEYS = ["match_id", "round", "side"]
 
 
-def cap(skill_id: str, n_lines: int) -> int:
-    """How often a skill may be kept in a round of so many lines."""
-    base = CAPS.get(skill_id, NO_CAP)
-    return base if skill_id not in CAPS or skill_id in STRUCTURAL else max(base, -int(-(base * min(n_lines / 45.0, 3.0)) // 1))
-
-
-def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """One performance's findings in arrival order: a finding whose lines resemble an accepted one of its skill replaces it
-    if it has more points and goes otherwise; the rest is kept up to its skill's cap."""
-    rows = rows.sort_values("idx", kind="stable")
-    kept: dict[str, list[int]] = {}
-    quoted, points = rows["quoted"].tolist(), rows["points"].tolist()
-    for i, skill in enumerate(rows["skill_id"]):
-        own = kept.setdefault(skill, [])
-        same = next((k for k, j in enumerate(own) if similarity.lines_similar(list(quoted[i]), list(quoted[j]))), None)
-        if same is None:
-            if len(own) < cap(skill, int(rows["n"].iloc[i])):
-                own.append(i)
-        elif points[i] > points[own[same]]:
-            own[same] = i
-    return rows.iloc[sorted(i for own in kept.values() for i in own)][[*_KEYS, "idx", "skill_id", "points"]]
-
-
 def dedup_greedy(dets: DataFrame) -> DataFrame:
     """Findings (match_id, round, side, n, idx, skill_id, points, quoted) after greedy dedup, a performance at a time."""
-    some = dets.select(*_KEYS, "n", "idx", "skill_id", "points", "quoted")
-    return some.groupBy(*_KEYS).applyInPandas(greedy, "match_id bigint, round int, side string, idx int, skill_id string, points double")
+    item = F.struct("idx", "skill_id", "points", F.col("quoted").alias("lines"))
+    rows = dets.groupBy(*_KEYS).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(item)).alias("said"))
+    alike = similarity.alike_udf(F.col("said.skill_id"), F.col("said.lines"))
+    folded = rows.withColumn("a", alike).withColumn("near", F.col("a.near")).withColumn("kept", F.expr(reconcile.accepted(_D)))
+    one = folded.select(*_KEYS, F.explode(F.expr(_D.each("kept", "i", _D.at("said", "i")))).alias("x"))
+    return one.select(*_KEYS, "x.idx", "x.skill_id", "x.points")
 
 
 def recovered(s: str) -> str:
@@ -54,11 +34,6 @@ def recovered(s: str) -> str:
     return json.dumps(judge.read(s), sort_keys=True)
 
 
-@F.pandas_udf(T.StringType())
-def recovered_udf(s: pd.Series) -> pd.Series:
-    return s.map(recovered)
-
-
 @F.pandas_udf(T.StringType())
 def repaired_udf(s: pd.Series) -> pd.Series:
     return s.map(judge.repaired)
@@ -84,31 +59,9 @@ def _dets(run: Run) -> DataFrame:
     return run(sqls._perf(_D, "SELECT * FROM dets", *sqls._dets(_D), prep=True))
 
 
-def _similar(run: Run) -> DataFrame:
-    """Whether the lines of two findings of a performance resemble each other, whatever their skills."""
-    d = _dets(run).select(*_KEYS, "idx", "quoted")
-    pairs = d.join(d.select(*_KEYS, F.col("idx").alias("other"), F.col("quoted").alias("quoted_b")), _KEYS).filter("idx < other")
-    return pairs.select(*_KEYS, "idx", "other", similarity.lines_similar_udf("quoted", "quoted_b").alias("similar"))
-
-
-def _fix_fb_dup(run: Run) -> DataFrame:
-    d = _dets(run).filter("skill_id = 'FB'")
-    return d.select(*_KEYS, "idx", F.when(similarity.any_pair_alike_udf("quoted"), "MR").otherwise("FB").alias("skill_id"))
-
-
-_ANSWERS = (
-    '{"semantic_detections": []}',
-    'Here: ```json\n{"a": [1, 2]}\n```',
-    'text {"a": {"b": 1}} more',
-    "{“a”: “b”}",
-    '{"a": "broken',
-    "",
-)
-
-
-def _answers(run: Run, udf) -> DataFrame:
-    rows = ", ".join(f"({i}, {_D.lit(a)})" for i, a in enumerate(_ANSWERS))
-    return run(f"SELECT * FROM (VALUES {rows}) AS v(id, body)").select("id", udf("body").alias("out"))
+def _repaired(run: Run) -> DataFrame:
+    """The answers to the sample performances with their quotes mended."""
+    return run(sqls.fx.with_(*sqls.judged(_D)) + "SELECT match_id, round, side, win_idx, content FROM answered WHERE content IS NOT NULL").select(*_KEYS, "win_idx", repaired_udf("content").alias("out"))
 
 
 def _replay(run: Run) -> DataFrame:
@@ -136,22 +89,10 @@ def _payload(run: Run) -> DataFrame:
     return p.select("match_id", F.coalesce(F.nullif("p.tie_threshold", F.lit(0.0)), F.lit(0.75)).alias("tie"), F.posexplode("p.rounds").alias("k", "r")).select("match_id", "tie", (F.col("k") + 1).alias("round"), F.md5("r.a").alias("a"), F.md5("r.b").alias("b"))
 
 
-def _errors(run: Run) -> DataFrame:
-    rows = run("SELECT * FROM (VALUES (1, '{\"rounds\": []}'), (2, '{\"rounds\": [{\"a\": \"x\", \"b\": \" \"}]}'), (3, 'oops'), (4, '{\"rounds\": [{\"a\": \"x\", \"b\": \"y\"}]}')) AS v(id, body)")
-    p = rows.select("id", F.from_json("body", "rounds ARRAY<STRUCT<a: STRING, b: STRING>>").alias("p"), "body")
-    kind = F.when(F.col("p.rounds").isNull(), "invalid_json").when(F.size("p.rounds") == 0, "invalid_payload").when(F.exists("p.rounds", lambda r: (F.trim(r.a) == "") | (F.trim(r.b) == "")), "invalid_payload")
-    return p.select("id", kind.alias("error"), kind.isNull().alias("ok"))
-
-
 QUERIES: dict[str, Callable[[Run], DataFrame]] = {
-    "lines_similar": _similar,
-    "dedup_greedy": lambda run: dedup_greedy(_dets(run)),
-    "fix_fb_dup": _fix_fb_dup,
-    "json_recover": lambda run: _answers(run, recovered_udf),
-    "json_repair": lambda run: _answers(run, repaired_udf),
+    "json_repair": _repaired,
     "judge_replay": _replay,
     "round_json": _round_json,
     "gate_log": _gate_log,
     "payload_parse": _payload,
-    "error_envelope": _errors,
 }

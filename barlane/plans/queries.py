@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.dialect import Duck, Spark
 from ..functions.similarity import register
-from ..operators import scoring
+from ..operators import judge, scoring
 from . import sqls
 
 
@@ -24,7 +24,9 @@ def session(spark: SparkSession) -> SparkSession:
         if key.startswith("spark.sql.") and own.conf.get(key, None) != value and own.conf.isModifiable(key):
             own.conf.set(key, value)
     own.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    own.conf.set("spark.sql.analyzer.maxIterations", "500")  # the composed paths have many layers
     register(own)
+    judge.register(own)
     return own
 
 
@@ -58,22 +60,3 @@ def _with(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 QUERIES |= {name: _with(f) for name, f in scoring.QUERIES.items()}
 
-
-def hybrid_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every performance by rules and the sample judge, with what it answers as opponent."""
-    from ..operators import hybrid
-
-    turns = run(spark, sf_dir, sqls._perf(Spark(), "SELECT * FROM perf"))
-    return hybrid.hybrid(hybrid.answering(turns), hybrid.replay)
-
-
-def match_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every match by rules and the sample judge; those with a side that said nothing have an error."""
-    from ..operators import hybrid
-
-    sides = "max(CASE side WHEN 'A' THEN text END) AS a, max(CASE side WHEN 'B' THEN text END) AS b"
-    rounds = run(spark, sf_dir, sqls._perf(Spark(), f"SELECT CAST(match_id AS STRING) AS match_id, round, {sides} FROM perf GROUP BY match_id, round"))
-    return hybrid.matches(rounds, hybrid.replay)
-
-
-QUERIES |= {"hybrid_full": hybrid_full, "match_full": match_full}

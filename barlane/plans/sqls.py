@@ -8,6 +8,7 @@ from .. import rules
 from ..functions import detectors, fullcourt, similarity_sql, text
 from ..functions.dialect import Spark, noted, strip
 from . import fixtures as fx
+from . import reconcile as rc
 
 Q: dict[str, Callable[[Spark], str]] = {}
 
@@ -260,13 +261,20 @@ def legacy_matrix(d: Spark) -> str:
 
 @query
 def list_skills(d: Spark) -> str:
-    return fx.with_(fx.skills(d)) + "SELECT CAST(ord AS INT) AS ord, key, skill_id, skill_name, points, category, threshold FROM skills"
+    """The registry, with how often each skill is among the sample findings."""
+    return _perf(
+        d, "SELECT CAST(s.ord AS INT) AS ord, s.key AS key, s.skill_id AS skill_id, s.skill_name AS skill_name, s.points AS points, category, threshold, count(d.idx) AS n_found "
+        "FROM skills s LEFT JOIN dets d ON s.skill_id = d.skill_id GROUP BY s.ord, s.key, s.skill_id, s.skill_name, s.points, category, threshold", *_dets(d), prep=True,
+    )
 
 
 @query
 def technique_info(d: Spark) -> str:
     rows = ", ".join("(" + ", ".join(d.lit(x) for x in t) + ")" for t in reg.TECHNIQUES)
-    return fx.with_(fx.skills(d), f"info AS (SELECT * FROM (VALUES {rows}) AS v(technique, name, value_text, description))") + "SELECT key, name, value_text, description FROM skills LEFT JOIN info ON technique = key"
+    return _perf(
+        d, f"SELECT {_KEYS}, idx, key, name, value_text, description FROM dets JOIN (SELECT key, skill_id AS own FROM skills) AS k ON skill_id = own LEFT JOIN info ON technique = key",
+        *_dets(d), f"info AS (SELECT * FROM (VALUES {rows}) AS v(technique, name, value_text, description))", prep=True,
+    )
 
 
 # Windows and the judge.
@@ -277,12 +285,9 @@ def line_windows(d: Spark) -> str:
     return _perf(d, f"SELECT match_id, round, side, win_idx, start, stop, {d.join('win_lines', chr(10))} AS win_text FROM wins", fx.windows(d), prep=True)
 
 
-_POSITION = "CASE WHEN start = 0 THEN 'opener' WHEN stop + 1 >= n - 2 THEN 'closer' ELSE 'middle' END"
-
-
 @query
 def window_position(d: Spark) -> str:
-    return _perf(d, f"SELECT match_id, round, side, win_idx, {_POSITION} AS position FROM wins", fx.windows(d), prep=True)
+    return _perf(d, f"SELECT match_id, round, side, win_idx, {rc.POSITION} AS position FROM wins", fx.windows(d), prep=True)
 
 
 def _dets(d: Spark) -> tuple[str, ...]:
@@ -294,15 +299,14 @@ def position_filter(d: Spark) -> str:
     blocked = f"blocks AS (SELECT match_id AS bm, round AS br, side AS bs, {text.ogr_block(d, 'text')} AS blocked FROM perf)"
     return _perf(
         d,
-        "SELECT match_id, round, side, idx, skill_id FROM dets JOIN blocks ON match_id = bm AND round = br AND side = bs "
-        "WHERE (skill_id <> 'OGR' OR (start = 0 AND NOT blocked)) AND (skill_id <> '4QP' OR stop + 1 >= n - 2)",
+        f"SELECT match_id, round, side, idx, skill_id FROM dets JOIN blocks ON match_id = bm AND round = br AND side = bs WHERE {rc.in_place('skill_id')}",
         *_dets(d), blocked, prep=True,
     )
 
 
 @query
 def prompt_build(d: Spark) -> str:
-    opener = f"CASE WHEN {_POSITION} = 'opener' THEN 'opening' WHEN {_POSITION} = 'closer' THEN 'closing' ELSE 'middle' END"
+    opener = f"CASE WHEN {rc.POSITION} = 'opener' THEN 'opening' WHEN {rc.POSITION} = 'closer' THEN 'closing' ELSE 'middle' END"
     return _perf(
         d, f"SELECT match_id, round, side, win_idx, concat('Judge lines ', start + 1, '-', stop + 1, ' of ', n, ' (', {opener}, ').', {d.lit(chr(10))}, {d.join('win_lines', chr(10))}) AS prompt FROM wins", fx.windows(d), prep=True
     )
@@ -318,48 +322,55 @@ def judge_cache_split(d: Spark) -> str:
     )
 
 
-# Judge findings, as JSON literals: (window, response).
-RESPONSES = (
-    (0, '{"confirmed_rule_detections": ["DD"], "rejected_rule_detections": ["TVL"], "semantic_detections": [{"skill_id": "MR", "points": 1.35}, {"skill_id": "LU", "points": 1.25}]}'),
-    (1, '{"confirmed_rule_detections": ["DD", "CHK"], "rejected_rule_detections": [], "semantic_detections": [{"skill_id": "FB", "points": 3.0}]}'),
-    (2, '{"confirmed_rule_detections": [], "rejected_rule_detections": ["CHK"], "semantic_detections": []}'),
-)
+def turns(d: Spark) -> tuple[str, ...]:
+    """perf, cleaned, of the sample performances, with blocked and opponent, the lines that a turn answers."""
+    own = f"turns1 AS (SELECT *, lag(text) OVER (PARTITION BY match_id ORDER BY round, side) AS opponent FROM turns0)"
+    return fx.performances(d, "turns0"), own, *cleaned(d, "turns1")
 
 
-@query
-def judge_flatten(d: Spark) -> str:
-    rows = ", ".join(f"({i}, {d.lit(r)})" for i, r in RESPONSES)
-    base = fx.with_(f"answers AS (SELECT * FROM (VALUES {rows}) AS v(win_idx, body))")
-    if d.name == "spark":
-        return base + """SELECT win_idx, CAST(det_idx AS INT) AS det_idx, det.skill_id AS skill_id, det.points AS points FROM (
-SELECT win_idx, posexplode(from_json(body, 'semantic_detections ARRAY<STRUCT<skill_id: STRING, points: DOUBLE>>').semantic_detections) AS (det_idx, det) FROM answers)"""
-    return base + """SELECT win_idx, (i - 1)::INT AS det_idx, json_extract_string(body, '$.semantic_detections[' || (i - 1) || '].skill_id') AS skill_id,
-json_extract(body, '$.semantic_detections[' || (i - 1) || '].points')::DOUBLE AS points
-FROM (SELECT win_idx, body, unnest(generate_series(1, json_array_length(body, '$.semantic_detections')::BIGINT)) AS i FROM answers)"""
+def cleaned(d: Spark, source: str) -> tuple[str, ...]:
+    """perf: source with its text's slang corrected, walls of text cut and ad-libs dropped, and blocked."""
+    keep = "match_id, round, side, opponent"
+    return (
+        f"clean1 AS (SELECT {keep}, {text.slang(d, 'text')} AS t FROM {source})",
+        f"clean2 AS (SELECT {keep}, {text.auto_split(d, 't')} AS t FROM clean1)",
+        f"clean3 AS (SELECT {keep}, {text.adlib_strip(d, 't')} AS text FROM clean2)",
+        f"perf AS (SELECT *, {text.ogr_block(d, 'text')} AS blocked FROM clean3)",
+    )
 
 
-# Reconciliation.
-_KEYS = "match_id, round, side"
+def judged(d: Spark) -> tuple[str, ...]:
+    """The whole hybrid path over the sample performances and a table of answers: everything of reconcile.layers."""
+    return *turns(d), fx.prepared(d), *scan(d, True, keep=("opponent", "blocked")), fx.answered(d), *rc.layers(d)
 
 
-def _caps(d: Spark) -> str:
-    rows = ", ".join(f"('{s}', {c}, {str(s in reg.STRUCTURAL).lower()})" for s, c in reg.CAPS.items())
-    return f"caps AS (SELECT * FROM (VALUES {rows}) AS v(cap_id, base, fixed))"
+def _hybrid(name: str, select: Callable[[Spark], str]) -> None:
+    Q[name] = lambda d: fx.with_(*judged(d)) + select(d)
 
 
-def _cap(d: Spark) -> str:
-    return f"CAST(CASE WHEN base IS NULL THEN {reg.NO_CAP} WHEN fixed THEN base ELSE greatest(base, ceil(base * least(n / {d.f(45)}, {d.f(3)}))) END AS INT)"
+def _rows(d: Spark, a: str, source: str, keep: str = "match_id, round, side") -> str:
+    """A row for each element x of an array."""
+    return f"(SELECT {keep}, x FROM (SELECT {keep}, {_each_of(d, a)} FROM {source}) AS e WHERE x IS NOT NULL) AS r"
+
+
+_hybrid("hybrid_full", rc.summary)
+_hybrid("json_recover", lambda d: f"SELECT match_id, round, side, win_idx, state, CAST({d.size('said')} AS INT) AS n_findings, {d.join('confirmed0', ',')} AS confirmed, {d.join('rejected0', ',')} AS rejected FROM parsed WHERE win_idx IS NOT NULL")
+_hybrid("judge_flatten", lambda d: f"SELECT match_id, round, side, win_idx, x.skill_id AS skill_id, x.points AS points, x.failed AS failed, {d.join('x.lines', ' / ')} AS quoted FROM {_rows(d, 'said', 'parsed', 'match_id, round, side, win_idx')}")
+
+
+# Reconciliation.
+_KEYS = "match_id, round, side"
 
 
 @query
 def dynamic_caps(d: Spark) -> str:
-    return _perf(d, f"SELECT {_KEYS}, skill_id, {_cap(d)} AS cap FROM (SELECT DISTINCT match_id, round, side, n FROM prep) AS p CROSS JOIN skills LEFT JOIN caps ON cap_id = skill_id", fx.skills(d), _caps(d), prep=True)
+    return _perf(d, f"SELECT {_KEYS}, skill_id, {rc.cap(d, 'skill_id', 'n')} AS cap FROM (SELECT DISTINCT match_id, round, side, n FROM prep) AS p CROSS JOIN skills", fx.skills(d), prep=True)
 
 
 @query
 def cap_enforce(d: Spark) -> str:
     return _perf(
-        d, f"SELECT {_KEYS}, idx, skill_id FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS}, skill_id ORDER BY idx) AS k, {_cap(d)} AS cap FROM dets LEFT JOIN caps ON cap_id = skill_id) AS x WHERE k <= cap", *_dets(d), _caps(d), prep=True
+        d, f"SELECT {_KEYS}, idx, skill_id FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS}, skill_id ORDER BY idx) AS k, {rc.cap(d, 'skill_id', 'n')} AS cap FROM dets) AS x WHERE k <= cap", *_dets(d), prep=True
     )
 
 
@@ -386,7 +397,7 @@ def lines_contained(d: Spark) -> str:
 
 @query
 def fix_fl(d: Spark) -> str:
-    return _perf(d, f"SELECT {_KEYS}, idx, skill_id, CASE WHEN skill_id = 'FL' THEN 'positive' ELSE direction END AS direction FROM dets", *_dets(d), prep=True)
+    return _perf(d, f"SELECT {_KEYS}, idx, skill_id, {rc.direction('skill_id', 'direction')} AS direction FROM dets", *_dets(d), prep=True)
 
 
 def _relabel(d: Spark, test: str, to: str, points: float) -> str:
@@ -395,104 +406,68 @@ def _relabel(d: Spark, test: str, to: str, points: float) -> str:
 
 @query
 def fix_fb_lines(d: Spark) -> str:
-    n = d.size(d.where(d.flat(d.each("quoted", "ql", d.split("ql", r"\n"))), "sg", f"{strip(d, 'sg')} <> ''"))
-    return _perf(d, f"SELECT {_KEYS}, idx, {_relabel(d, f'skill_id = {chr(39)}FB{chr(39)} AND {n} < 2', 'MR', 1.35)} FROM dets", *_dets(d), prep=True)
-
-
-def _joined(d: Spark) -> str:
-    return f"lower({d.join('quoted', ' ')})"
+    return _perf(d, f"SELECT {_KEYS}, idx, {_relabel(d, rc.short_break(d, 'skill_id', 'quoted'), 'MR', 1.35)} FROM dets", *_dets(d), prep=True)
 
 
 @query
 def fix_co(d: Spark) -> str:
-    test = "skill_id = 'CO' AND (" + " OR ".join(d.contains(_joined(d), d.lit(p)) for p in reg.SELF_CORRECTION) + ")"
-    return _perf(d, f"SELECT {_KEYS}, idx, {_relabel(d, test, 'MR', 1.35)} FROM dets", *_dets(d), prep=True)
+    return _perf(d, f"SELECT {_KEYS}, idx, {_relabel(d, rc.corrected(d, 'skill_id', 'quoted'), 'MR', 1.35)} FROM dets", *_dets(d), prep=True)
 
 
 @query
 def fix_es(d: Spark) -> str:
-    test = "skill_id = 'ES' AND " + " AND ".join(d.contains(_joined(d), d.lit(p)) for p in reg.SWAP)
-    return _perf(d, f"SELECT {_KEYS}, idx, {_relabel(d, test, 'LU', 1.25)} FROM dets", *_dets(d), prep=True)
+    return _perf(d, f"SELECT {_KEYS}, idx, {_relabel(d, rc.swapped(d, 'skill_id', 'quoted'), 'LU', 1.25)} FROM dets", *_dets(d), prep=True)
 
 
-@query
-def line_ownership(d: Spark) -> str:
-    parts = d.flat(d.each("quoted", "ql", d.split("ql", r"\n")))
-    some = f"explode({parts})" if d.name == "spark" else f"unnest({parts})"
-    return _perf(
-        d,
-        f"SELECT {_KEYS}, idx, skill_id FROM dets WHERE direction <> 'positive' UNION ALL "
-        f"SELECT DISTINCT {_KEYS}, idx, skill_id FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS}, line ORDER BY abs(points) DESC, idx) AS k FROM keyed WHERE line <> '') AS x WHERE k = 1",
-        *_dets(d), f"keyed AS (SELECT {_KEYS}, idx, skill_id, points, substring(lower({strip(d, 'seg')}), 1, 100) AS line FROM (SELECT {_KEYS}, idx, skill_id, points, {some} AS seg FROM dets WHERE direction = 'positive') AS s)",
-        prep=True,
-    )
+def _arrays(d: Spark, skill: str = "skill_id") -> tuple[str, ...]:
+    """collected: the sample findings of a performance as an array `said`, in arrival order."""
+    item = d.struct({"idx": "idx", "pos": "idx", "skill_id": skill, "points": "points", "direction": "direction", "lines": "quoted", "keys": rc.keys(d, "quoted")})
+    first = "first" if d.name == "spark" else "any_value"
+    return *_dets(d), f"collected AS (SELECT {_KEYS}, {first}(n) AS n, {d.listed(item, 'idx')} AS said FROM dets GROUP BY {_KEYS})"
 
 
 @query
-def stl_block(d: Spark) -> str:
-    return _perf(d, f"SELECT {_KEYS}, idx, skill_id FROM dets WHERE skill_id <> 'STL' OR NOT (side = 'A' AND round = 1)", *_dets(d), prep=True)
-
-
-_GATED = ", ".join(f"'{s}'" for s in reg.GATED)
-
-
-def _gate(d: Spark) -> str:
-    """Verdict from a map of checks: none for 0, one false for 1, all true for 2."""
-    return f"CASE WHEN skill_id NOT IN ({_GATED}) OR checks = 2 THEN 'accepted' WHEN checks = 0 THEN 'rejected_by_gate: required_checks missing' ELSE 'rejected_by_gate: clear' END"
+def dedup_greedy(d: Spark) -> str:
+    kept = d.each("kept", "i", d.at("said", "i"))
+    return _perf(d, f"SELECT {_KEYS}, x.idx AS idx, x.skill_id AS skill_id, x.points AS points FROM {_rows(d, kept, 'folded')}", *_arrays(d), *rc.alike(d), f"folded AS (SELECT *, {rc.accepted(d)} AS kept FROM alike)", prep=True)
 
 
 @query
-def hard_gates(d: Spark) -> str:
-    if d.name != "spark":
-        return _perf(d, f"SELECT {_KEYS}, idx, skill_id, {_gate(d)} AS verdict FROM dets", *_dets(d), prep=True)
-    checks = "CASE checks WHEN 0 THEN CAST(map() AS MAP<STRING, BOOLEAN>) WHEN 1 THEN map('line', true, 'clear', false) ELSE map('line', true) END"
-    failed = "array_join(map_keys(map_filter(required, (k, v) -> NOT v)), ', ')"
-    verdict = f"CASE WHEN skill_id NOT IN ({_GATED}) THEN 'accepted' WHEN size(required) = 0 THEN 'rejected_by_gate: required_checks missing' WHEN {failed} <> '' THEN concat('rejected_by_gate: ', {failed}) ELSE 'accepted' END"
-    return _perf(d, f"SELECT {_KEYS}, idx, skill_id, {verdict} AS verdict FROM (SELECT *, {checks} AS required FROM dets) AS x", *_dets(d), prep=True)
-
-
-def deliberate(d: Spark, ev: str) -> str:
-    """Whether some evidence shows a likeness of 93 % or more."""
-    return d.any_in(ev, "e", f"{d.has('e', r'similarity\s+(\d+)%')} AND CAST(coalesce(nullif({d.extract('e', r'similarity\s+(\d+)%', 1)}, ''), '0') AS INT) >= 93")
+def lines_similar(d: Spark) -> str:
+    """Which earlier findings (other) have a line like one of a finding's, whatever their skills."""
+    pairs = d.flat(d.each(d.upto(d.size("said")), "q", d.each(d.at("near", "q"), "e", d.struct({"idx": f"{d.at('said', 'q')}.idx", "other": f"{d.at('said', 'e')}.idx"}))))
+    return _perf(d, f"SELECT {_KEYS}, x.idx AS idx, x.other AS other FROM {_rows(d, pairs, 'alike')}", *_arrays(d, "'any'"), *rc.alike(d), prep=True)
 
 
 @query
-def dd_deliberate(d: Spark) -> str:
-    return _perf(d, f"SELECT {_KEYS}, {d.join('dd_evidence', ' / ')} AS evidence, {deliberate(d, 'dd_evidence')} AS deliberate FROM repeated WHERE {d.size('dd_evidence')} > 0", *similarity_sql.repeated(d), prep=True)
+def fix_fb_dup(d: Spark) -> str:
+    each = d.each(d.upto(d.size("said")), "q", d.struct({"idx": f"{d.at('said', 'q')}.idx", "skill_id": f"{d.at('said', 'q')}.skill_id", "points": f"{d.at('said', 'q')}.points", "repeats": d.at("repeats", "q")}))
+    return _perf(d, f"SELECT {_KEYS}, idx, {_relabel(d, 'repeats', 'MR', 1.35)} FROM (SELECT {_KEYS}, x.idx AS idx, x.skill_id AS skill_id, x.points AS points, x.repeats AS repeats FROM {_rows(d, each, 'alike')}) AS b WHERE skill_id = 'FB'", *_arrays(d), *rc.alike(d), prep=True)
 
 
-def trusted(d: Spark) -> str:
-    """trusted: the rule findings that are taken over, of texts that don't say a line again on purpose."""
-    listed = ", ".join(f"'{s}'" for s in reg.TRUSTED)
-    own = d.where("dets", "x", f"x.skill_id IN ({listed})")
-    return f"trusted AS (SELECT match_id, round, side, x.skill_id AS skill_id, x.cents / {d.f(100)} AS points, x.skill_id = 'DD' AND {deliberate(d, 'x.evidence')} AS deliberate FROM (SELECT match_id, round, side, {_each_of(d, own)} FROM scanned) AS y WHERE x IS NOT NULL)"
+@query
+def line_ownership(d: Spark) -> str:
+    return _perf(d, f"SELECT {_KEYS}, x.idx AS idx, x.skill_id AS skill_id FROM {_rows(d, d.where('said', 'x', rc.owns(d, 'x', 'said')), 'collected')}", *_arrays(d), prep=True)
 
 
-def merged(d: Spark) -> str:
-    """final: trusted rule findings that the judge didn't reject, and the judge's findings of other skills that pass the gates."""
-    listed = ", ".join(f"'{s}'" for s in reg.TRUSTED)
-    return f"""rejected AS (SELECT DISTINCT {_KEYS}, skill_id FROM dets WHERE skill_id IN ({listed}) AND checks = 1),
-final AS (
-  SELECT f.match_id, f.round, f.side, f.skill_id, f.points, 'rule' AS source FROM trusted f LEFT JOIN rejected r
-  ON f.match_id = r.match_id AND f.round = r.round AND f.side = r.side AND f.skill_id = r.skill_id
-  WHERE r.skill_id IS NULL AND NOT f.deliberate
-  UNION ALL SELECT {_KEYS}, skill_id, points, 'judge' AS source FROM dets WHERE skill_id NOT IN ({listed}) AND {_gate(d)} = 'accepted'
-)"""
+@query
+def stl_block(d: Spark) -> str:
+    rivals = f"rivals AS (SELECT match_id AS rm, round AS rr, side AS rs, coalesce(trim(lag(text) OVER (PARTITION BY match_id ORDER BY round, side)), '') <> '' AS rival FROM perf)"
+    return _perf(d, f"SELECT {_KEYS}, idx, skill_id FROM dets JOIN rivals ON match_id = rm AND round = rr AND side = rs WHERE {rc.answers_someone('skill_id', 'rival')}", *_dets(d), rivals, prep=True)
 
 
-def _merge(d: Spark) -> tuple[str, ...]:
-    return *scan(d, True), trusted(d), fx.windows(d), fx.skills(d), fx.detections(d), merged(d)
+@query
+def hard_gates(d: Spark) -> str:
+    return _perf(d, f"SELECT {_KEYS}, idx, skill_id, {rc.gate('skill_id', 'failed')} AS verdict FROM dets", *_dets(d), prep=True)
 
 
 @query
-def merge_sources(d: Spark) -> str:
-    return _perf(d, f"SELECT {_KEYS}, skill_id, points, source FROM final", *_merge(d), prep=True)
+def dd_deliberate(d: Spark) -> str:
+    return _perf(d, f"SELECT {_KEYS}, {d.join('dd_evidence', ' / ')} AS evidence, {rc.deliberate(d, 'dd_evidence')} AS deliberate FROM repeated WHERE {d.size('dd_evidence')} > 0", *similarity_sql.repeated(d), prep=True)
 
 
-@query
-def hybrid_total(d: Spark) -> str:
-    plus = lambda t: f"coalesce(round(CAST(sum(CASE WHEN {t} THEN CAST(points AS DECIMAL(8, 2)) END) AS DOUBLE), 2), {d.f(0)})"
-    return _perf(d, f"SELECT {_KEYS}, {_TOTAL} AS total, {plus('points > 0')} AS highlights, {plus('points < 0')} AS deductions FROM final GROUP BY {_KEYS}", *_merge(d), prep=True)
+_hybrid("merge_sources", lambda d: f"SELECT {_KEYS}, x.skill_id AS skill_id, x.points AS points, x.direction AS direction, x.source AS source FROM {_rows(d, 'final', 'merged')}")
+_hybrid("hybrid_total", lambda d: f"SELECT {_KEYS}, total, highlights, deductions FROM ({rc.summary(d)}) AS t")
 
 
 # Match analytics.
@@ -534,6 +509,13 @@ _match("ai_score", lambda d: "SELECT match_id, round(CAST(sum(CAST(a AS DECIMAL(
 _match("verdict_next_state", lambda d: f"SELECT match_id, concat(CAST(score1 AS {'STRING' if d.name == 'spark' else 'VARCHAR'}), '-', score2) AS verdict, score1, score2 FROM (SELECT match_id, {_SCORES} FROM verdicts) AS v")
 
 
+@query
+def match_full(d: Spark) -> str:
+    """Verdicts of the sample matches by rules and a table of answers."""
+    winner = "CASE WHEN a_wins > b_wins THEN 'A' WHEN b_wins > a_wins THEN 'B' ELSE 'tie' END AS winner"
+    return fx.with_(*scores(d, judged(d), f"SELECT {_KEYS}, total FROM ({rc.summary(d)}) AS t")) + f"SELECT match_id, n_rounds, a_wins, b_wins, {winner}, {_SCORES} FROM verdicts"
+
+
 @query
 def rebuttal_chain(d: Spark) -> str:
     return _perf(d, "SELECT match_id, round, side, lag(md5(text)) OVER (PARTITION BY match_id ORDER BY round, side) AS answers FROM perf")
@@ -552,6 +534,20 @@ def payload_validate(d: Spark) -> str:
     )
 
 
+@query
+def error_envelope(d: Spark) -> str:
+    """What is wrong with a match's payload: every conversation as one, some broken on purpose."""
+    t = "to_json(named_struct('a', text))" if d.name == "spark" else "CAST(to_json({'a': text}) AS VARCHAR)"
+    body = f"CASE (conv_id + turn) % 5 WHEN 0 THEN '{{\"rounds\": []}}' WHEN 1 THEN concat('{{\"rounds\": [', {t}, ']}}') WHEN 2 THEN concat('{{\"rounds\": [', {t}) ELSE concat('{{\"rounds\": [{{\"a\": ', substring({t}, 6, length({t}) - 6), ', \"b\": ', CASE (conv_id + turn) % 5 WHEN 3 THEN '\" \"' ELSE '\"x\"' END, '}}]}}') END"
+    if d.name == "spark":
+        p = "from_json(body, 'rounds ARRAY<STRUCT<a: STRING, b: STRING>>, _corrupt_record STRING')"
+        test = "CASE WHEN p._corrupt_record IS NOT NULL THEN 'invalid_json' WHEN size(p.rounds) < 1 OR exists(p.rounds, r -> trim(coalesce(r.a, '')) = '' OR trim(coalesce(r.b, '')) = '') THEN 'invalid_payload' END"
+    else:
+        p = "CASE WHEN json_valid(body) THEN from_json(json_extract(body, '$.rounds'), '[{\"a\": \"VARCHAR\", \"b\": \"VARCHAR\"}]') END"
+        test = "CASE WHEN p IS NULL THEN 'invalid_json' WHEN len(p) < 1 OR len(list_filter(p, lambda r: trim(coalesce(r.a, '')) = '' OR trim(coalesce(r.b, '')) = '')) > 0 THEN 'invalid_payload' END"
+    return f"SELECT conv_id, turn, error, error IS NULL AS ok FROM (SELECT conv_id, turn, {test} AS error FROM (SELECT conv_id, turn, {p} AS p FROM (SELECT conv_id, turn, {body} AS body FROM @conversations@) AS b) AS q) AS e"
+
+
 @query
 def progress_events(d: Spark) -> str:
     n = "count(*) OVER (PARTITION BY match_id)"
@@ -625,10 +621,12 @@ _match(
 @query
 def verdict_guard(d: Spark) -> str:
     return (
-        "SELECT o_custkey, CASE WHEN count(*) > 1 THEN 'refuse' WHEN max(CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END) = 1 THEN 'skip' ELSE 'score' END AS action FROM @orders@ GROUP BY o_custkey"
+        "SELECT o_orderkey, CASE WHEN count(*) > 1 THEN 'refuse' WHEN max(CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END) = 1 THEN 'skip' ELSE 'score' END AS action "
+        "FROM (SELECT o_orderkey, o_orderstatus FROM @orders@ UNION ALL SELECT o_orderkey, o_orderstatus FROM @orders@ WHERE o_orderstatus = 'P') AS o GROUP BY o_orderkey"
     )
 
 
 @query
 def match_complete(d: Spark) -> str:
-    return "SELECT conv_id, count(*) AS n FROM @conversations@ WHERE role <> 'system' GROUP BY conv_id HAVING count(*) = 2 * (max(turn) + 1) / 2"
+    """Matches of which both sides of every round are there."""
+    return _perf(d, "SELECT match_id, n, rounds FROM (SELECT match_id, count(*) AS n, count(DISTINCT turn_of) AS sides, max(round) AS rounds FROM (SELECT match_id, round, concat(round, side) AS turn_of FROM perf) AS p GROUP BY match_id) AS q WHERE sides = 2 * rounds")

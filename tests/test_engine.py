@@ -5,8 +5,9 @@ import pytest
 import __spark_entry__
 from barlane import api, registry
 from barlane.functions import similarity
+from barlane.functions.dialect import Spark
 from barlane.operators import scoring
-from barlane.plans import queries
+from barlane.plans import queries, reconcile
 from barlane.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -71,9 +72,10 @@ def test_similarity():
     assert not similarity.lines_similar([""], ["x"])
 
 
-def test_caps_grow_with_lines():
-    assert [scoring.cap("AND1", n) for n in (30, 45, 59, 78, 113, 500)] == [2, 2, 3, 4, 6, 6]
-    assert scoring.cap("FCS", 500) == 1 and scoring.cap("DD", 10) == registry.NO_CAP
+def test_caps_grow_with_lines(spark):
+    cap = lambda skill, n: spark.sql(f"SELECT {reconcile.cap(Spark(), 'skill', 'n')} AS c FROM VALUES ('{skill}', {n}) AS v(skill, n)").first().c
+    assert [cap("AND1", n) for n in (30, 45, 59, 78, 113, 500)] == [2, 2, 3, 4, 6, 6]
+    assert cap("FCS", 500) == 1 and cap("DD", 10) == registry.NO_CAP
 
 
 def test_json_recovery():

@@ -1,12 +1,16 @@
 """The hybrid scorer, the judge, matches and line placement, against results worked out by hand."""
 import json
+import math
+import random
+from difflib import SequenceMatcher
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barlane import api
-from barlane.operators import judge, scoring
+from barlane.operators import hybrid, judge, scoring
+from barlane.plans import reconcile
 from barlane.sources import files
 
 
@@ -23,49 +27,105 @@ def said(*findings, **more):
 
 
 def final(doc):
-    return [(f["skill_id"], f["points"]) for f in doc["all_detections"]]
+    return [(f.get("skill_id"), f["points"]) for f in doc["all_detections"]]
 
 
 def window(content, start=0, stop=9, again=None):
-    return judge.Window(start, stop, content, again)
+    return content, start, stop, again
 
 
-def test_position_gates_and_blocks():
+TRUSTED_TYPE = "array<struct<skill_id: string, cents: int, evidence: array<string>>>"
+
+
+def documents(spark, *cases):
+    """The documents of performances, each of (windows, n, blocked, rival, trusted findings)."""
+    rows = [(c, 1, "A", n, blocked, rival, [(t["skill_id"], round(t["points"] * 100), t["evidence"]) for t in trusted], k, start, stop, content, again)
+            for c, (windows, n, blocked, rival, trusted) in enumerate(cases) for k, (content, start, stop, again) in enumerate(windows)]
+    schema = f"match_id long, round int, side string, n int, blocked boolean, rival boolean, trusted {TRUSTED_TYPE}, win_idx int, start int, stop int, content string, again string"
+    got = {r.match_id: json.loads(r.document) for r in hybrid.reconciled(spark.createDataFrame(rows, schema).repartition(3)).collect()}
+    return [got[c] for c in range(len(cases))]
+
+
+def test_position_gates_and_blocks(spark):
     w = [window(said(finding("OGR", 2, "hey"), finding("4QP", 2, "bye"))), window(said(finding("OGR", 2, "mid"), finding("4QP", 2, "end")), 7, 12)]
-    assert final(judge.document(w, 13, False, True, [], scoring.cap)) == [("OGR", 2), ("4QP", 2)]
-    assert final(judge.document(w, 13, True, True, [], scoring.cap)) == [("4QP", 2)]
     es = [finding("ES", 2.75, "a"), finding("ES", 2.75, "bcdef gh", required_checks={"pivot": False, "x": True}), finding("ES", 2.75, "zzz yyy", required_checks={"pivot": True}), finding("STL", 2.5, "own words", required_checks={"q": True})]
-    doc = judge.document([window(said(*es))], 10, False, False, [], lambda s, n: 99)
-    assert final(doc) == [("ES", 2.75)]
-    assert [g["verdict"] for g in doc["gate_log"]["gated_out"]] == ["rejected_by_gate: required_checks missing", "rejected_by_gate: pivot"]
-    assert final(judge.document([window(said(es[3]))], 10, False, True, [], scoring.cap)) == [("STL", 2.5)]
+    open_, blocked, gates, steal = documents(spark, (w, 13, False, True, []), (w, 13, True, True, []), ([window(said(*es))], 100, False, False, []), ([window(said(es[3]))], 10, False, True, []))
+    assert final(open_) == [("OGR", 2), ("4QP", 2)] and final(blocked) == [("4QP", 2)]
+    assert final(gates) == [("ES", 2.75)] and final(steal) == [("STL", 2.5)]
+    assert [g["verdict"] for g in gates["gate_log"]["gated_out"]] == ["rejected_by_gate: required_checks missing", "rejected_by_gate: pivot"]
 
 
-def test_fixes_after_dedup_and_caps():
+def test_fixes_after_dedup_and_caps(spark):
     found = [
         finding("FB", 3.0, "only one line"), finding("FB", 3.0, "first of them\nand then second"), finding("CO", 2.25, "he is king, no wait, a fool"),
         finding("ES", 2.75, "Naked truth, Nathan has bacon"), finding("FL", -0.75, "softly"), finding("LU", 1.25, "softly"),
     ]
-    doc = judge.document([window(said(*found))], 45, False, True, [], scoring.cap)
-    assert final(doc) == [("MR", 1.35), ("FB", 3.0), ("MR", 1.35), ("LU", 1.25), ("LU", 1.25)]
     again = [finding("MR", 1.35, "the same line here"), finding("MR", 2.0, "the same line here!"), finding("MR", 1.35, "quite other"), finding("MR", 1.35, "a third one")]
-    assert final(judge.document([window(said(*again))], 45, False, True, [], scoring.cap)) == [("MR", 2.0), ("MR", 1.35)]
+    odd = [finding("MR", 1.0, "x"), {"skill_id": "MR", "lines": None}, {"points": 1.0, "lines": ["no skill"], "direction": "positive"}, finding("SD", 4.25, "y", required_checks=None)]
+    fixed, repeated, strange = documents(spark, *(([window(said(*x))], 45, False, True, []) for x in (found, again, odd)))
+    assert final(fixed) == [("MR", 1.35), ("FB", 3.0), ("MR", 1.35), ("LU", 1.25), ("LU", 1.25)]
+    assert [f.get("gate_note") for f in fixed["all_detections"]] == [reconcile.SHORT_BREAK, None, reconcile.CORRECTED, reconcile.SWAPPED, None]
+    assert final(repeated) == [("MR", 2.0), ("MR", 1.35)]
+    assert [f.get("skill_id") for f in strange["all_detections"]] == ["MR", "MR", None, "SD"]
 
 
-def test_trusted_findings_and_second_answers():
+def test_trusted_findings_and_second_answers(spark):
     dd = {"skill_id": "DD", "points": -2.0, "evidence": ['Near-repeat (similarity 88%): "a" ≈ "b"']}
     on_purpose = {**dd, "evidence": ['Repeated (2x): "a"', 'Near-repeat (similarity 100%): "a" ≈ "a"']}
     tvl = {"skill_id": "TVL", "points": -1.5, "evidence": ["um"]}
-    none = window(said())
-    assert final(judge.document([none], 5, False, True, [dd, tvl], scoring.cap)) == [("DD", -2.0), ("TVL", -1.5)]
-    assert final(judge.document([none], 5, False, True, [on_purpose], scoring.cap)) == []
+    none = [window(said())]
     w = [window(said(rejected_rule_detections=[{"skill_id": "TVL"}], confirmed_rule_detections=["DD"])), window("garbage", 7, 9, again=said(finding("TVL", -1.5, "x"), finding("SD", 4.25, "y"))), window(None, 7, 9)]
-    doc = judge.document(w, 30, False, True, [dd, tvl], scoring.cap)
+    both, meant, doc = documents(spark, (none, 5, False, True, [dd, tvl]), (none, 5, False, True, [on_purpose]), (w, 30, False, True, [dd, tvl]))
+    assert final(both) == [("DD", -2.0), ("TVL", -1.5)] and final(meant) == []
     assert final(doc) == [("DD", -2.0), ("SD", 4.25)]
     assert doc["window_status"] == ["first", "second", "unanswered"] and doc["total_score"] == 2.25
     assert doc["rule_engine_raw"] == {"trusted_found": ["DD", "TVL"], "confirmed_by_llm": ["DD"], "rejected_by_llm": ["TVL"]}
 
 
+def test_windows_close_from_the_second_to_last_line(spark):
+    ends = {17: [(0, 9), (7, 16)], 18: [(0, 9), (7, 16), (14, 17)], 19: [(0, 9), (7, 16), (14, 18)], 24: [(0, 9), (7, 16), (14, 23)], 25: [(0, 9), (7, 16), (14, 23), (21, 24)], 26: [(0, 9), (7, 16), (14, 23), (21, 25)]}
+    want = {n: ["opener" if a == 0 else "closer" if b >= n - 2 else "middle" for a, b in w] for n, w in ends.items()}
+    assert want[18] == ["opener", "closer", "closer"] and want[19] == ["opener", "middle", "closer"]
+    text = perf(spark, *("\n".join(f"verse {i} of {n}" for i in range(n)) for n in ends))
+    got = {}
+    for r in api.apply(text, "window_position").orderBy("round", "win_idx").collect():
+        got.setdefault(list(ends)[r.round - 1], []).append(r.position)
+    assert got == want
+    notes = {}
+    for r in hybrid.windows(hybrid.scanned(text)).orderBy("round", "win_idx").collect():
+        notes.setdefault(list(ends)[r.round - 1], []).append("opener" if "open the round" in r.prompt else "closer" if "close the round" in r.prompt else "middle")
+    assert notes == want
+
+
+def greedy(found, n):
+    """Findings in arrival order without repeats, by plain loops."""
+    kept, count = [], {}
+    for skill, points, lines in found:
+        same = next((i for i, k in enumerate(kept) if k[0] == skill and any(a in b or b in a or SequenceMatcher(None, a, b).ratio() >= 0.6 for a in map(str.lower, lines) for b in map(str.lower, k[2]))), None)
+        if same is not None:
+            if points > kept[same][1]:
+                kept[same] = (skill, points, lines)
+        elif count.get(skill, 0) < {"MR": max(2, math.ceil(2 * min(n / 45, 3))), "SD": 1}.get(skill, 99):
+            count[skill] = count.get(skill, 0) + 1
+            kept.append((skill, points, lines))
+    return [k[:2] for k in kept]
+
+
+def test_the_fold_equals_plain_loops(spark):
+    rng, words = random.Random(7), "crown king ring the a of my your burning river steel".split()
+    cases = []
+    for c in range(60):
+        found = [(rng.choice(["MR", "SD", "TECH"]), rng.choice([1.0, 1.35, 2.0]), [" ".join(rng.choices(words, k=rng.randint(2, 5))) for _ in range(rng.randint(1, 2))]) for _ in range(rng.randint(0, 9))]
+        cases.append((rng.choice([20, 45, 100]), found))
+    rows = [(c, 1, "A", n, i, s, p, q) for c, (n, found) in enumerate(cases) for i, (s, p, q) in enumerate(found)]
+    schema = "match_id long, round int, side string, n int, idx int, skill_id string, points double, quoted array<string>"
+    got = {}
+    for r in scoring.dedup_greedy(spark.createDataFrame(rows, schema).repartition(4)).collect():
+        got.setdefault(r.match_id, []).append((r.skill_id, r.points))
+    for c, (n, found) in enumerate(cases):
+        assert got.get(c, []) == greedy(found, n), (n, found)
+
+
 def test_patience():
     waits, log = [], []
 
