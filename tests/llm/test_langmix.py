@@ -83,7 +83,7 @@ def test_equals_brute_force_with_mixed_and_odd_texts(spark):
     rng = random.Random(3)
     rows = [(i, text(rng, rng.choice(list(WORDS)), rng.randint(3, 40)), None) for i in range(60)]
     rows = [(i, t, next(n for n in WORDS if t.split()[0] in WORDS[n])) for i, t, _ in rows]
-    rows += [(100 + i, text(rng, "en", 40 + 20 * i) + " " + text(rng, "es", 60), "en") for i in range(6)]  # two languages
+    rows += [(100 + i, text(rng, "en", 40 + 20 * i) + " " + text(rng, "es", 60), None) for i in range(6)]  # two languages
     rows += [(200, text(rng, "de", 30_000), "de"), (201, None, "de"), (202, "", "en"), (203, "12 34 !!", "en"), (204, "a", "es"), (205, "DER DIE UND", None), (206, "日本語", "en"), (207, "the of", "")]
     rows += [(None, text(rng, "fr" if "fr" in WORDS else "de", 9), "de"), (300, "…\x00\n", "en"), rows[0], rows[0]]
     df = spark.createDataFrame([(*r, "x", 0.5) for r in rows], "doc_id long, text string, lang string, languages string, score double").repartition(3)
