@@ -14,6 +14,7 @@ from ..plans import fixtures as fx
 from ..plans import reconcile, sqls
 from ..plans.queries import session
 from ..registry import TIE, TRUSTED
+from . import answers
 from . import judge as judging
 
 _D = Spark()
@@ -76,17 +77,17 @@ def _asking(ask: Ask):
         said = dict(zip(some, ask(some.reset_index(drop=True)))) if len(some) else {}
         return prompts.map(said.get).astype(object)
 
-    return F.pandas_udf(own, T.StringType())
+    return F.pandas_udf(own, T.StringType()).asNondeterministic()
 
 
-def answered(asked: DataFrame, prompt: str, out: str, cache: DataFrame | None, ask: Ask | None, where=None) -> DataFrame:
+def answered(asked: DataFrame, prompt: str, out: str, cache: DataFrame | None, ask: Ask | None, where=None, model: str = "", system: str = "") -> DataFrame:
     """asked with the answers `out` to its column prompt: from cache (cache_key, content), else from ask; null where there
-    is neither, and where `where` doesn't hold."""
+    is neither, and where `where` doesn't hold. A task that is tried again asks again; `answers.fill` doesn't."""
     wanted = F.when(F.col(prompt).isNotNull() if where is None else where, F.col(prompt))
     if cache is None:
         return asked.withColumn(out, F.lit(None).cast("string") if ask is None else _asking(ask)(wanted))
     known = cache.groupBy("cache_key").agg(F.min("content").alias("_known"))  # a key may have been added more than once
-    keyed = asked.withColumn("_key", F.md5(wanted)).join(known, F.col("_key") == F.col("cache_key"), "left")
+    keyed = asked.withColumn("_key", answers.prompt_key(wanted, model, system)).join(known, F.col("_key") == F.col("cache_key"), "left")
     left = F.lit(None).cast("string") if ask is None else _asking(ask)(F.when(F.col("_known").isNull(), wanted))
     return keyed.withColumn(out, F.coalesce("_known", left)).drop("_key", "_known", "cache_key")
 
@@ -97,14 +98,14 @@ def unread(contents: pd.Series) -> pd.Series:
     return pd.Series([c is not None and "error" in judging.read(c) for c in contents], dtype=bool)
 
 
-def reconciled(answers: DataFrame, model: str = "") -> DataFrame:
+def reconciled(said: DataFrame, model: str = "") -> DataFrame:
     """Performances from their windows' answers: totals, findings and a document, by the rules of plans.reconcile.
 
-    answers: match_id, round, side, n, blocked, rival (whether it answers someone), trusted, win_idx, start, stop, content,
+    said: match_id, round, side, n, blocked, rival (whether it answers someone), trusted, win_idx, start, stop, content,
     again; rounds without lines have one row without a window.
     """
-    own = session(answers.sparkSession)
-    source = _view(answers)
+    own = session(said.sparkSession)
+    source = _view(said)
     item = "x -> named_struct('skill_id', x.skill_id, 'skill_name', x.skill_name, 'points', x.points, 'direction', x.direction, 'lines', x.lines, 'reason', x.reason, 'gate_note', x.note, 'source', x.source)"
     side = lambda s: f"transform(filter(final, x -> x.direction = '{s}'), {item})"
     gated = "transform(filter(judged, x -> x.verdict <> 'accepted'), x -> named_struct('skill_id', x.skill_id, 'verdict', x.verdict, 'failed', x.failed))"
@@ -120,19 +121,40 @@ def reconciled(answers: DataFrame, model: str = "") -> DataFrame:
     return own.sql(fx.with_(*ctes) + sql)
 
 
-def hybrid(performances: DataFrame, ask: Ask | None = None, cache: DataFrame | None = None, model: str = "") -> DataFrame:
+def hybrid(
+    performances: DataFrame, ask: Ask | None = None, cache: DataFrame | None = None, model: str = "", system: str = "", store: str | None = None,
+    lanes: int = answers.LANES, per_second: float | None = None,
+) -> DataFrame:
     """match_id, round, side, total, n_detections, windows, status, final, document of each performance.
 
+    store: the folder of an answer store (operators.answers). What it lacks is asked first, each prompt once in the cluster
+    and at most per_second of them a second, then the short prompts of answers that can't be read; all answers stay there.
+
     performances: match_id, round, side, text and, if there, opponent, the lines that the text answers. status tells
     where windows had no answer (unanswered) or none that could be read, also at the second try (unread).
     """
     w = windows(scanned(performances))
-    first = answered(w, "prompt", "content", cache, ask)
-    second = answered(first, "short", "again", cache, ask, unread("content"))
+    if store is not None:
+        w = _kept(w, store)  # else the texts would be scanned again for each pass
+        cache, known = answers.read(w.sparkSession, store), {"model": model, "system": system}
+        if ask is not None:
+            cache = answers.fill(w, store, ask, "prompt", **known, lanes=lanes, per_second=per_second)
+            first = answered(w, "prompt", "content", cache, None, **known)
+            cache = answers.fill(first.filter(unread("content")), store, ask, "short", **known, lanes=lanes, per_second=per_second)
+            ask = None
+    first = answered(w, "prompt", "content", cache, ask, None, model, system)
+    second = answered(first, "short", "again", cache, ask, unread("content"), model, system)
     rival = F.trim(F.coalesce("opponent", F.lit(""))) != ""
     return reconciled(second.select(*KEYS, "n", "blocked", rival.alias("rival"), "trusted", "win_idx", "start", "stop", "content", "again"), model)
 
 
+def _kept(df: DataFrame, store: str) -> DataFrame:
+    """df, written beside the answers and read from there."""
+    path = f"{store}/windows/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def answering(performances: DataFrame) -> DataFrame:
     """performances with opponent: what side A answers is B's turn before, what B answers is A's turn of the round."""
     from pyspark.sql import Window

@@ -23,6 +23,10 @@ class JudgeError(Exception):
     """The judge can't be had."""
 
 
+class Refused(JudgeError):
+    """The service asks for fewer calls; the message may tell how long to wait."""
+
+
 def bad_key(message: str) -> bool:
     """Whether an error says that the key isn't valid."""
     low = message.lower()
@@ -35,28 +39,47 @@ def wait_for(message: str, k: int) -> float:
     return int(hint[1]) / 1000 + 0.5 if hint else FIRST_WAIT * 2**k
 
 
+def refused(status: int, body: str) -> bool:
+    return status == 429 or "rate_limit_exceeded" in body or "429" in body
+
+
+def once(call: Callable[[str, str], tuple[int, str]], keys: Sequence[str]) -> Callable[[pd.Series], pd.Series]:
+    """A function of prompts that tries each once, for `answers.fill`, which waits and tries again for the whole cluster."""
+    left = list(keys)
+
+    def one(prompt: str) -> str:
+        for _ in range(2):
+            status, body = call(prompt, left[0] if left else "")
+            if status == 200:
+                return body
+            if not (bad_key(f"error code: {status} {body}") and len(left) > 1):
+                break
+            left.pop(0)
+        raise (Refused if refused(status, body) else JudgeError)(f"status {status}: {body[:200]}")
+
+    return lambda prompts: pd.Series([one(p) for p in prompts], dtype=str)
+
+
 def patient(call: Callable[[str, str], tuple[int, str]], keys: Sequence[str], sleep: Callable[[float], None] = time.sleep) -> Callable[[pd.Series], pd.Series]:
-    """A function of prompts for `judged` from call(prompt, key), which gives a status like HTTP's and a text.
+    """A function of prompts for one worker from call(prompt, key), which gives a status like HTTP's and a text.
 
-    429 is tried again, ATTEMPTS times in all; a key that isn't valid gives way to the next one; between prompts PACE
-    seconds pass; all else raises JudgeError.
+    What is refused is tried again, ATTEMPTS times in all; a key that isn't valid gives way to the next one, for good, which
+    takes a try too; between prompts PACE seconds pass; all else raises JudgeError.
     """
+    left = list(keys)
 
     def one(prompt: str) -> str:
-        left = list(keys)
-        refused = 0
-        while refused < ATTEMPTS:
+        for k in range(ATTEMPTS):
             status, body = call(prompt, left[0] if left else "")
             if status == 200:
                 return body
             if bad_key(f"error code: {status} {body}") and len(left) > 1:
                 left.pop(0)
-            elif status == 429:
-                sleep(wait_for(body, refused))
-                refused += 1
+            elif refused(status, body):
+                sleep(wait_for(body, k))
             else:
                 raise JudgeError(f"status {status}: {body[:200]}")
-        raise JudgeError(f"refused {ATTEMPTS} times")
+        raise JudgeError("rate limit retries exhausted")
 
     def ask(prompts: pd.Series) -> pd.Series:
         out = []
