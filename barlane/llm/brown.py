@@ -269,7 +269,9 @@ def word_classes(train: DataFrame, counts: DataFrame, seeds: Seeds, least: int =
             of[some] = best(at[own], left["context"].to_numpy()[own], left["n"].to_numpy()[own], of[some], total[some], seeds.both, seeds.size)
         return pa.table([right["w"], right["n"], pa.array(of.astype(np.int32))], names=["w", "n", "class"])
 
-    left, right = contexts(train, seeds).select(buckets, "*"), counts.select(buckets, "*")
+    # Added up by word and context first: a bucket then has so many rows of a word at most, however many tasks saw it.
+    seen = contexts(train, seeds).groupBy("w", "context").agg(F.sum("n").alias("n"))
+    left, right = seen.select(buckets, "*"), counts.select(buckets, "*")
     return arrow.over_pairs(left, "bucket", right, "bucket", run, "w bigint, n bigint, class int")
 
 
