@@ -20,6 +20,8 @@ from . import judge as judging
 _D = Spark()
 KEYS = ["match_id", "round", "side"]
 Ask = Callable[[pd.Series], pd.Series]
+#: Fixed value: of match documents.
+SCHEMA_VERSION = 1
 
 def _view(df: DataFrame) -> str:
     """A name by which any session of the application finds df."""
@@ -162,11 +164,12 @@ def answering(performances: DataFrame) -> DataFrame:
     return performances.withColumn("opponent", F.lag("text").over(Window.partitionBy("match_id").orderBy("round", "side")))
 
 
-def matches(rounds: DataFrame, ask: Ask | None = None, cache: DataFrame | None = None) -> DataFrame:
-    """Verdicts of matches scored by rules and judge: match_id, battlers, tie threshold, winner, wins, summary, rounds (JSON).
+def matches(rounds: DataFrame, ask: Ask | None = None, cache: DataFrame | None = None, **options) -> DataFrame:
+    """Verdicts of matches scored by rules and judge: match_id, battlers, tie threshold, winner, wins, summary, rounds, document.
 
     rounds: match_id, round, a, b and, if there, battler_a, battler_b, tie_threshold. Matches with a blank side have an
-    error instead of a verdict.
+    error instead of a verdict. document is the match as JSON, with each side's own document in its rounds. options: those of
+    `hybrid`.
     """
     name = lambda c, default: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default)) if c in rounds.columns else F.lit(default)
     tie = F.coalesce(F.nullif(F.col("tie_threshold").cast("double"), F.lit(0.0)), F.lit(TIE)) if "tie_threshold" in rounds.columns else F.lit(TIE)
@@ -176,13 +179,14 @@ def matches(rounds: DataFrame, ask: Ask | None = None, cache: DataFrame | None =
     good = facts.join(bad, "match_id", "left_anti")
     sides = F.explode(F.array(F.struct(F.lit("A").alias("side"), F.col("a").alias("text")), F.struct(F.lit("B").alias("side"), F.col("b").alias("text"))))
     turns = answering(good.select("match_id", "round", sides.alias("p")).select("match_id", "round", "p.side", "p.text"))
-    totals = hybrid(turns, ask, cache).groupBy("match_id", "round").agg(*(F.max(F.when(F.col("side") == s, F.col("total"))).alias(f"score_{s.lower()}") for s in "AB"), F.concat_ws(",", F.array_sort(F.collect_set("status"))).alias("status"))
+    sides = [F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{n}_{s.lower()}") for s in "AB" for c, n in (("total", "score"), ("document", "detail"))]
+    totals = hybrid(turns, ask, cache, **options).groupBy("match_id", "round").agg(*sides, F.concat_ws(",", F.array_sort(F.collect_set("status"))).alias("status"))
     diff = F.round(F.col("score_a") - F.col("score_b"), 2)
     won = good.join(totals, ["match_id", "round"]).withColumn("winner", F.when(F.abs(diff) <= F.col("tie_threshold"), "tie").when(diff > 0, F.lit("A")).otherwise("B"))
     wins = lambda s: F.sum(F.when(F.col("winner") == s, 1.0).when(F.col("winner") == "tie", 0.5).otherwise(0.0))
     per = won.groupBy("match_id").agg(
         F.first("battler_a").alias("battler_a"), F.first("battler_b").alias("battler_b"), F.first("tie_threshold").alias("tie_threshold"), wins("A").alias("a_wins"), wins("B").alias("b_wins"),
-        F.to_json(F.array_sort(F.collect_list(F.struct("round", "winner", "score_a", "score_b")))).alias("rounds"), F.concat_ws(",", F.array_sort(F.collect_set("status"))).alias("status"),
+        F.array_sort(F.collect_list(F.struct("round", "winner", "score_a", "score_b", "detail_a", "detail_b"))).alias("r"), F.concat_ws(",", F.array_sort(F.collect_set("status"))).alias("status"),
     )
     short = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
     summary = (
@@ -192,6 +196,11 @@ def matches(rounds: DataFrame, ask: Ask | None = None, cache: DataFrame | None =
     )
     winner = F.when(F.col("a_wins") > F.col("b_wins"), "A").when(F.col("b_wins") > F.col("a_wins"), "B").otherwise("tie")
     done = per.withColumns({"match_winner": winner, "summary": summary, "error": F.lit(None).cast("string")})
+    plain = F.transform("r", lambda x: F.struct(x.round.alias("round"), x.winner.alias("winner"), x.score_a.alias("score_a"), x.score_b.alias("score_b")))
+    # The details are JSON already, so they are set in as text.
+    each = F.transform("r", lambda x: F.concat(F.rtrim(F.to_json(F.struct(x.round.alias("round"), x.winner.alias("winner"), x.score_a.alias("score_a"), x.score_b.alias("score_b"))), F.lit("}")), F.lit(',"detail_a":'), x.detail_a, F.lit(',"detail_b":'), x.detail_b, F.lit("}")))
+    head = F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit("ok").alias("status"), "match_id", "battler_a", "battler_b", F.lit(options.get("model", "")).alias("model"), "tie_threshold", "match_winner", "summary"))
+    document = F.concat(F.rtrim(head, F.lit("}")), F.lit(',"rounds":['), F.array_join(each, ","), F.lit('],"error":null}'))
+    done = done.withColumns({"rounds": plain, "document": document}).drop("r")
     failed = bad.select("match_id", F.concat(F.lit("round "), "bad_round", F.lit(": both sides are required")).alias("error"))
     return done.unionByName(failed, allowMissingColumns=True)
-
