@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import re
 
+from .literals import required
+
 BLANK = r"[\s\x1c-\x1f]"
 #: Columns that are folded, so that patterns meet ASCII only.
 FOLDED = ("s", "s2", "low")
@@ -37,11 +39,17 @@ class Spark:
         """x, or the name of a column for it that a layer below gives."""
         return x
 
+    def may(self, x: str, p: str) -> str:
+        """Whether a folded text holds one of the texts that a pattern can't do without; empty where that tells nothing."""
+        return "(" + " OR ".join(self.contains(x, self.lit(t)) for t in required(p)) + ")" if x in FOLDED and required(p) else ""
+
     def has(self, x: str, p: str) -> str:
-        return f"({x} RLIKE {self.rx(p, x)})"
+        may = self.may(x, p)
+        return f"({may} AND {x} RLIKE {self.rx(p, x)})" if may else f"({x} RLIKE {self.rx(p, x)})"
 
     def count(self, x: str, p: str) -> str:
-        return f"size(regexp_extract_all({x}, {self.rx(p, x)}, 0))"
+        may, own = self.may(x, p), f"size(regexp_extract_all({x}, {self.rx(p, x)}, 0))"
+        return f"(CASE WHEN {may} THEN {own} ELSE 0 END)" if may else own
 
     def all(self, x: str, p: str) -> str:
         return f"regexp_extract_all({x}, {self.rx(p, x)}, 0)"

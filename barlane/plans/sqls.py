@@ -56,9 +56,10 @@ def evidence_snip(d: Spark) -> str:
 @query
 def pattern_score(d: Spark) -> str:
     """Hits and points of each pattern group of each detector."""
-    n = lambda g: "CAST(" + " + ".join(f"CAST({d.has('s', p)} AS INT)" for p in g.patterns) + " AS BIGINT)"
-    items = [{"key": f"'{key}'", "grp": str(i), "n_hits": n(g), "points": detectors.hits(d, "s", g.patterns, g.per_hit, g.cap)} for key, groups in rules.GROUPS.items() for i, g in enumerate(groups)]
-    return _perf(d, f"SELECT match_id, round, side, x.key AS key, x.grp AS grp, x.n_hits AS n_hits, x.points AS points FROM (SELECT match_id, round, side, {rows_of(d, items)} FROM prep) AS y", prep=True)
+    t = noted(d)  # each pattern is tested once, in a layer of its own
+    n = lambda g: "CAST(" + " + ".join(f"CAST({t.has('s', p)} AS INT)" for p in g.patterns) + " AS BIGINT)"
+    items = [{"key": f"'{key}'", "grp": str(i), "n_hits": n(g), "points": detectors.hits(t, "s", g.patterns, g.per_hit, g.cap)} for key, groups in rules.GROUPS.items() for i, g in enumerate(groups)]
+    return _perf(d, f"SELECT match_id, round, side, x.key AS key, x.grp AS grp, x.n_hits AS n_hits, x.points AS points FROM (SELECT match_id, round, side, {rows_of(d, items)} FROM tested) AS y", f"tested AS (SELECT *, {t.layer()} FROM prep)", prep=True)
 
 
 @query
