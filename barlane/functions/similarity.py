@@ -1,8 +1,10 @@
 """Sequence similarity that no built-in function gives, as Arrow UDFs over the standard library."""
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from pyspark.sql import types as T
 from .similarity_sql import ALIKE, REPEATS
 
 
+#: Classes that characters are counted in, and texts that are compared with all later ones at a time.
+BINS, BLOCK = 32, 256
+
+
 def ratio(a: str, b: str) -> float:
     """Ratcliff/Obershelp similarity; the earlier text comes first."""
     return SequenceMatcher(None, a, b).ratio()
@@ -24,6 +30,27 @@ def alike(a: str, b: str, least: float) -> bool:
     return m.quick_ratio() >= least and m.ratio() >= least
 
 
+def possible_pairs(texts: list[str], least: float) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j), i < j, in order, whose ratio may reach `least`: all that do, and few others.
+
+    Matching blocks can't hold more of a character than both texts have, so twice the characters in common, over all, is
+    never less than the ratio. Characters are counted in BINS classes, which only raises that bound, a block of texts
+    against all later ones at a time.
+    """
+    size = np.array([len(t) for t in texts], np.int64)
+    counts = np.zeros((BINS, len(texts)), np.uint16)
+    for i, t in enumerate(texts):
+        counts[:, i] = np.minimum(np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % BINS, minlength=BINS), 65535)
+    for lo in range(0, len(texts), BLOCK):
+        hi = min(lo + BLOCK, len(texts))
+        common = np.zeros((hi - lo, len(texts) - lo), np.uint32)
+        for own in counts:
+            common += np.minimum(own[lo:hi, None], own[lo:])
+        both = size[lo:hi, None] + size[lo:]
+        i, j = np.nonzero((2 * common >= least * both - 1e-9) & (np.arange(hi - lo)[:, None] < np.arange(len(texts) - lo)))
+        yield from zip((i + lo).tolist(), (j + lo).tolist())
+
+
 def lines_similar(a: list[str], b: list[str], least: float = 0.60) -> bool:
     """Whether some two non-blank lines contain one another or are alike."""
     left, right = ([x.strip().lower() for x in v if x and x.strip()] for v in (a, b))
@@ -38,10 +65,16 @@ def repeats(lines: list[str]) -> tuple[float, list[str]]:
             counts[line.lower()] = counts.get(line.lower(), 0) + 1
     exact = [(line, n) for line, n in counts.items() if n > 1]
     long = [line for line in lines if len(line.split()) > 4]
-    near = [(ratio(a.lower(), b.lower()), a, b) for i, a in enumerate(long) for b in long[i + 1 :] if alike(a.lower(), b.lower(), 0.80)]
+    low = [line.lower() for line in long]
+    near, found = [], 0  # evidence is of the first two only
+    for i, j in possible_pairs(low, 0.80):
+        if low[i] == low[j] or alike(low[i], low[j], 0.80):
+            found += 1
+            if len(near) < 2:
+                near.append((ratio(low[i], low[j]), long[i], long[j]))
     evidence = [f'Repeated ({n}x): "{line[:80]}"' for line, n in exact[:2]]
     evidence += [f'Near-repeat (similarity {r:.0%}): "{a[:50]}" ≈ "{b[:50]}"' for r, a, b in near[:2]]
-    return min(min(len(exact) * 0.45, 0.95) * bool(exact) + min(len(near) * 0.35, 0.60) * bool(near), 1.0), evidence[:3]
+    return min(min(len(exact) * 0.45, 0.95) * bool(exact) + min(found * 0.35, 0.60) * bool(found), 1.0), evidence[:3]
 
 
 @F.pandas_udf(T.StructType([T.StructField("confidence", T.DoubleType()), T.StructField("evidence", T.ArrayType(T.StringType()))]))
