@@ -81,11 +81,11 @@ def components(links: DataFrame, alone: int = ALONE) -> DataFrame:
     return own.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def spread(rows: DataFrame, facts: DataFrame, key: str, on: str, parts: int = 8) -> DataFrame:
+def spread(rows: DataFrame, facts: DataFrame, key: str, on: str, parts: int = 8, how: str = "inner") -> DataFrame:
     """rows joined with facts, which has one row for each key: facts is repeated, so that a key's rows, dealt by the hash
     of the column `on`, go to `parts` tasks."""
     part = F.pmod(F.xxhash64(on), F.lit(parts)).cast("int").alias("_part")
-    return rows.select("*", part).join(facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")), [key, "_part"]).drop("_part")
+    return rows.select("*", part).join(facts.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")), [key, "_part"], how).drop("_part")
 
 
 def block_pairs(members: DataFrame, pairs: Callable[[pa.Table, list[tuple[np.ndarray, np.ndarray, bool]]], list[pa.Array]], schema: str, names: list[str], multi: str = "n > 1") -> DataFrame:

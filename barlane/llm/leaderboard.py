@@ -1,7 +1,6 @@
 """A change feed of leaderboards, kept by event-time timers of a stateful Structured Streaming query.
 
-Lines come in batches, by the day of their arrival. Their revenue is enriched once (`enriched`, joins that Spark may split at
-hot keys) and written by batch; a batch's files are moved into the folder that the stream watches, and the query is started
+Lines come in batches, by the day of their arrival. Their revenue is enriched once (`enriched`) and written by batch; a batch's files are moved into the folder that the stream watches, and the query is started
 anew on one checkpoint for each batch. Event time is the arrival day. A nation's items are dealt into `parts` by hash, and a
 part is the key of the first state: accepted deltas, added up within each task before they are shuffled, are buffered by
 arrival day under a timer for the earliest of them. Once the watermark has passed it, the timer fires, and all complete days
@@ -25,19 +24,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from . import arrow
+from .graphs import spread
 from .store import shared_dir
 
 #: Places of a board, days that a line may be seen late, parts of a nation's items.
 PLACES, DELAY, PARTS = 10, 3, 8
 #: The sentinels' day, in the year 4840.
 END = 1 << 20
+_DAYS = 1 << 21
 #: Distinct sums that one task holds before it hands them on.
 HELD = 500_000
 _DAY_MS = 86_400_000
 _LINES = "seen bigint, day bigint, nation_id int, item_id bigint, cents bigint"
+_STATE = "day binary, item_id binary, cents binary, ids binary, sums binary, best binary"
 _LOCAL = "nation_id int, day bigint, item_id bigint, cents bigint, top boolean"
 FEED = "nation_id int, arrival_day bigint, item_id bigint, batch int, change string, old_rank int, new_rank int, revenue bigint"
 
@@ -45,22 +47,27 @@ FEED = "nation_id int, arrival_day bigint, item_id bigint, batch int, change str
 def enriched(lines: DataFrame, vendors: DataFrame, items: DataFrame) -> DataFrame:
     """Lines of the shop with batch, seen, day, nation_id, item_id and cents, signed; null where a line is to be ignored.
 
-    The two lookups are left joins that Spark may split at hot keys; of rows of one vendor_id or item_id, the smallest
-    nation_id and price count.
+    The two lookups repeat what is known of a key, so that a hot key's lines go to several tasks; of rows of one vendor_id
+    or item_id, the smallest nation_id and price count.
     """
     keys = ("sale_id", "item_id", "vendor_id", "line_no")
     h = F.crc32(F.concat_ws(",", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)))
     seen = F.coalesce(F.unix_date(F.col("shipped_at").cast("date")).cast("bigint"), 19723 + F.col("h") % 150)
     day = F.col("seen") + F.col("h") % 7 + F.when(F.col("h") % 5 == 0, 20).otherwise(0)
-    batch = F.least(F.lit(10), F.greatest(F.lit(1), 1 + F.floor((F.col("day") - 19723) * 10 / 180))).cast("int")
-    a = lines.withColumn("h", h).withColumn("seen", seen).withColumn("day", day).withColumn("batch", batch)
-    a = a.select("batch", "seen", "day", "vendor_id", "item_id", "quantity", "amount", (F.col("flag") == "returned").alias("back"))
+    a = lines.withColumn("h", h).withColumn("seen", seen).withColumn("day", day)
+    # Rows that are shuffled twice are packed: days and a bit of the hash in one number, revenue or quantity in another.
+    sign = F.when(F.col("flag") == "returned", -1).otherwise(1)
+    own = F.floor(100 * F.col("amount") + 0.5)
+    packed = ((F.col("seen") * _DAYS + F.col("day")) * 16 + F.col("h") % 8 * 2 + own.isNull().cast("int")).alias("packed")
+    a = a.select("vendor_id", "item_id", packed, (sign * F.coalesce(own, "quantity", F.lit(0))).cast("bigint").alias("base"))
     v = vendors.groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id"))
     i = items.groupBy("item_id").agg(F.min(F.floor(100 * F.col("price") + 0.5)).alias("price"), F.lit(True).alias("listed"))
-    both = a.join(v.hint("merge"), "vendor_id", "left").join(i.hint("merge"), "item_id", "left")
-    own = F.coalesce(F.floor(100 * F.col("amount") + 0.5), F.col("quantity") * F.col("price"), F.lit(0)).cast("bigint")
-    cents = F.when(F.col("listed") & F.col("nation_id").isNotNull(), F.when(F.coalesce("back", F.lit(False)), -own).otherwise(own))
-    return both.select("batch", "seen", "day", "nation_id", "item_id", cents.alias("cents"))
+    both = spread(spread(a, v.hint("merge"), "vendor_id", "packed", how="left").drop("vendor_id"), i.hint("merge"), "item_id", "packed", how="left")
+    cents = F.when(F.col("packed") % 2 == 1, F.col("base") * F.coalesce("price", F.lit(0))).otherwise(F.col("base")).cast("bigint")
+    both = both.withColumn("cents", F.when(F.col("listed") & F.col("nation_id").isNotNull(), cents)).withColumn("days", F.floor(F.col("packed") / 16))
+    both = both.withColumn("day", F.pmod("days", F.lit(_DAYS))).withColumn("seen", F.floor(F.col("days") / _DAYS))
+    batch = F.least(F.lit(10), F.greatest(F.lit(1), 1 + F.floor((F.col("day") - 19723) * 10 / 180))).cast("int").alias("batch")
+    return both.select(batch, "seen", "day", "nation_id", "item_id", "cents")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,66 +98,40 @@ def _best(ids: np.ndarray, cents: np.ndarray, places: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -cents[at]))][:places]
 
 
-class Parts(StatefulProcessor):
-    """Buffers deltas of one part of a nation's items by day; timers fold complete days and tell what changed among the best."""
-
-    def __init__(self, places: int):
-        self.places = places
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "day binary, item_id binary, cents binary")
-        self.totals = handle.getValueState("totals", "item_id binary, cents binary, best binary")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for some in rows:
-            if len(some):
-                day, item, cents = (some[c].to_numpy(np.int64) for c in ("day", "item_id", "cents"))
-                self.waiting.appendValue((day.tobytes(), item.tobytes(), cents.tobytes()))
-                self.handle.registerTimer(int(day.min()) * _DAY_MS)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        stored = [[np.frombuffer(b, np.int64) for b in row] for row in self.waiting.get()]
-        if not stored:
-            return
-        day, item, cents = (np.concatenate(x) for x in zip(*stored))
-        complete = day * _DAY_MS <= timerValues.getCurrentWatermarkInMs()
-        rest = ~complete
-        self.waiting.clear()
-        if rest.any():
-            self.waiting.appendValue((day[rest].tobytes(), item[rest].tobytes(), cents[rest].tobytes()))
-        day, item, cents = day[complete], item[complete], cents[complete]
-        if not len(day):
-            return
-        known = self.totals.get() if self.totals.exists() else None
-        ids, total, best = (np.frombuffer(b, np.int64) for b in known) if known else [np.zeros(0, np.int64)] * 3
-        every = np.union1d(ids, item)
-        sums = np.zeros(len(every), np.int64)
-        sums[np.searchsorted(every, ids)] = total
+def _ints(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.int64)
+
+
+def _part(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, places: int) -> Iterator[pd.DataFrame]:
+    """Buffers deltas of one part of a nation's items by day; complete days are folded, ascending, and what changes among
+    the best is told. A timer stands at the earliest day that is still open."""
+    day, item, cents, ids, sums, best = map(_ints, state.get) if state.exists else [np.zeros(0, np.int64)] * 6
+    new = [] if state.hasTimedOut else [f for f in frames if len(f)]
+    day, item, cents = (np.concatenate([old, *(f[c].to_numpy(np.int64) for f in new)]) for c, old in (("day", day), ("item_id", item), ("cents", cents)))
+    complete = day * _DAY_MS <= state.getCurrentWatermarkMs()
+    told = []
+    if complete.any():
+        own, now_item, now_cents = day[complete], item[complete], cents[complete]
+        day, item, cents = day[~complete], item[~complete], cents[~complete]
+        every = np.union1d(ids, now_item)
+        total = np.zeros(len(every), np.int64)
+        total[np.searchsorted(every, ids)] = sums
         before = np.searchsorted(every, best)
-        out = []
-        for d in np.unique(day):
-            own = day == d
-            place = np.searchsorted(every, item[own])
-            was = sums[before].copy()
-            np.add.at(sums, place, cents[own])
-            now = _best(every, sums, self.places)
-            told = np.union1d(now, before)
-            new = ~np.isin(told, before)
-            same = np.zeros(len(told), bool)
-            same[np.searchsorted(told, before)] = sums[before] == was
-            told = told[new | ~same | ~np.isin(told, now)]
-            if len(told):
-                out.append((np.full(len(told), d), every[told], sums[told], np.isin(told, now)))
+        for d in np.unique(own):
+            of = own == d
+            was = total[before].copy()
+            np.add.at(total, np.searchsorted(every, now_item[of]), now_cents[of])
+            now = _best(every, total, places)
+            changed = np.union1d(np.setxor1d(now, before), before[total[before] != was])
+            told.append((np.full(len(changed), d), every[changed], total[changed], np.isin(changed, now)))
             before = now
-        self.totals.update((every.tobytes(), sums.tobytes(), every[before].tobytes()))
-        if out:
-            d, i, c, top = (np.concatenate(x) for x in zip(*out))
-            yield pd.DataFrame({"nation_id": np.int32(key[0]), "day": d, "item_id": i, "cents": c, "top": top})
-
-    def close(self) -> None:
-        pass
+        ids, sums, best = every, total, every[before]
+    state.update(tuple(x.tobytes() for x in (day, item, cents, ids, sums, best)))
+    if len(day):
+        state.setTimeoutTimestamp(int(day.min()) * _DAY_MS - 1)  # it fires once the watermark is beyond it
+    if told:
+        d, i, c, top = (np.concatenate(x) for x in zip(*told))
+        yield pd.DataFrame({"nation_id": pd.Series([key[0]] * len(d), dtype="int32"), "day": d, "item_id": i, "cents": c, "top": top})
 
 
 def _boards(told: pd.DataFrame, places: int, first: int, width: float, batches: int) -> pd.DataFrame:
@@ -183,27 +164,27 @@ def _boards(told: pd.DataFrame, places: int, first: int, width: float, batches:
 
 
 def _stream_session(spark: SparkSession, parts: str) -> SparkSession:
-    """A session for the query: state in RocksDB as change logs, days flushed by data (or sentinels), never by empty batches."""
+    """A session for the query: days are flushed by data (or sentinels), never by empty batches, and old states go soon."""
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", parts)
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small states
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     own.conf.set("spark.sql.streaming.minBatchesToRetain", "2")
+    own.conf.set("spark.sql.streaming.stateStore.minDeltasForSnapshot", "20")
+    own.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "10s")
     own.conf.set("spark.sql.session.timeZone", "UTC")
     return own
 
 
 def _query(spark: SparkSession, feed: str, latest: int | None, places: int, delay: int, parts: int) -> DataFrame:
     """What parts tell of the files in the folder; latest: the last day that earlier batches saw."""
-    lines = spark.readStream.schema(_LINES).parquet(feed).withColumn("ts", F.timestamp_seconds(F.col("day") * 86_400)).withWatermark("ts", "0 seconds")
-    lines = lines.filter("nation_id IS NOT NULL AND item_id IS NOT NULL AND cents IS NOT NULL")
-    if latest is not None:
-        lines = lines.filter(F.col("seen") + delay >= latest)
+    lines = spark.readStream.schema(_LINES).parquet(feed)
+    known = "nation_id IS NOT NULL AND item_id IS NOT NULL AND cents IS NOT NULL"
+    lines = lines.filter(f"day = {END} OR {known}" if latest is None else f"day = {END} OR {known} AND seen + {delay} >= {latest}")
     lines = lines.select("nation_id", F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int").alias("part"), "day", "item_id", "cents")
     lines = arrow.over(lines, _summed, "nation_id int, part int, day bigint, item_id bigint, cents bigint")
-    return lines.groupBy("nation_id", "part").transformWithStateInPandas(Parts(places), _LOCAL, "Append", "EventTime")
+    lines = lines.withColumn("ts", F.timestamp_seconds(F.col("day") * 86_400)).withWatermark("ts", "0 seconds").filter(f"day < {END}")
+    own = lambda key, frames, state: _part(key, frames, state, places)
+    return lines.groupBy("nation_id", "part").applyInPandasWithState(own, _LOCAL, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _merged(told: DataFrame, number: int, out: str, places: int, first: int, width: float, batches: int) -> None:
