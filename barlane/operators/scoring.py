@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from ..functions import similarity
 from ..functions.dialect import Spark
-from ..plans import fixtures as fx
 from ..plans import reconcile, sqls
 from . import judge
 

@@ -183,7 +183,6 @@ def layers(d: Spark) -> tuple[str, ...]:
     once = lambda x: f"array_sort(array_distinct(filter({x}, r -> coalesce(r, '') <> '')))" if spark else f"list_sort(list_distinct(list_filter({x}, lambda r: coalesce(r, '') <> '')))"
     first = "first" if spark else "any_value"
     status = "CASE WHEN content IS NULL THEN 'unanswered' WHEN c1 IS NOT NULL THEN 'first' WHEN c2 IS NOT NULL THEN 'second' ELSE 'unread' END"
-    item = lambda f: f"{d.at('said', 'i')}.{f}"
     skill, why = relabelled(d, d.at("said", "i"), d.at("repeats", "i"))
     own = d.each("kept", "i", d.struct({"i": "i", "becomes": skill, "note": why}))
     pick = {
