@@ -10,10 +10,10 @@ most texts are settled without EM.
 The model has a row for each bucket and a column for each language; BUCKETS is halved until it takes MODEL_BYTES at most, so
 what goes to the driver and to tasks is bounded whatever the corpus.
 
-Defined results: a text that is null or has no letter is `und` with score 0 and no languages; without training rows all
-are; a text of fewer than ORDER bytes in words has the most frequent language; languages are ordered by share, then name; rows without a doc_id or without a lang are not learned from; repeated rows
-count each; a text is read whole, however long; an empty table stays empty; extra columns are carried along, those named
-like the added ones are replaced.
+Defined results: a text that is null or has no letter is `und` with score 0 and no languages; without training rows all are;
+a text of fewer than ORDER bytes in words has the most frequent language; languages are ordered by share, then name; rows
+without a doc_id or without a lang are not learned from; repeated rows count each; a text is read whole, however long; an
+empty table stays empty; extra columns are carried along, those named like the added ones are replaced.
 """
 from __future__ import annotations
 

@@ -1,14 +1,15 @@
 """A change feed of leaderboards, kept by event-time timers of a stateful Structured Streaming query.
 
-Lines come in batches, by the day of their arrival. Their revenue is enriched once (`enriched`) and written by batch; a batch's files are moved into the folder that the stream watches, and the query is started
-anew on one checkpoint for each batch. Event time is the arrival day. A nation's items are dealt into `parts` by hash, and a
-part is the key of the first state: accepted deltas, added up within each task before they are shuffled, are buffered by
-arrival day under a timer for the earliest of them. Once the watermark has passed it, the timer fires, and all complete days
-are folded into the running revenues, ascending. A part then tells what changed among its ten best. The sink of each micro-batch
-merges, by nation, what parts tell with the ten best that they had before, and writes the differences of the nation's
-boards beside the new best under the number of the micro-batch: a batch that is tried again replaces what it wrote. A part
-tells at most 20 rows a day, so a nation's task never sees a number of rows that grows with the lines. End sentinels, rows
-of a day beyond all others, bring the last days to be flushed and are not part of any board.
+Lines come in batches, by the day of their arrival. Their revenue is enriched once (`enriched`) and written by batch; a
+batch's files are moved into the folder that the stream watches, and the query is started anew on one checkpoint for each
+batch. Event time is the arrival day. A nation's items are dealt into `parts` by hash, and a part is a key of the state:
+accepted deltas, added up within each task before they are shuffled, are buffered by arrival day under a timer for the
+earliest of them. Once the watermark has passed it, the timer fires, and all complete days are folded into the running
+revenues, ascending. A part then tells what changed among its ten best. The sink of each micro-batch merges, by nation, what
+parts tell with the ten best that they had before, and writes the differences of the nation's boards beside the new best
+under the number of the micro-batch: a batch that is tried again replaces what it wrote. A part tells at most 20 rows a day,
+so a nation's task never sees a number of rows that grows with the lines. End sentinels, rows of a day beyond all others,
+bring the last days to be flushed and are not part of any board.
 
 Defined results: lines that were seen more than `delay` days before the latest one of all earlier batches are dropped;
 lines without a nation or item are ignored, but count for that latest day; equal lines count each; batches without lines
