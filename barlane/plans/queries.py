@@ -25,6 +25,9 @@ def session(spark: SparkSession) -> SparkSession:
             own.conf.set(key, value)
     own.conf.set("spark.sql.constraintPropagation.enabled", "false")
     own.conf.set("spark.sql.analyzer.maxIterations", "500")  # the composed paths have many layers
+    # A scan takes some milliseconds of a core for each performance, so a task of one megabyte is a large one.
+    own.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+    own.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
     register(own)
     judge.register(own)
     return own
