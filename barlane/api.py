@@ -18,7 +18,9 @@ def _over(performances: DataFrame, make: Callable[[Spark], str]) -> DataFrame:
     view = f"performances_{uuid.uuid4().hex}"
     performances.select("match_id", "round", "side", "text").createGlobalTempView(view)
     sample, own = fixtures.performances(Spark()), f"perf AS (SELECT * FROM global_temp.{view})"
-    return session(performances.sparkSession).sql(make(Spark()).replace(sample, own))
+    # Only the sample ones are dealt out anew; these stay in the partitions that they have.
+    sql = make(Spark()).replace(sample, own).replace(fixtures.dealt(Spark(), "perf"), "perf")
+    return session(performances.sparkSession).sql(sql)
 
 
 def apply(performances: DataFrame, query: str) -> DataFrame:
