@@ -39,7 +39,7 @@ def scanned(performances: DataFrame) -> DataFrame:
     own = session(performances.sparkSession)
     source = _view(performances.select(*KEYS, "text", F.col("opponent") if "opponent" in performances.columns else F.lit(None).cast("string").alias("opponent")))
     listed = ", ".join(f"'{s}'" for s in TRUSTED)
-    layers = sqls.scan(_D, True, keep=("opponent", "blocked"))
+    layers = sqls.scan(_D, True, keep=("opponent", "blocked"), only=TRUSTED)
     select = f"SELECT match_id, round, side, text, opponent, blocked, lines, n, filter(dets, x -> x.skill_id IN ({listed})) AS trusted FROM scanned"
     return own.sql(fx.with_(*sqls.cleaned(_D, source), fx.prepared(_D), *layers) + select)
 

@@ -35,3 +35,11 @@ def test_a_performance_without_text_has_no_detections(spark):
 
     rows = spark.createDataFrame([("m", 1, "A", None), ("m", 1, "B", PHRASES[0])], "match_id string, round int, side string, text string")
     assert {(r.side, r.n >= 0) for r in api.totals(rows).collect()} == {("A", True), ("B", True)}
+
+
+def test_the_judged_path_runs_only_the_detectors_it_takes_over():
+    """Before, all 35 detectors ran with their evidence, of which three were kept."""
+    sql = sqls.Q["hybrid_full"](Spark())
+    scanned = sql[sql.index("repeated0 AS ("):sql.index("aw1 AS (")]
+    assert {s for s in re.findall(r"'skill_id', '(\w+)'", scanned)} == {"DD", "TVL", "CHK"}
+    assert searches.SEARCHES not in sql
